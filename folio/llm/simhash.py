@@ -34,7 +34,7 @@ REACH = 2
 #: Pivots: about this many times the root of the number of distinct fingerprints, within the bounds.
 PIVOT_FACTOR, LEAST_PIVOTS, MOST_PIVOTS = 2, 16, 8_192
 #: Members of a block of a cell.
-BLOCK = 2_048
+BLOCK = 4_096
 #: Coordinates of the table that are compared before bits are.
 COORDINATES = 4
 #: Shingles whose bits are counted together.
