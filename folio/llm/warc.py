@@ -1,8 +1,8 @@
-"""WARC archives written with an index first, and read back by coalesced byte ranges.
+"""Compressed WARC archives written with an index first, and read back by coalesced byte ranges.
 
 Writing: each task appends its records to archives of its own in the shared
-folder and returns one index row per record (archive, offset, length, url,
-payload digest). Only archives that the committed index names are ever read, so a
+folder, each a gzip member of its own, and returns one index row per record
+(archive, offset, length, url, payload digest). Only archives that the committed index names are ever read, so a
 repeated task does no harm. Reading: index rows of the selected records are
 dealt by archive and stretch, sorted by offset, and neighbouring ranges are
 fetched by one read.
@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +35,8 @@ LEAST = 1000
 ARCHIVE_BYTES = 256 << 20
 #: Stretch of an archive that one reader takes, gap that a read may bridge, and bytes of one read.
 STRETCH, GAP, READ = 1 << 20, 64 << 10, 8 << 20
+#: Effort of compression.
+LEVEL = 1
 #: All records carry this date, so that equal input gives equal archives.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -69,12 +72,13 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: bytes,
         head.append(f"X-Page-ID: {page_id}")
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
-    return b"%b\r\n\r\n%b\r\n\r\n" % ("\r\n".join(head).encode(), block)
+    pack = zlib.compressobj(LEVEL, wbits=31)
+    return pack.compress(b"%b\r\n\r\n%b\r\n\r\n" % ("\r\n".join(head).encode(), block)) + pack.flush()
 
 
 def parse(raw: bytes | memoryview) -> dict:
-    """The fields of RECORD out of one record; the payload of a revisit is empty."""
-    raw = bytes(raw)
+    """The fields of RECORD out of one compressed record; the payload of a revisit is empty."""
+    raw = zlib.decompress(raw, 31)
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -120,8 +124,8 @@ def write_archives(pages: DataFrame, least: int = LEAST) -> DataFrame:
                 if out is None or at > ARCHIVE_BYTES:
                     if out:
                         out.close()
-                    name, at = f"{uuid.uuid4().hex}.warc", 0
-                    out = store.open_output_stream(f"{top}/{name}")
+                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                    out = store.open_output_stream(f"{top}/{name}", compression=None)
                 raw = record(page, url, payload, digest, refers_to)
                 out.write(raw)
                 found.append((f"{folder}/{name}", at, len(raw), clean_url(url), digest.hex(), "response" if refers_to is None else "revisit"))

@@ -26,7 +26,7 @@ def test_round_trip(spark):
 def test_selected_payloads(spark):
     pages = spark.createDataFrame(ROWS, "page_id long, url string, html string")
     index = warc.write_archives(pages)
-    assert index.where("length > 3000000").count() == 1
+    assert index.count() == len(ROWS) and index.where("url = 'http://a/2%20%0D%0AX:%20y' and record_type = 'revisit'").count() == 1
     got = warc.read_records(index.where("url = 'http://a/4'"), payloads=True).collect()
     assert [(r.page_id, bytes(r.payload)) for r in got] == [(4, b"short")]
 
