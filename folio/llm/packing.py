@@ -16,7 +16,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,9 @@ RUN = 200_000
 #: Bins that one group of a higher level packs.
 GROUP = 8_192
 #: Words whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+#: Words that the tokenizer is asked about in one text.
+JOINED = 100
 #: Characters that are tokenized together.
 CHARS = 3_000_000
 
@@ -72,28 +74,45 @@ class Words:
             return SOLID.findall(text)
         return SOLID.findall(text) if SPECIAL.search(text) else LATIN_WORDS.findall(text.lower())
 
+    def ask(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word, many to a text where the tokenizer takes each for one word."""
+        out: list[list[int]] = []
+        for lo in range(0, len(words), JOINED):
+            part = words[lo : lo + JOINED]
+            if all(map(LATIN_WORDS.fullmatch, part)):
+                e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+                ids, ends = e.ids, np.flatnonzero(np.diff(np.array([*e.word_ids, -1]))) + 1
+                if len(ends) == len(part):
+                    out += [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                    continue
+            out += [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+        return out
+
     def learn(self, words: list[str]) -> None:
-        for e in self.tokenizer.encode_batch(words, add_special_tokens=False):
-            k, n = len(self.number), len(e.ids)
+        for w, ids in zip(words, self.ask(words), strict=True):
+            k, n = len(self.number), len(ids)
             if k == len(self.start):
                 self.start, self.size = np.resize(self.start, 2 * k), np.resize(self.size, 2 * k)
             if self.used + n > len(self.ids):
                 self.ids = np.resize(self.ids, 2 * (self.used + n))
-            self.ids[self.used : self.used + n] = e.ids
+            self.ids[self.used : self.used + n] = ids
             self.start[k], self.size[k] = self.used, n
             self.used += n
-            self.number[words[k - self.first]] = k
+            self.number[w] = k
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         lists = [self.split(t) for t in texts]
         if len(self.number) > REMEMBERED:
             self.clear()
-        new = list({w: 0 for x in lists for w in x if w not in self.number})
-        self.first = len(self.number)
-        self.learn(new)
         counts = np.array([len(x) for x in lists], np.int64)
-        at = np.fromiter((k for x in lists for k in map(self.number.__getitem__, x)), np.int64, int(counts.sum()))
+        words = list(chain.from_iterable(lists))
+        at = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            late = [words[k] for k in missing.tolist()]
+            self.learn(list(dict.fromkeys(late)))
+            at[missing] = [self.number[w] for w in late]
         size = self.size[at]
         total = int(size.sum())
         ends = np.cumsum(size)
@@ -102,6 +121,17 @@ class Words:
         return np.split(ids, cuts[:-1]) if len(lists) else []
 
 
+#: What this Python worker has learned; its later tasks go on with it.
+KNOWN: dict[str, Words] = {}
+
+
+def known_words(path: str) -> Words:
+    if path not in KNOWN:
+        KNOWN.clear()
+        KNOWN[path] = Words(path)
+    return KNOWN[path]
+
+
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best-fit decreasing: for each item its bin and offset; for each bin its fill.
 
@@ -138,7 +168,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin l
 
 def pack_locally(batches: Iterator[pa.RecordBatch], path: str, capacity: int, closing: int, text: str) -> Iterator[pa.RecordBatch]:
     """Level 0 of one task: its pieces with their bins."""
-    words = Words(path)
+    words = known_words(path)
     task = TaskContext.get()
     base = (task.partitionId() if task else 0) << 32
     held: list[tuple[list, np.ndarray]] = []
