@@ -32,14 +32,15 @@ def identified(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def with_runs(docs: DataFrame, length: int, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep`, body and the repeated runs of each document."""
-    rows = identified(only(docs, *dict.fromkeys(["doc_id", text, *keep])), text)
+def with_runs(docs: DataFrame, length: int, text: str, keep: list[str]) -> DataFrame:
+    """A struct of the columns `keep`, body and the repeated runs of each document."""
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")
+    rows = identified(docs.select(F.col("doc_id"), F.col(f"`{text}`").alias("text"), kept), "text")
     runs = repeated_runs(rows, length)
-    return rows.join(runs.hint("shuffle_hash"), ["d1", "d2"], "left").select(*keep, "body", "runs")
+    return rows.join(runs.hint("shuffle_hash"), ["d1", "d2"], "left").select("kept", "body", "runs")
 
 
-def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def removals(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,10 +50,10 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 gone = covered([(r["first"], r["last"]) for r in runs or ()])
                 out.append((len(data), sum(b - a for a, b in gone), len(gone), hashlib.sha256(without(data, gone)).hexdigest()))
             columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).field(0), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_runs(docs, length).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_runs(docs, length, text, ["doc_id"]).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
@@ -60,12 +61,12 @@ def cleaned(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFr
     from pyspark.sql import types as T
 
     names = [c for c in docs.columns if c != text]
-    found = with_runs(docs, length, text, tuple(names))
     schema = T.StructType([*[docs.schema[c] for c in names], T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left = [without(data, covered([(r["first"], r["last"]) for r in runs or ()])).decode("utf-8", "ignore") for data, runs in zip(batch.column("body").to_pylist(), batch.column("runs").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(left, pa.string())], names=[*names, text])
+            kept = batch.column(0)
+            left = [without(data, covered([(r["first"], r["last"]) for r in runs or ()])).decode("utf-8", "ignore") for data, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[kept.field(k) for k in range(len(names))], pa.array(left, pa.string())], names=[*names, text])
 
-    return found.mapInArrow(run, schema).select(*docs.columns)
+    return with_runs(docs, length, text, names).mapInArrow(run, schema).select(*docs.columns)
