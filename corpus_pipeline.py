@@ -1,10 +1,73 @@
-"""The corpus pipeline."""
-STAGES = []
+"""From raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns the next documents; the last
+returns the packed pieces. `run` writes every stage as Parquet to the shared
+folder and reads it again as the input of the next.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folio.llm import decontaminate, language, packing, simhash, suffix_dedup
+from folio.llm.common import only, staged
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the language classifier rejects: no letters, or a score below its calibrated limit."""
+    names = docs.columns
+    found = language.identify(docs, language.fit(docs), keep=tuple(names))
+    return found.where(~F.col("rejected")).select(*names)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the least id, of each group of linked fingerprints; of repeated rows one stays.
+
+    Rows without an id stay only if their group has no id at all.
+    """
+    found = simhash.near_duplicates(docs)
+    leaders = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    first = only(docs, *docs.columns).join(leaders, docs["doc_id"].eqNullSafe(leaders["doc_id"]), "left_semi")
+    named = first.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return named.union(first.where("doc_id is null"))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the 200-byte strings that occur elsewhere; n_chars counts what is left."""
+    return suffix_dedup.cleaned(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents in which a benchmark window occurs."""
+    names = docs.columns
+    found = decontaminate.find_occurrences(docs.withColumn("body", F.col("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumn("body", F.col("text")), text="body", keep=tuple(names))
+    return found.where(F.size("spans") == 0).select(*names)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language", known_language),
+    ("near_copies", one_of_near_copies),
+    ("repeated_strings", without_repeats),
+    ("benchmark", without_benchmark),
+    ("packing", packed),
+]
+
+#: No stage has a form in SQL; the tests hold the whole against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, over the documents of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in STAGES:
-        docs = f(spark, docs, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = staged(docs, f"stage-{name}")
     return docs
