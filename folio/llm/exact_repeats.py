@@ -14,7 +14,6 @@ All steps are linear in the text; common hashes are counted before any shuffle.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ from folio.llm.suffix_array import common_prefixes, suffix_array, words
 GRAM = 24
 #: Bytes of text that a shard is meant to hold, and those after which it is cut.
 SHARD, CUT = 512 << 10, 2 << 20
-#: Fingerprints that are merged together.
+#: Bytes of text whose windows are merged together.
 MERGE = 200_000
 
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -120,15 +119,19 @@ def classes(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
     return owner[whole], (place - (ends - sizes)[owner])[whole], of[whole]
 
 
-def runs_of(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes that windows at sorted starts cover."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > length)
-    return list(zip(starts[np.append(0, cut + 1)].tolist(), (starts[np.append(cut, len(starts) - 1)] + length).tolist(), strict=True))
+FOUND = "d1 long, d2 int, first long, last long, slice int, list binary"
+#: An entry of a published list: the window's fingerprint, where it is if one document alone has it here, and what the shard counted.
+ENTRY = np.dtype([("print", "<u8"), ("rest", "<u8"), ("d1", "<i8"), ("d2", "<i4"), ("lone", "?"), ("at", "<i8"), ("low", "<i8"), ("high", "<i8"), ("weight", "<i8")])
 
 
-FOUND = "d1 long, d2 int, first long, last long, window binary, at long, low long, high long, weight long"
+def joined_runs(d1: np.ndarray, d2: np.ndarray, at: np.ndarray, length: int) -> pa.Table:
+    """Windows as maximal runs of bytes of their documents."""
+    order = np.lexsort((at, d2, d1))
+    d1, d2, at = d1[order], d2[order], at[order]
+    new = np.append(True, (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1]) | (at[1:] > at[:-1] + length))[: len(at)]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    return pa.table({"d1": pa.array(d1[first], pa.int64()), "d2": pa.array(d2[first], pa.int32()), "first": pa.array(at[first], pa.int64()), "last": pa.array(at[last] + length, pa.int64())})
 
 
 def search_shards(texts: DataFrame, length: int, across: bool) -> DataFrame:
@@ -139,11 +142,12 @@ def search_shards(texts: DataFrame, length: int, across: bool) -> DataFrame:
     size = F.octet_length("text")
     total = texts.agg(F.sum(size)).first()[0] or 0
     dealt = texts.withColumn("bucket", fold(F.col("key"), max(1, -(-total // SHARD))))
-    held = dealt.groupBy("bucket").agg(F.ceil(F.sum(size) / F.lit(CUT)).cast("int").alias("parts"))
+    held = staged(dealt.groupBy("bucket").agg(F.sum(size).alias("held")).withColumn("parts", F.ceil(F.col("held") / F.lit(CUT)).cast("int")), "shards")
+    cut = held.where("parts > 1").agg(F.sum("held")).first()[0] or 0
+    slices = -(-cut // MERGE)
     dealt = dealt.join(held, "bucket").withColumn("part", F.pmod("fp", "parts").cast("int"))
 
     def search(key, table):
-        parts = table["parts"][0].as_py()
         body = table["text"].to_pylist()
         d1, d2, start, copies, low, high = (table[c].to_numpy() for c in ("d1", "d2", "start", "copies", "low", "high"))
         owner, place, number = classes(body, length)
@@ -153,58 +157,55 @@ def search_shards(texts: DataFrame, length: int, across: bool) -> DataFrame:
         np.minimum.at(least, number, low[owner])
         np.maximum.at(most, number, high[owner])
         again = (least < most) if across else (weight > 1)
-        out: list[tuple] = []
         single = copies[owner] == 1 if not across else low[owner] == high[owner]
         hit = again[number] & single
-        cuts = np.searchsorted(owner[hit], np.arange(len(body) + 1))
-        starts = place[hit]
-        for i in range(len(body)):
-            for a, b in runs_of(starts[cuts[i] : cuts[i + 1]], length):
-                out.append((int(d1[i]), int(d2[i]), int(start[i]) + a, int(start[i]) + b, None, None, None, None, None))
-        if parts > 1:
-            # one row for each class, with its place if only one document has it here
-            _, first = np.unique(number, return_index=True)
-            for k in first.tolist():
-                c, i, p = number[k], int(owner[k]), int(place[k])
-                lone = not again[c]
-                out.append((int(d1[i]) if lone else None, int(d2[i]) if lone else None, None, None, hashlib.blake2b(body[i][p : p + length], digest_size=16).digest(), int(start[i]) + p, int(least[c]), int(most[c]), int(weight[c])))
-                if lone and across:
-                    # further places of the same document
-                    for m in np.flatnonzero(number == c).tolist():
-                        if m != k:
-                            j, q = int(owner[m]), int(place[m])
-                            out.append((int(d1[j]), int(d2[j]), None, None, out[-1][4], int(start[j]) + q, int(least[c]), int(most[c]), 0))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 9
-        kinds_ = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        names = [x.split()[0] for x in FOUND.split(", ")]
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds_, strict=True)})
-
-    found = staged(dealt.groupBy("bucket", "part").applyInArrow(search, FOUND), "shards")
-    inside = found.where("window is null").select("d1", "d2", "first", "last")
-    published = found.where("window is not null")
-    number = published.count()
-    if not number:
+        out = joined_runs(d1[owner[hit]], d2[owner[hit]], start[owner[hit]] + place[hit], length)
+        out = out.append_column("slice", pa.nulls(len(out), pa.int32())).append_column("list", pa.nulls(len(out), pa.binary()))
+        if table["parts"][0].as_py() == 1:
+            return out
+        # one entry for each class, and one for each further place of a document that has it alone
+        first = np.zeros(len(number), bool)
+        first[np.unique(number, return_index=True)[1]] = True
+        shown = np.flatnonzero(first | (single & ~again[number]))
+        entry = np.zeros(len(shown), ENTRY)
+        prints = [xxhash.xxh3_128_digest(body[i][p : p + length]) for i, p in zip(owner[shown].tolist(), place[shown].tolist(), strict=True)]
+        entry["print"], entry["rest"] = np.frombuffer(b"".join(prints), "<u8").reshape(-1, 2).T
+        entry["d1"], entry["d2"], entry["at"] = d1[owner[shown]], d2[owner[shown]], start[owner[shown]] + place[shown]
+        entry["lone"] = (single & ~again[number])[shown]
+        entry["low"], entry["high"] = least[number[shown]], most[number[shown]]
+        entry["weight"] = np.where(first[shown], weight[number[shown]], 0)
+        entry.sort(order=["print", "rest"])
+        ends = np.searchsorted(entry["print"], np.array([((k + 1) << 64) // slices - 1 for k in range(slices)], np.uint64), "right")
+        lists = [entry[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        none = {c: pa.nulls(slices, out.schema.field(c).type) for c in ("d1", "d2", "first", "last")}
+        return pa.concat_tables([out, pa.table({**none, "slice": pa.array(range(slices), pa.int32()), "list": pa.array(lists, pa.binary())})])
+
+    found = staged(dealt.groupBy("bucket", "part").applyInArrow(search, FOUND), "found")
+    inside = found.where("list is null").select("d1", "d2", "first", "last")
+    if not slices:
         return inside
 
     def merge(key, table):
-        window = np.array([int.from_bytes(x[:8]) ^ 0 for x in table["window"].to_pylist()], np.uint64)
-        rest = np.array([int.from_bytes(x[8:]) for x in table["window"].to_pylist()], np.uint64)
-        order = np.lexsort((rest, window))
-        new = np.append(True, (window[order][1:] != window[order][:-1]) | (rest[order][1:] != rest[order][:-1]))
-        head = np.flatnonzero(new)
-        # the list of distinct fingerprints, in which each row is found by binary search
-        group = np.searchsorted(head, np.arange(len(order)), "right") - 1
-        low, high, weight = (table[c].to_numpy()[order] for c in ("low", "high", "weight"))
-        again = np.minimum.reduceat(low, head) < np.maximum.reduceat(high, head) if across else np.add.reduceat(weight, head) > 1
-        placed = np.array(table["d1"].is_valid())[order]
-        take = pa.array(order[again[group] & placed])
-        part = table.take(take)
-        at = part["at"].to_numpy()
-        return pa.table({"d1": part["d1"], "d2": part["d2"], "first": pa.array(at), "last": pa.array(at + length)})
-
-    buckets = fold(F.col("window"), -(-number // MERGE))
-    merged = published.withColumn("g", buckets).groupBy("g").applyInArrow(merge, "d1 long, d2 int, first long, last long")
-    return inside.union(merged)
+        lists = [np.frombuffer(x, ENTRY) for x in table["list"].to_pylist()]
+        every = np.concatenate(lists)
+        # the distinct fingerprints in order; each entry finds its own by binary search
+        both = np.unique(every[["print", "rest"]])
+        low, high, weight = np.full(len(both), np.iinfo(np.int64).max), np.full(len(both), np.iinfo(np.int64).min), np.zeros(len(both), np.int64)
+        spots = []
+        for x in lists:
+            lo, hi = np.searchsorted(both["print"], x["print"]), np.searchsorted(both["print"], x["print"], "right")
+            spot = lo.copy()
+            for k in np.flatnonzero(hi - lo > 1).tolist():
+                spot[k] += np.searchsorted(both["rest"][lo[k] : hi[k]], x["rest"][k])
+            np.minimum.at(low, spot, x["low"])
+            np.maximum.at(high, spot, x["high"])
+            np.add.at(weight, spot, x["weight"])
+            spots.append(spot)
+        again = low < high if across else weight > 1
+        hit = every["lone"] & again[np.concatenate(spots)]
+        return joined_runs(every["d1"][hit], every["d2"][hit], every["at"][hit], length)
+
+    return inside.union(found.where("list is not null").groupBy("slice").applyInArrow(merge, "d1 long, d2 int, first long, last long"))
 
 
 def repeated_runs(rows: DataFrame, length: int, across: bool = False) -> DataFrame:
