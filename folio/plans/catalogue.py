@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from folio.plans import dialogues, jobs, retrieval, tables, texts
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {**retrieval.QUERIES, **texts.QUERIES, **dialogues.QUERIES, **tables.QUERIES, **jobs.QUERIES}
+ORACLE_SQL = {**retrieval.ORACLE_SQL, **texts.ORACLE_SQL, **dialogues.ORACLE_SQL, **tables.ORACLE_SQL, **jobs.ORACLE_SQL}
