@@ -4,22 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from folio.functions.text import content_hash
 
 STATUSES = ["NEW", "PROCESSING", "TEXT_EXTRACTED", "CHUNKS_BUILT", "EMBEDDED", "FAILED"]
 
-DOCUMENTS = StructType.fromDDL("id string, source_system string, source_url string, s3_key string, doc_type string, title string, publication_date date, content_hash string, content_length int, status string, created_at timestamp, updated_at timestamp")
-PAGES = StructType.fromDDL("document_id string, page_number int, raw_text string, clean_text string, created_at timestamp")
-TABLES = StructType.fromDDL("id bigint, document_id string, page_number int, headers array<string>, rows array<array<string>>, bbox array<double>, accuracy int, caption string, created_at timestamp")
-CHUNKS = StructType.fromDDL("id bigint, document_id string, table_id bigint, page_start int, page_end int, chunk_index int, text string, embedding array<float>, section_hint string, created_at timestamp, updated_at timestamp")
-CHAT_SESSIONS = StructType.fromDDL("id string, created_at timestamp, metadata_json string")
-CHAT_MESSAGES = StructType.fromDDL("id bigint, session_id string, role string, content string, created_at timestamp, metadata_json string")
-FEEDBACK = StructType.fromDDL("id bigint, chat_message_id bigint, score int, comment string, corrected_answer string, tags array<string>, created_at timestamp")
-EVAL_EXAMPLES = StructType.fromDDL("id bigint, query string, gold_answer string, expected_keywords array<string>, difficulty string, category string, metadata_json string")
-EVAL_RUNS = StructType.fromDDL("id string, created_at timestamp, config string, status string, summary_metrics string")
-EVAL_RESULTS = StructType.fromDDL("id bigint, eval_run_id string, eval_example_id bigint, llm_answer string, retrieved_chunks int, latency_ms int, match double, passed int, error string, created_at timestamp")
+DOCUMENTS = "id string, source_system string, source_url string, s3_key string, doc_type string, title string, publication_date date, content_hash string, content_length int, status string, created_at timestamp, updated_at timestamp"
+PAGES = "document_id string, page_number int, raw_text string, clean_text string, created_at timestamp"
+TABLES = "id bigint, document_id string, page_number int, headers array<string>, rows array<array<string>>, bbox array<double>, accuracy int, caption string, created_at timestamp"
+CHUNKS = "id bigint, document_id string, table_id bigint, page_start int, page_end int, chunk_index int, text string, embedding array<float>, section_hint string, created_at timestamp, updated_at timestamp"
+CHAT_SESSIONS = "id string, created_at timestamp, metadata_json string"
+CHAT_MESSAGES = "id bigint, session_id string, role string, content string, created_at timestamp, metadata_json string"
+FEEDBACK = "id bigint, chat_message_id bigint, score int, comment string, corrected_answer string, tags array<string>, created_at timestamp"
+EVAL_EXAMPLES = "id bigint, query string, gold_answer string, expected_keywords array<string>, difficulty string, category string, metadata_json string"
+EVAL_RUNS = "id string, created_at timestamp, config string, status string, summary_metrics string"
+EVAL_RESULTS = "id bigint, eval_run_id string, eval_example_id bigint, llm_answer string, retrieved_chunks int, latency_ms int, match double, passed int, error string, created_at timestamp"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
