@@ -107,7 +107,7 @@ def piece_texts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 def classes(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all windows of all texts: which text, where in it, and the number of its class of equal windows."""
     data = b"".join(texts)
-    sa, _ = suffix_array(data, length)
+    sa, _ = suffix_array(data)
     number = np.cumsum(common_prefixes(data, sa, length) < length)
     of = np.empty(len(data), np.int64)
     of[sa] = number

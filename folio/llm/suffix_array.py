@@ -18,16 +18,17 @@ def words(data: bytes, order: str = ">") -> np.ndarray:
     return out[: len(data)]
 
 
-def suffix_array(data: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in order of their first `depth` bytes at least, and the rank of each position.
+def suffix_array(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in order of their suffixes, and the rank of each position.
 
-    Larsson-Sadakane refinement: begin with the order of the first eight bytes; as long as the
-    compared length is short of depth, order each group of equal positions by the rank of what
-    follows that length, which doubles it. Groups of one are done and never looked at again.
+    Larsson-Sadakane refinement: begin with the order of the first eight bytes; as long as
+    positions are equal, order each group of them by the rank of what follows the compared
+    length, which doubles it. Groups of one are done and never looked at again. The order is
+    complete: a partial one would not bear the step from one common prefix to the next.
     """
     n = len(data)
     first = words(data)
-    sa = np.argsort(first, kind="stable")
+    sa = np.argsort(first)
     new = np.empty(n, bool)
     new[:1] = True
     new[1:] = first[sa[1:]] != first[sa[:-1]]
@@ -36,16 +37,18 @@ def suffix_array(data: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
     rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     h = 8
     open_ = np.flatnonzero(~(new & np.append(new[1:], True)))
-    while h < depth and len(open_):
+    while len(open_):
         at = sa[open_]
         group = rank[at]
         after = rank[np.minimum(at + h, n)] + 1
-        order = np.lexsort((after, group))
-        at, group, after = at[order], group[order], after[order]
+        # one key for both: a group's rank, then what follows
+        both = group * (n + 1) + after
+        order = np.argsort(both)
+        at, both = at[order], both[order]
         sa[open_] = at
         cut = np.empty(len(at), bool)
         cut[:1] = True
-        cut[1:] = (group[1:] != group[:-1]) | (after[1:] != after[:-1])
+        cut[1:] = both[1:] != both[:-1]
         rank[at] = open_[np.maximum.accumulate(np.where(cut, np.arange(len(at)), 0))]
         open_ = open_[~(cut & np.append(cut[1:], True))]
         h *= 2
