@@ -13,6 +13,17 @@ from pyspark.sql import functions as F
 
 from folio.llm import decontaminate, language, packing, simhash, suffix_dedup
 from folio.llm.common import only, staged
+from folio.ship import ship
+
+
+def shipped(stage):
+    """The stage, with the package on the executors before it begins."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +63,11 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language", known_language),
-    ("near_copies", one_of_near_copies),
-    ("repeated_strings", without_repeats),
-    ("benchmark", without_benchmark),
-    ("packing", packed),
+    ("language", shipped(known_language)),
+    ("near_copies", shipped(one_of_near_copies)),
+    ("repeated_strings", shipped(without_repeats)),
+    ("benchmark", shipped(without_benchmark)),
+    ("packing", shipped(packed)),
 ]
 
 #: No stage has a form in SQL; the tests hold the whole against brute force.
