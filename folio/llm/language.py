@@ -14,6 +14,7 @@ Repeated rows and extra columns do not matter; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import only
-from folio.llm.subwords import Model, WordRows, bag, sums, word_scores
+from folio.llm.subwords import Model, WordRows, bag, kept_rows, sums, word_scores
 
 #: Documents of each language that the model may learn from, and languages that it may learn.
 PER_LANGUAGE, LANGUAGES = 700, 200
@@ -55,6 +56,10 @@ class Classifier:
 
     def __init__(self, languages: list[str], folded: np.ndarray, bias: np.ndarray, temperature: float, limit: float):
         self.languages, self.folded, self.bias, self.temperature, self.limit = languages, folded, bias, temperature, limit
+        self.name = uuid.uuid4().hex
+
+    def rows(self) -> WordRows:
+        return kept_rows(self.name, lambda: WordRows(len(self.languages) + 1, word_scores(self.folded)))
 
     def probabilities(self, scores: np.ndarray) -> np.ndarray:
         """From the words' summed scores and, in the last column, feature counts."""
@@ -117,7 +122,7 @@ def identify(docs: DataFrame, model: Classifier | None, text: str = "text", keep
 
     def run(batches):
         m = sent.value
-        rows = WordRows(len(m.languages) + 1, word_scores(m.folded)) if m else None
+        rows = m.rows() if m else None
         for batch in batches:
             column = batch.column(text)
             names, scores = [], []

@@ -16,6 +16,7 @@ of repeated label rows the greatest counts. Without labels every score is
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from itertools import islice
 from operator import eq
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import only
 from folio.llm.language import held_out
-from folio.llm.subwords import WordRows
+from folio.llm.subwords import WordRows, kept_rows
 from folio.llm.toxicity import labelled
 
 #: Labelled documents of each class, dimensions of the space, hashed terms.
@@ -66,6 +67,7 @@ class Space:
 
     def __init__(self, weights: np.ndarray, axes: np.ndarray, vectors: np.ndarray, labels: np.ndarray):
         self.weights, self.axes, self.vectors, self.labels = weights, axes, vectors, labels
+        self.name = uuid.uuid4().hex
 
     def rows(self) -> WordRows:
         def compute(words: list[str]) -> np.ndarray:
@@ -77,7 +79,7 @@ class Space:
                 out += self.axes[t] * (x * self.weights[t])[:, None]
             return out
 
-        return WordRows(self.axes.shape[1], compute)
+        return kept_rows(self.name, lambda: WordRows(self.axes.shape[1], compute))
 
     def project(self, rows: WordRows, lists: list[list[str]]) -> np.ndarray:
         """Unit vectors of documents; zero for those without words."""

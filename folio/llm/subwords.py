@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterable
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -20,7 +20,7 @@ DIM = 12
 #: Shortest and longest character n-gram.
 GRAMS = (3, 6)
 #: Words whose rows a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 
 def features(word: str) -> list[int]:
@@ -50,18 +50,33 @@ class WordRows:
             self.clear()
         counts = np.array([len(x) for x in lists], np.int64)
         known = self.number
-        at = np.fromiter((k for x in lists for k in map(known.get, x, repeat(-1))), np.int64, int(counts.sum()))
-        if len(at) and at.min() < 0:
-            new = list({w: 0 for x in lists for w in x if w not in known})
+        words = list(chain.from_iterable(lists))
+        at = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            late = [words[k] for k in missing.tolist()]
+            new = list(dict.fromkeys(late))
             first = len(known)
             while first + len(new) > len(self.table):
                 self.table = np.concatenate((self.table, np.zeros_like(self.table)))
             self.table[first : first + len(new)] = self.compute(new)
             known.update(zip(new, range(first, first + len(new)), strict=True))
-            at = np.fromiter((k for x in lists for k in map(known.__getitem__, x)), np.int64, int(counts.sum()))
+            at[missing] = [known[w] for w in late]
         return self.table[at], counts
 
 
+#: The rows that this Python worker has computed for a model; its later tasks go on with them.
+KEPT: dict[str, WordRows] = {}
+
+
+def kept_rows(name: str, make: Callable[[], WordRows]) -> WordRows:
+    """The rows of the model of that name, those of another model being forgotten."""
+    if name not in KEPT:
+        KEPT.clear()
+        KEPT[name] = make()
+    return KEPT[name]
+
+
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs of rows."""
     total = np.zeros((len(values) + 1, *values.shape[1:]))

@@ -18,6 +18,8 @@ score is 0. Extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import only
 from folio.llm.language import draw, held_out
-from folio.llm.subwords import Model, WordRows, features, sums, word_scores
+from folio.llm.subwords import Model, WordRows, features, kept_rows, sums, word_scores
 
 #: Documents of each class that the model may learn from.
 PER_CLASS = 2_000
@@ -40,11 +42,8 @@ EDGE = "%*&$#!?.,;:|\"'()[]{}<>-_=+~`/\\"
 
 
 def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
-
-
-def bare(words: list[str]) -> list[str]:
-    return [w.strip(EDGE) or w for w in words]
+    """Lower-cased words without marks at their ends."""
+    return [w.strip(EDGE) or w for w in (text or "").lower().split()]
 
 
 class Detector:
@@ -52,10 +51,10 @@ class Detector:
 
     def __init__(self, folded: np.ndarray, bias: float, ordinary: float = 0.0, middle: float = 1.0):
         self.folded, self.bias, self.ordinary, self.middle = folded, bias, ordinary, middle
+        self.name = uuid.uuid4().hex
 
     def rows(self) -> WordRows:
-        compute = word_scores(self.folded)
-        return WordRows(2, lambda words: compute(bare(words)), np.float64)
+        return kept_rows(self.name, lambda: WordRows(2, word_scores(self.folded), np.float64))
 
     def log_odds(self, table: np.ndarray) -> np.ndarray:
         """Log-odds of words, from their rows."""
@@ -76,7 +75,7 @@ def train(texts: list[str], labels: list[int]) -> Detector:
     y = np.array(labels, np.int64)
     rng = np.random.default_rng(5)
     aside = np.arange(len(texts)) % 5 == 0 if len(texts) >= 100 else np.zeros(len(texts), bool)
-    kinds = {i: sorted(set(bare(w))) for i, w in enumerate(raw) if w and not aside[i]}
+    kinds = {i: sorted(set(w)) for i, w in enumerate(raw) if w and not aside[i]}
     cache: dict[str, np.ndarray] = {}
 
     def fitted(examples: list[tuple[str, int, float]], even: float) -> Detector:
