@@ -109,7 +109,7 @@ def of_years(pages: DataFrame, years: set[str], url: str = "url") -> DataFrame:
 
 def new_content(found: DataFrame, known: DataFrame, key: str = "content_hash", order: str = "document_id") -> DataFrame:
     """What is not yet known by its hash; of equal content found now, the first."""
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return found.join(known.select(key).distinct(), key, "left_anti").withColumn("_n", first).where("_n = 1").drop("_n")
+    # an aggregation, not a window: copies of one content are reduced before the shuffle
+    fresh = found.join(known.select(key).distinct(), key, "left_anti")
+    first = fresh.groupBy(key).agg(F.min(F.struct(order, *[c for c in fresh.columns if c not in (key, order)])).alias("_first"))
+    return first.select(key, "_first.*").select(*found.columns)
