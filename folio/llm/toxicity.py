@@ -60,9 +60,18 @@ class Detector:
         """Log-odds of words, from their rows."""
         return table[:, 0] / table[:, 1] + self.bias
 
-    def evidence(self, table: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Evidence of documents, from the rows of their words."""
+    def evidence(self, lists: list[list[str]]) -> np.ndarray:
+        """Evidence of documents, from their words; a word counts once in a document."""
+        table, counts = self.rows().look_up(lists)
         over = np.clip(self.log_odds(table) - self.ordinary, 0, MOST)
+        telling = np.flatnonzero(over)
+        doc = np.searchsorted(np.cumsum(counts), telling, "right")
+        within = telling - (np.cumsum(counts) - counts)[doc]
+        seen: set[tuple[int, str]] = set()
+        for k, d, i in zip(telling.tolist(), doc.tolist(), within.tolist(), strict=True):
+            if (d, lists[d][i]) in seen:
+                over[k] = 0
+            seen.add((d, lists[d][i]))
         return sums(over, counts) / np.sqrt(30 + counts)
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
@@ -110,8 +119,7 @@ def train(texts: list[str], labels: list[int]) -> Detector:
         z = {i: d.log_odds(rows.look_up([k])[0]) for i, k in kinds.items()}
     d.ordinary = float(np.quantile(np.concatenate([v for i, v in z.items() if not y[i]] or [np.zeros(1)]), ORDINARY))
     judged = np.flatnonzero(aside) if aside.any() and len(set(y[aside].tolist())) > 1 else np.arange(len(texts))
-    values, counts = rows.look_up([raw[i] for i in judged.tolist()])
-    d.middle = max(0.05, limit_between(d.evidence(values, counts), y[judged]))
+    d.middle = max(0.05, limit_between(d.evidence([raw[i] for i in judged.tolist()]), y[judged]))
     return d
 
 
@@ -144,7 +152,6 @@ def score(docs: DataFrame, model: Detector | None, limit: float = 0.5, text: str
 
     def run(batches):
         m = sent.value
-        rows = m.rows() if m else None
         for batch in batches:
             column = batch.column(text)
             scores = np.zeros(len(column))
@@ -156,8 +163,7 @@ def score(docs: DataFrame, model: Detector | None, limit: float = 0.5, text: str
                     chars += len(t or "")
                     lists.append(words_of(t))
                     hi += 1
-                values, counts = rows.look_up(lists)
-                scores[lo:hi] = m.probability(m.evidence(values, counts))
+                scores[lo:hi] = m.probability(m.evidence(lists))
                 lo = hi
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(scores), pa.array((scores >= limit).astype(np.int32))], names=[*keep, "score", "predicted"])
 

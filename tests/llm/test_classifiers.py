@@ -80,9 +80,8 @@ def test_misspelling(tables):
     _, _, docs, labels = tables
     m = toxicity.train([t for _, t, _ in docs], [y for _, _, y in labels])
     base = "the ing whou the ouing " * 4
-    values, counts = m.rows().look_up([base.split(), (base + "garbagge moronicc garbagez").split()])
-    low, high = m.evidence(values, counts)
-    assert high > low
+    low, high, again = m.evidence([base.split(), (base + "garbagge moronicc garbagez").split(), (base + "garbagge moronicc garbagez " * 3).split()])
+    assert high > low and again < high  # a word counts once
 
 
 def test_quality(spark, tables):
