@@ -29,7 +29,7 @@ OVERRIDES = [
 PHRASES = ["fuck", "shit", "commit suicide", "kill myself", "make a bomb", "build a weapon"]
 
 #: What takes the place of a blocked question's or answer's text.
-BLOCKED_QUERY = "I cannot process this request due to safety concerns."
+BLOCKED_QUERY = "This question was not processed for safety reasons."
 BLOCKED_ANSWER = "This answer was withheld for safety and privacy reasons. Please rephrase the question."
 
 
