@@ -18,7 +18,7 @@ Cell = Column
 def clean_cell(value: Cell) -> Column:
     """Null becomes empty; white space is trimmed and collapsed; NUL and replacement characters go."""
     v = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"[\s\p{Z}]+", " ")), "^ | $", "")
-    return F.translate(v, "\x00�", "")
+    return F.translate(v, "\x00\ufffd", "")
 
 
 def is_data_number(value: Cell) -> Column:

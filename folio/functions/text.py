@@ -25,7 +25,7 @@ FOOTER_LINES = [
 #: White space as Unicode has it, for trimming and splitting.
 SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
 #: Ends of lines in page text.
-LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def stripped(text: Column) -> Column:
