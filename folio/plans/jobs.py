@@ -106,3 +106,36 @@ def object_key(spark, sf_dir):
 @query("select event_type, count(*) as n, count(distinct user_id) as users, min(ts) as first_ts, max(ts) as last_ts from events group by 1")
 def event_log_counts(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query("select page_id from pages where contains(url, '/en/') or contains(url, '/de/')")
+def pages_of_parts(spark, sf_dir):
+    """Pages whose address has one of some parts, as years would be."""
+    return crawl.of_years(table(spark, sf_dir, "pages"), {"en", "de"}).select("page_id")
+
+
+@query(f"""with a as (select page_id, unnest(regexp_extract_all(html, '{ANCHOR}', 1)) as href, unnest(regexp_extract_all(html, '{ANCHOR}', 3)) as t, unnest(range(0, len(regexp_extract_all(html, '{ANCHOR}', 1)))) as position from pages),
+l as (select page_id, href, max_by(nullif(trim(regexp_replace(t, '<[^>]*>', '', 'g')), ''), position) as link_text from a where starts_with(href, '/') and contains(lower(href), '/') group by 1, 2)
+select page_id, 'https://www.rba.gov.au' || href as file_url, coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), url) || case when coalesce(lower(link_text) in ('download pdf', 'pdf'), true) then '' else ' – ' || link_text end as title from l join pages using (page_id)""")
+def registered_titles(spark, sf_dir):
+    """The titles under which linked files are registered."""
+    p = table(spark, sf_dir, "pages")
+    named = crawl.issue_metadata(p).select("page_id", "title")
+    return crawl.file_candidates(p, "/", kind="/").join(named, "page_id").select("page_id", "file_url", crawl.registered_title(F.col("title"), F.col("link_text")).alias("title"))
+
+
+@query(f"""with m as (select message_id, session_id, role, content, created_at from (select row_number() over (order by conv_id, turn) - 1 as message_id, conv_id as session_id, role, text as content, turn as created_at from conversations)),
+t as (select session_id, max(created_at) + 1 as moment from m group by 1 union all select -1, 0),
+n as (select session_id, moment, 'user' as role, 'again ' || session_id as content, 0 as n from t union all select session_id, moment, 'assistant', 'answer', 1 from t where session_id % 4 <> 0)
+select * from m union all select (select max(message_id) from m) + row_number() over (order by moment, session_id, n), session_id, role, content, moment from n""")
+def chat_append(spark, sf_dir):
+    """One more turn for every session and a new one; some generations fail."""
+    from folio.plans import history
+    from folio.sources.schemas import messages
+
+    m = messages(spark, sf_dir)
+    sessions = m.groupBy("session_id").agg(F.min("created_at").alias("created_at"))
+    last = m.groupBy("session_id").agg((F.max("created_at") + 1).alias("at")).union(spark.createDataFrame([(-1, 0)], "session_id long, at long"))
+    s = F.col("session_id")
+    turn = last.select(s, F.concat(F.lit("again "), s.cast("string")).alias("query_text"), F.when(s % 4 != 0, "answer").alias("answer"), "at")
+    return history.with_turn(m, sessions, turn)[0]

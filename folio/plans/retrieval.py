@@ -287,3 +287,17 @@ def analysis_text(spark, sf_dir):
     """What the answer to every label is grounded in, and to one without hits."""
     asked = asked_vectors(spark, sf_dir).select("query_id").union(spark.createDataFrame([(-1,)], "query_id int"))
     return context.analyses(asked, top_hits(spark, sf_dir))
+
+
+@query(f"""with h as (select t.*, n.caption, n.rows from {TOP} t left join (select r.r_regionkey as id, r.r_name as caption, list([k.n_nationkey::varchar, k.n_name] order by k.n_nationkey) as rows from region r join nation k on k.n_regionkey = r.r_regionkey group by all) n on n.id = t.table_id)
+select query_id, sha256(string_agg('[' || doc_type || '] ' || title || ' (pages ' || page_start || '-' || page_end || ')' || chr(10) || case when rows is null then text else
+'Table: ' || caption || chr(10) || chr(10) || '| n_nationkey | n_name |' || chr(10) || '| ' || repeat('-', 11) || ' | ' || repeat('-', 6) || ' |' || chr(10) || array_to_string(list_transform(rows, lambda r: '| ' || r[1] || ' | ' || r[2] || ' |'), chr(10)) end, chr(10) || chr(10) order by rank)) as context_hash from h group by query_id""")
+def context_with_tables(spark, sf_dir):
+    """The context in which table chunks show their table, where it is known."""
+    from folio.plans.tables import nation_tables
+
+    known = nation_tables(spark, sf_dir).select(F.col("id").cast("long").alias("table_id"), F.struct("headers", "rows", "caption").alias("t"))
+    hits = top_hits(spark, sf_dir).join(F.broadcast(known), "table_id", "left")
+    table_or_text = context.excerpt(F.col("t"))
+    whole = F.when(F.col("t").isNull(), context.excerpt()).otherwise(table_or_text)
+    return hits.withColumn("e", whole).groupBy("query_id").agg(F.sha2(F.array_join(context.ordered(F.col("e")), "\n\n"), 256).alias("context_hash"))
