@@ -64,3 +64,13 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_without_id_and_repeated_rows(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    a, b = "one two three four five six", "seven eight nine ten eleven"
+    rows = [(1, a, "en", "s", 1), (1, a, "en", "s", 1), (2, a, "en", "s", 1), (None, a, "en", "s", 1)]
+    keep = dict(corpus_pipeline.STAGES)["near_copies"]
+    assert [r.doc_id for r in keep(spark, spark.createDataFrame(rows, schema), "").collect()] == [1]
+    rows.append((None, b, "en", "s", 1))
+    assert sorted(str(r.doc_id) for r in keep(spark, spark.createDataFrame(rows, schema), "").collect()) == ["1", "None", "None"]
