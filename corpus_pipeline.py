@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import decontaminate, language, packing, simhash, suffix_dedup
-from folio.llm.common import only, staged
+from folio.llm.common import staged
 from folio.ship import ship
 
 
@@ -36,13 +36,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least id, of each group of linked fingerprints; of repeated rows one stays.
 
-    Rows without an id stay only if their group has no id at all.
+    Rows without an id stay if there is a group without any id.
     """
     found = simhash.near_duplicates(docs)
-    leaders = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    first = only(docs, *docs.columns).join(leaders, docs["doc_id"].eqNullSafe(leaders["doc_id"]), "left_semi")
-    named = first.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.union(first.where("doc_id is null"))
+    leaders = found.where("doc_id is not null and doc_id = component_id").select("doc_id").distinct()
+    # the join and the removal of repeated rows share one exchange by id
+    named = docs.join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    unnamed = found.where("component_id is null").select(F.lit(True).alias("_some")).limit(1)
+    return named.unionByName(docs.where("doc_id is null").join(F.broadcast(unnamed), F.lit(True), "left_semi"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
