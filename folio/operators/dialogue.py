@@ -31,10 +31,11 @@ def preference_pairs(messages: DataFrame, feedback: DataFrame, least: int = 1, m
     kind = F.when(F.col("score") >= least, "good").when(F.col("score") < 0, "bad")
     place = F.row_number().over(Window.partitionBy("prompt", "kind").orderBy("session_id", "created_at", "message_id"))
     placed = rated.withColumn("kind", kind).where("kind is not null").withColumn("place", place).where(F.col("place") <= most)
-    good = placed.where("kind = 'good'").select("prompt", F.col("content").alias("chosen"), F.col("place").alias("good_place"))
-    bad = placed.where("kind = 'bad'").select("prompt", F.col("content").alias("rejected"), F.col("place").alias("bad_place"))
-    order = F.row_number().over(Window.partitionBy("prompt").orderBy("good_place", "bad_place"))
-    return good.join(bad, "prompt").withColumn("pair", order).where(F.col("pair") <= most).select("prompt", "pair", "chosen", "rejected")
+    # at most `most` answers of either kind are left of a prompt, so its pairs are made in one row
+    listed = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("place", "content"))))
+    both = placed.groupBy("prompt").agg(listed("good").alias("good"), listed("bad").alias("bad"))
+    made = F.flatten(F.transform("good", lambda g: F.transform("bad", lambda b: F.struct(g["content"].alias("chosen"), b["content"].alias("rejected")))))
+    return both.select("prompt", F.posexplode(F.slice(made, 1, most)).alias("at", "p")).select("prompt", (F.col("at") + 1).alias("pair"), "p.chosen", "p.rejected")
 
 
 def latest_answers(messages: DataFrame) -> DataFrame:

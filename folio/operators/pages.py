@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import clean_page
@@ -26,14 +26,16 @@ def repeating_lines(pages: DataFrame, key: str = "document_id", share: float = 0
         key,
         F.explode(
             F.concat(
+                F.array(F.struct(F.lit("page").alias("place"), F.lit("").alias("line"))),  # counts the pages on the way
                 F.transform(F.slice("lines", 1, edge), lambda x: F.struct(F.lit("header").alias("place"), x.alias("line"))),
                 F.transform(F.slice(F.reverse("lines"), 1, edge), lambda x: F.struct(F.lit("footer").alias("place"), x.alias("line"))),
             )
         ).alias("e"),
     ).select(key, "e.*")
     counts = edges.groupBy(key, "place", "line").agg(F.count(F.lit(1)).alias("n"))
-    totals = pages.groupBy(key).agg(F.count(F.lit(1)).alias("pages"))
-    return counts.join(totals, key).where((F.col("pages") >= least) & (F.col("n") >= F.col("pages") * share)).select(key, "place", "line", "n")
+    total = F.sum(F.when(F.col("place") == "page", F.col("n"))).over(Window.partitionBy(key))
+    often = counts.withColumn("pages", total).where((F.col("place") != "page") & (F.col("pages") >= least) & (F.col("n") >= F.col("pages") * share))
+    return often.select(key, "place", "line", "n")
 
 
 def clean_pages(pages: DataFrame, key: str = "document_id") -> DataFrame:
