@@ -94,6 +94,14 @@ class PlainPages:
         return content.decode("utf-8", "replace").split("\f")
 
 
+def pooled(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Unit vectors of texts (texts, tokens, dim): the mean over unmasked tokens."""
+    weight = mask[..., None].astype(np.float32)
+    mean = (tokens * weight).sum(1) / np.maximum(weight.sum(1), 1e-9)
+    norm = np.linalg.norm(mean, axis=1, keepdims=True)
+    return mean / np.where(norm > 0, norm, 1)
+
+
 def with_retries(call, tries: int = 3, wait=lambda n: min(10.0, 4.0 * 2**n), sleep=None):
     """Calls until it succeeds, at most `tries` times, waiting longer each time."""
     import time

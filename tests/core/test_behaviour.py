@@ -9,6 +9,7 @@ from folio.functions.query import query_class, recency, target_year
 from folio.functions.text import chunk_quality, clean_page, keyword_match
 from folio.hooks import Bus
 from folio.operators import chunker, context, dialogue, fusion, lexical, mmr, pages, status
+from folio.providers import pooled, with_retries
 from folio.settings import Settings
 from folio.sources import crawl
 
@@ -190,6 +191,22 @@ def test_captions(spark):
     assert {r.table_id: r.caption for r in context.captions(t, b).collect()} == {7: "Table 2: Wages", 8: None}
 
 
+def test_pooling_and_retries():
+    got = pooled(np.array([[[3.0, 4.0], [9.0, 9.0]], [[0.0, 0.0], [0.0, 0.0]]]), np.array([[1, 0], [0, 0]]))
+    assert got.tolist() == [[pytest.approx(0.6), pytest.approx(0.8)], [0.0, 0.0]]
+    calls, waits = [], []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError
+        return "done"
+
+    assert with_retries(flaky, sleep=waits.append) == "done" and waits == [4.0, 8.0]
+    with pytest.raises(ZeroDivisionError):
+        with_retries(lambda: 1 / 0, tries=1)
+
+
 def test_settings():
     assert Settings.from_env({"FOLIO_USE_RRF": "yes", "FOLIO_CHUNK_TOKENS": "99"}) == Settings(use_rrf=True, chunk_tokens=99)
     with pytest.raises(ValueError):
