@@ -34,10 +34,10 @@ def stripped(text: Column) -> Column:
 
 def chunk_quality(text: Column) -> Column:
     """A score in 0..1: sentences of usual length, neither too short nor too long, few special characters."""
-    words = F.size(F.filter(F.split(text, rf"{SPACE}+"), lambda w: w != ""))
+    words = F.regexp_count(text, F.lit(f"[^{SPACE[1:-1]}]+"))
     ends = F.length(text) - F.length(F.translate(text, ".!?", ""))
     per_sentence = words / F.greatest(F.lit(1), ends)
-    special = F.length(F.regexp_replace(text, r"[\p{L}\p{N}]|" + SPACE, "")) / F.length(text)
+    special = F.regexp_count(text, F.lit(rf"[^\p{{L}}\p{{N}}{SPACE[1:-1]}]")) / F.length(text)
     score = (
         F.when(words == 0, 1.0).when(per_sentence > 100, 0.7).when(per_sentence < 5, 0.8).otherwise(1.0)
         * F.when(words < 50, 0.6).when(words > 2000, 0.9).otherwise(1.0)
