@@ -36,14 +36,19 @@ def chunk_quality(text: Column) -> Column:
     """A score in 0..1: sentences of usual length, neither too short nor too long, few special characters."""
     words = F.regexp_count(text, F.lit(f"[^{SPACE[1:-1]}]+"))
     ends = F.length(text) - F.length(F.translate(text, ".!?", ""))
-    per_sentence = words / F.greatest(F.lit(1), ends)
-    special = F.regexp_count(text, F.lit(rf"[^\p{{L}}\p{{N}}{SPACE[1:-1]}]")) / F.length(text)
-    score = (
-        F.when(words == 0, 1.0).when(per_sentence > 100, 0.7).when(per_sentence < 5, 0.8).otherwise(1.0)
-        * F.when(words < 50, 0.6).when(words > 2000, 0.9).otherwise(1.0)
-        * F.when(special > 0.3, 0.7).otherwise(1.0)
-    )
-    return F.when(F.coalesce(F.length(text), F.lit(0)) < 10, 0.0).otherwise(score)
+    odd = F.regexp_count(text, F.lit(rf"[^\p{{L}}\p{{N}}{SPACE[1:-1]}]"))
+
+    def score(c: Column) -> Column:
+        rate = c["words"] / F.greatest(F.lit(1), c["ends"])
+        return (
+            F.when(c["words"] == 0, 1.0).when(rate > 100, 0.7).when(rate < 5, 0.8).otherwise(1.0)
+            * F.when(c["words"] < 50, 0.6).when(c["words"] > 2000, 0.9).otherwise(1.0)
+            * F.when(c["odd"] / c["n"] > 0.3, 0.7).otherwise(1.0)
+        )
+
+    # the counts pass through a list of one, so that each is made once however often the score names it
+    counts = F.array(F.struct(words.alias("words"), ends.alias("ends"), odd.alias("odd"), F.length(text).alias("n")))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) < 10, 0.0).otherwise(F.get(F.transform(counts, score), F.lit(0)))
 
 
 def subject_heading(text: Column) -> Column:

@@ -89,8 +89,8 @@ WORDS = "len(list_filter(string_split_regex(text, '[\\s\\p{Z}\\x1c-\\x1f\\x85]+'
 s as (select doc_id, case when n < 10 then 0.0 else (case when words = 0 then 1.0 when words / greatest(1, ends) > 100 then 0.7 when words / greatest(1, ends) < 5 then 0.8 else 1.0 end) * (case when words < 50 then 0.6 when words > 2000 then 0.9 else 1.0 end) * (case when special > 0.3 then 0.7 else 1.0 end) end as score from p)
 select doc_id, round(score, 6)::double as score, score >= 0.5 as kept from s""")
 def chunk_quality_scores(spark, sf_dir):
-    score = chunk_quality(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(score, 6).alias("score"), (score >= 0.5).alias("kept"))
+    scored = table(spark, sf_dir, "documents").select("doc_id", chunk_quality(F.col("text")).alias("q"))
+    return scored.select("doc_id", F.round("q", 6).alias("score"), (F.col("q") >= 0.5).alias("kept"))
 
 
 SUBJECT = "len(list_filter(['inflation','labour market','economic outlook','forecast','gdp','unemployment','wages','financial conditions','housing','consumption','investment','trade','monetary policy'], lambda s: contains(lower(x), s))) > 0"
