@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import decontaminate, language, packing, simhash, suffix_dedup
+from folio.llm import decontaminate, language, near_copies, packing, suffix_dedup
 from folio.llm.common import staged
 from folio.ship import ship
 
@@ -34,11 +34,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each group of linked fingerprints; of repeated rows one stays.
+    """One document, that with the least id, of each group of texts linked by 5-word Jaccard similarity of 0.8; of repeated rows one stays.
 
     Rows without an id stay if there is a group without any id.
     """
-    found = simhash.near_duplicates(docs)
+    found = near_copies.near_copies(docs)
     leaders = found.where("doc_id is not null and doc_id = component_id").select("doc_id").distinct()
     # the join and the removal of repeated rows share one exchange by id
     named = docs.join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)

@@ -77,6 +77,11 @@ def kept_rows(name: str, make: Callable[[], WordRows]) -> WordRows:
     return KEPT[name]
 
 
+def forget() -> None:
+    """Gives back the rows that earlier tasks of this worker have left."""
+    KEPT.clear()
+
+
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs of rows."""
     total = np.zeros((len(values) + 1, *values.shape[1:]))
