@@ -10,8 +10,8 @@ scoring a text is a sum over its words.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterable
-from itertools import chain, repeat
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice, repeat
 
 import numpy as np
 
@@ -21,13 +21,24 @@ DIM = 12
 GRAMS = (3, 6)
 #: Words whose rows a task remembers.
 REMEMBERED = 400_000
+#: Features that are held at once while words are scored, and while a step learns unless one bag has more.
+BLOCK = 500_000
+
+
+def grams(word: str) -> Iterator[int]:
+    """Buckets of the word and of all its character n-grams, whatever its length."""
+    w = f"<{word}>"
+    yield zlib.crc32(w.encode("utf-8", "replace")) % BUCKETS
+    for size in range(GRAMS[0], min(GRAMS[1], len(w)) + 1):
+        for i in range(len(w) - size + 1):
+            yield zlib.crc32(w[i : i + size].encode("utf-8", "replace")) % BUCKETS
 
 
 def features(word: str) -> list[int]:
     """Buckets of the word and of its character n-grams."""
     w = f"<{word}>"
     found = [zlib.crc32(w.encode("utf-8", "replace")) % BUCKETS]
-    n = min(len(w), 40)
+    n = len(w)
     for size in range(GRAMS[0], min(GRAMS[1], n) + 1):
         found += [zlib.crc32(w[i : i + size].encode("utf-8", "replace")) % BUCKETS for i in range(n - size + 1)]
     return found
@@ -90,6 +101,18 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
+def step_ends(sizes: np.ndarray, batch: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of consecutive steps of `batch` bags, cut further where bags of these sizes hold over BLOCK features."""
+    for lo in range(0, len(sizes), batch):
+        held = 0
+        for k, n in enumerate(sizes[lo : lo + batch].tolist(), lo):
+            if held and held + n > BLOCK:
+                yield lo, k
+                lo, held = k, 0
+            held += n
+        yield lo, k + 1
+
+
 class Model:
     """Embeddings and softmax weights."""
 
@@ -110,11 +133,13 @@ class Model:
         starts = np.cumsum(sizes) - sizes
         weights = np.ones(len(bags), np.float32) if weights is None else weights.astype(np.float32)
         seen_e, seen_w, seen_b = np.full(BUCKETS, 1e-8, np.float32), np.float32(1e-8), np.float32(1e-8)
-        steps, step = max(1, epochs * -(-len(bags) // batch)), 0
-        for _ in range(epochs):
+        each = -(-len(bags) // batch)
+        steps = max(1, epochs * each)
+        for epoch in range(epochs):
             order = rng.permutation(len(bags))
-            for lo in range(0, len(order), batch):
-                mine = order[lo : lo + batch]
+            for lo, hi in step_ends(sizes[order], batch):
+                mine = order[lo:hi]
+                step = epoch * each + lo / batch
                 n = sizes[mine]
                 ids = flat[np.repeat(starts[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                 mean = np.add.reduceat(self.e[ids], np.cumsum(n) - n, axis=0) / n[:, None]
@@ -136,7 +161,6 @@ class Model:
                 g = np.add.reduceat(back[owner], first, axis=0)
                 seen_e[uniq] += (g * g).mean(1)
                 self.e[uniq] -= r * g / np.sqrt(seen_e[uniq])[:, None]
-                step += 1
         return self
 
     def folded(self) -> np.ndarray:
@@ -147,12 +171,36 @@ class Model:
 def word_scores(folded: np.ndarray) -> Callable[[list[str]], np.ndarray]:
     """For words: the sums of their features' class scores, and in the last column how many features."""
 
-    def compute(words: list[str]) -> np.ndarray:
+    def summed(words: list[str]) -> np.ndarray:
         found = [features(w) for w in words]
         counts = np.array([len(x) for x in found], np.int64)
         flat = np.fromiter((k for x in found for k in x), np.int64, int(counts.sum()))
         return np.concatenate((np.add.reduceat(folded[flat], np.cumsum(counts) - counts, axis=0), counts[:, None]), axis=1)
 
+    def long_word(word: str) -> np.ndarray:
+        total, rest = np.zeros(folded.shape[1] + 1), grams(word)
+        while len(part := np.fromiter(islice(rest, BLOCK), np.int64)):
+            total[:-1] += folded[part].sum(0, dtype=np.float64)
+            total[-1] += len(part)
+        return total[None, :]
+
+    def compute(words: list[str]) -> np.ndarray:
+        each = GRAMS[1] - GRAMS[0] + 1
+        out, lo, held = [], 0, 0
+        for hi, w in enumerate(words):
+            n = each * (len(w) + 2)
+            if held and held + n > BLOCK:
+                out.append(summed(words[lo:hi]))
+                lo, held = hi, 0
+            if n > BLOCK:
+                out.append(long_word(w))
+                lo = hi + 1
+            else:
+                held += n
+        if held:
+            out.append(summed(words[lo:]))
+        return np.concatenate(out)
+
     return compute
 
 

@@ -41,9 +41,24 @@ CHARS = 2_000_000
 EDGE = "%*&$#!?.,;:|\"'()[]{}<>-_=+~`/\\"
 
 
+#: Characters beyond which a word is also read in pieces, characters of a piece, and from one piece to the next.
+LONG, PIECE, STEP = 38, 18, 6
+
+
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased words without marks at their ends."""
-    return [w.strip(EDGE) or w for w in (text or "").lower().split()]
+    """Lower-cased words without marks at their ends.
+
+    Joined text is a word like any other, but its mean would drown what a part of it says: long words are followed by their overlapping pieces.
+    """
+    words = [w.strip(EDGE) or w for w in (text or "").lower().split()]
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    out = []
+    for w in words:
+        out.append(w)
+        if len(w) > LONG:
+            out += [w[i : i + PIECE] for i in range(0, len(w) - PIECE + STEP, STEP)]
+    return out
 
 
 class Detector:
