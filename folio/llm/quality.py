@@ -41,6 +41,8 @@ LIMIT = 0.3
 CHARS, BLOCK = 2_000_000, 256
 #: Weight of a shape against that of a word.
 SHAPE = 3.0
+#: Characters of a word that are one term.
+PIECE = 64
 #: The term of a word that repeats its predecessor.
 AGAIN = 0
 
@@ -53,9 +55,16 @@ def term(text: str) -> int:
 
 def terms_of(word: str) -> list[tuple[int, float]]:
     """The terms of a word with their weights."""
-    w = word[:64]
-    shape = RUN.sub(r"\1", DIGIT.sub("0", LOWER.sub("a", UPPER.sub("A", w))))
-    return [(term("w" + w.lower()), 1.0), (term("s" + shape), SHAPE)]
+    shape = RUN.sub(r"\1", DIGIT.sub("0", LOWER.sub("a", UPPER.sub("A", word))))
+    return [(term("w" + word.lower()), 1.0), (term("s" + shape), SHAPE)]
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text; longer ones than PIECE characters as consecutive pieces, which all count."""
+    words = text.split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
 
 
 def repeats(words: list[str]) -> int:
@@ -109,7 +118,7 @@ class Space:
 
 def train(texts: list[str], labels: list[int], dim: int = DIM, seed: int = 4) -> Space:
     """The space of labelled texts, by randomized subspace iteration (Halko et al., 2011)."""
-    lists = [t.split() for t in texts]
+    lists = [words_of(t) for t in texts]
     tf = np.zeros((len(texts), TERMS), np.float32)
     cache: dict[str, list[tuple[int, float]]] = {}
     for i, words in enumerate(lists):
@@ -155,7 +164,7 @@ def score(docs: DataFrame, space: Space | None, limit: float = LIMIT, text: str
                 while hi < len(column) and (hi == lo or chars < CHARS):
                     t = column[hi].as_py() or ""
                     chars += len(t)
-                    lists.append(t.split())
+                    lists.append(words_of(t))
                     hi += 1
                 scores[lo:hi] = s.votes(s.project(rows, lists))
                 lo = hi
