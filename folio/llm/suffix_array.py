@@ -55,6 +55,23 @@ def suffix_array(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return sa, rank[:n]
 
 
+def ranks_to_depth(tokens: np.ndarray, depth: int) -> np.ndarray:
+    """For each position the rank of its suffix by the first `depth` tokens, a power of two; tokens count from 0.
+
+    The same refinement, over whole tokens and no deeper than asked: each step orders pairs of ranks and doubles the
+    compared length, so equal ranks in the end are equal runs of `depth` tokens. What lies beyond the end is least.
+    """
+    rank = np.asarray(tokens, np.int64)
+    h = 1
+    while h < depth:
+        after = np.zeros(len(rank), np.int64)
+        after[:-h] = rank[h:] + 1
+        both = rank * (int(rank.max(initial=0)) + 2) + after
+        rank = np.unique(both, return_inverse=True)[1].astype(np.int64)
+        h *= 2
+    return rank
+
+
 def common_prefixes(data: bytes, sa: np.ndarray, most: int) -> np.ndarray:
     """For each place of the suffix array the length of the prefix shared with the place before, up to `most`.
 
