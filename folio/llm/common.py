@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What this Python worker has learned for the operator named, for its later tasks.
+LEARNED: dict[str, dict] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
@@ -36,6 +42,36 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def learned(name: str) -> dict:
+    """What earlier tasks of the operator have left in this worker; what those of other operators have left is dropped."""
+    for other in LEARNED.keys() - {name}:
+        del LEARNED[other]
+    return LEARNED.setdefault(name, {})
+
+
+def give_back() -> None:
+    """Returns memory that is free in this worker to the system, which would else stay with it for the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable[..., Iterator[pa.RecordBatch]], name: str = "") -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A function over Arrow batches that begins without what other operators have left and gives its memory back in the end."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learned(name)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def raw_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding it."""
     if isinstance(column, pa.ChunkedArray):

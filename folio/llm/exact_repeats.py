@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import fold, only, staged
+from folio.llm.common import fold, only, staged, tidy
 from folio.llm.suffix_array import common_prefixes, suffix_array, words
 
 #: Bytes of a k-gram, at most a quarter of a window.
@@ -92,7 +92,7 @@ def all_pieces(rows: DataFrame, length: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["key", "fp", "d1", "d2", "start", "windows", "twice"])
 
-    return rows.mapInArrow(run, PIECE)
+    return rows.mapInArrow(tidy(run), PIECE)
 
 
 def piece_texts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:

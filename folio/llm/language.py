@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import only
+from folio.llm.common import only, tidy
 from folio.llm.subwords import Model, WordRows, bag, kept_rows, sums, word_scores
 
 #: Documents of each language that the model may learn from, and languages that it may learn.
@@ -148,7 +148,7 @@ def identify(docs: DataFrame, model: Classifier | None, text: str = "text", keep
             rejected = [n == "und" or s < limit for n, s in zip(names, scores, strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*keep, "lang_pred", "score", "rejected"])
 
-    return wanted.mapInArrow(run, schema)
+    return wanted.mapInArrow(tidy(run, "word rows"), schema)
 
 
 def predictions(docs: DataFrame) -> DataFrame:

@@ -26,9 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import only, raw_bytes, staged
+from folio.llm.common import only, raw_bytes, staged, tidy
 from folio.llm.components import components
-from folio.llm.subwords import forget
 
 #: Words of a shingle, and the similarity from which texts link.
 WIDTH, LEAST = 5, 0.8
@@ -102,7 +101,6 @@ def with_prefixes(docs: DataFrame, width: int, least: float, text: str) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        forget()
         for batch in sliced(batches):
             sets = [shingle_set(t, width, known) for t in raw_bytes(batch.column(1))]
             n = np.array([len(h) for h in sets], np.int32)
@@ -112,7 +110,7 @@ def with_prefixes(docs: DataFrame, width: int, least: float, text: str) -> DataF
             ids = np.where(n > 0, batch.column(2).to_numpy(), 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "id", "n", "prefix"])
 
-    return wanted.mapInArrow(run, schema)
+    return wanted.mapInArrow(tidy(run), schema)
 
 
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +138,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, least: float, text:
             found = [shingle_set(t, width, known).view(np.int64) for t in raw_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "h"])
 
-    sets = staged(texts.mapInArrow(run, "id long, h array<long>"), "sets")
+    sets = staged(texts.mapInArrow(tidy(run), "id long, h array<long>"), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
     shared = F.size(F.array_intersect("ha", "hb"))
     return both.where(shared >= (F.size("ha") + F.size("hb") - shared) * least - EPSILON).select("a", "b")

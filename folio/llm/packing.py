@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import fold, only, staged
+from folio.llm.common import fold, learned, only, staged, tidy
 
 #: Tokens of a sequence.
 CAPACITY = 2048
@@ -121,15 +121,13 @@ class Words:
         return np.split(ids, cuts[:-1]) if len(lists) else []
 
 
-#: What this Python worker has learned; its later tasks go on with it.
-KNOWN: dict[str, Words] = {}
-
-
 def known_words(path: str) -> Words:
-    if path not in KNOWN:
-        KNOWN.clear()
-        KNOWN[path] = Words(path)
-    return KNOWN[path]
+    """What this Python worker has learned; its later tasks go on with it."""
+    known = learned("tokens")
+    if path not in known:
+        known.clear()
+        known[path] = Words(path)
+    return known[path]
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,7 +230,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, closing: int = 0,
     def local(batches):
         return pack_locally(batches, path, capacity, closing, text)
 
-    pieces = staged(only(docs, "doc_id", text).mapInArrow(local, PIECES), "packed")
+    pieces = staged(only(docs, "doc_id", text).mapInArrow(tidy(local, "tokens"), PIECES), "packed")
     open_bins = pieces.where((F.col("offset") == 0) & (F.col("fill") < capacity - slack)).select("bin", "fill")
     moves = None
     level = 1

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import only
+from folio.llm.common import only, tidy
 from folio.llm.language import held_out
 from folio.llm.subwords import WordRows, kept_rows
 from folio.llm.toxicity import labelled
@@ -170,7 +170,7 @@ def score(docs: DataFrame, space: Space | None, limit: float = LIMIT, text: str
                 lo = hi
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(scores), pa.array((scores >= limit).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return wanted.mapInArrow(run, schema)
+    return wanted.mapInArrow(tidy(run, "word rows"), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Space | None:

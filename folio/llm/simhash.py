@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import in_block_pairs, only, raw_bytes, staged
+from folio.llm.common import in_block_pairs, only, raw_bytes, staged, tidy
 from folio.llm.components import components
 
 SEED = 42
@@ -79,7 +79,7 @@ def with_fingerprints(docs: DataFrame, width: int = 3, text: str = "text", keep:
             fp = fingerprints(raw_bytes(batch.column(text)), width).view(np.int64)
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(fp)], names=[*keep, "fp"])
 
-    return wanted.mapInArrow(run, schema)
+    return wanted.mapInArrow(tidy(run), schema)
 
 
 def table_rows(fp: np.ndarray, pivots: np.ndarray) -> np.ndarray:

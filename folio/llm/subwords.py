@@ -15,6 +15,8 @@ from itertools import chain, islice, repeat
 
 import numpy as np
 
+from folio.llm.common import learned
+
 BUCKETS = 1 << 16
 DIM = 12
 #: Shortest and longest character n-gram.
@@ -76,21 +78,13 @@ class WordRows:
         return self.table[at], counts
 
 
-#: The rows that this Python worker has computed for a model; its later tasks go on with them.
-KEPT: dict[str, WordRows] = {}
-
-
 def kept_rows(name: str, make: Callable[[], WordRows]) -> WordRows:
-    """The rows of the model of that name, those of another model being forgotten."""
-    if name not in KEPT:
-        KEPT.clear()
-        KEPT[name] = make()
-    return KEPT[name]
-
-
-def forget() -> None:
-    """Gives back the rows that earlier tasks of this worker have left."""
-    KEPT.clear()
+    """The rows that this Python worker has computed for the model of that name, those of another model being forgotten."""
+    kept = learned("word rows")
+    if name not in kept:
+        kept.clear()
+        kept[name] = make()
+    return kept[name]
 
 
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import only
+from folio.llm.common import only, tidy
 from folio.llm.exact_repeats import covered, repeated_runs, without
 
 LENGTH = 200
@@ -53,7 +53,7 @@ def removals(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0).field(0), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_runs(docs, length, text, ["doc_id"]).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_runs(docs, length, text, ["doc_id"]).mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
@@ -69,4 +69,4 @@ def cleaned(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFr
             left = [without(data, covered([(r["first"], r["last"]) for r in runs or ()])).decode("utf-8", "ignore") for data, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*[kept.field(k) for k in range(len(names))], pa.array(left, pa.string())], names=[*names, text])
 
-    return with_runs(docs, length, text, names).mapInArrow(run, schema).select(*docs.columns)
+    return with_runs(docs, length, text, names).mapInArrow(tidy(run), schema).select(*docs.columns)

@@ -74,3 +74,30 @@ def test_rows_without_id_and_repeated_rows(spark, tmp_path):
     assert [r.doc_id for r in keep(spark, spark.createDataFrame(rows, schema), "").collect()] == [1]
     rows.append((None, b, "en", "s", 1))
     assert sorted(str(r.doc_id) for r in keep(spark, spark.createDataFrame(rows, schema), "").collect()) == ["1", "None", "None"]
+
+
+def test_clashing_names(spark, tmp_path):
+    """Columns of documents named like what the operators add stay as they are."""
+    rows, bench = documents()
+    clashes = ["score", "rejected", "lang_pred", "body", "spans", "items", "n_words", "kept", "others", "runs", "id", "component_id"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"concat('{c}', doc_id) as {c}" for c in clashes])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        d = stage(spark, d, str(tmp_path))
+        if name != "packing":
+            assert d.columns == docs.columns
+            assert all(r[c] == f"{c}{r.doc_id}" for r in d.collect() for c in clashes)
+    assert d.count() > 100
+
+
+def test_a_very_long_text(spark, tmp_path):
+    """A document of a million words passes all stages whole."""
+    long = " ".join(f"w{i % 7}x{i}" for i in range(1_000_000))
+    rows, bench = documents()
+    rows.append((900, long, "en", "src", len(long)))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = [r for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r.doc_id == 900]
+    assert sum(r.length for r in out) > 1_000_000
