@@ -29,8 +29,9 @@ def shipped(stage):
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the language classifier rejects: no letters, or a score below its calibrated limit."""
     names = docs.columns
-    found = language.identify(docs, language.fit(docs), keep=tuple(names))
-    return found.where(~F.col("rejected")).select(*names)
+    others = F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("others")
+    found = language.identify(docs.select(others, "text"), language.fit(docs), keep=("others", "text"))
+    return found.where(~F.col("rejected")).select("others.*", "text").select(*[F.col(f"`{c}`") for c in names])
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +54,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents in which a benchmark window occurs."""
-    names = docs.columns
-    found = decontaminate.find_occurrences(docs.withColumn("body", F.col("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumn("body", F.col("text")), text="body", keep=tuple(names))
-    return found.where(F.size("spans") == 0).select(*names)
+    found = decontaminate.find_occurrences(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(docs.columns))
+    return found.where(F.size("spans") == 0).select("kept.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
