@@ -19,11 +19,13 @@ LEARNED: dict[str, dict] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only a session that names none (a local test) gets a folder of its own.
+    Only a session that names none gets a folder of its own, and only if driver and tasks are one process (a local test).
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = spark.conf.get("spark.folio.test.dir", None)
     if not own:
         own = tempfile.mkdtemp(prefix="folio_")
@@ -39,7 +41,17 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.staged_at = path
+    return stored
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Deletes tables of `staged` of which everything that read them has been written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def learned(name: str) -> dict:

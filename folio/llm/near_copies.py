@@ -1,17 +1,20 @@
-"""Near copies by the exact Jaccard similarity of word shingles, found through prefixes.
+"""Near copies by the Jaccard similarity of word shingles: SimHash pivots first, prefixes for the rest, whole sets to verify.
 
-A text is its set of hashed shingles. All sets are put in one order, least common
+A text is its set of hashed shingles. Candidates come from two sides. The SimHash operator's
+pivot tables link the fingerprints of the sets, which finds the closest copies but misses most at a similarity of 0.8.
+So a prefix filter completes them: all sets are put in one order, least common
 shingles first (as far as a sample of texts knows; any order is correct). Two sets
 that reach the similarity share a shingle among their first
 n - ceil(least * n) + 1, so the texts that share none there are never compared.
-Sizes and places bound what a pair can still share. Candidates are verified by
+Sizes and places bound what a pair can still share, and so do bitmaps that hold for each bit whether an odd
+number of shingles falls on it: bits that differ are shingles that differ. What is left is verified by
 whole sets. Each shingle's texts are first compared with one of them; then all
 pairs whose texts are not yet linked are. So every link counts, but groups
 of copies are not expanded into pairs.
 
 Equal texts are one. Null texts and those without words are one group. A null
 doc_id gets its component like any other. Repeated rows and extra columns do
-not matter; an empty table gives no rows.
+not matter; an empty table gives no rows. A text of any length is one set, in one task.
 """
 
 from __future__ import annotations
@@ -26,17 +29,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import only, raw_bytes, staged, tidy
+from folio.llm import simhash
+from folio.llm.common import only, raw_bytes, staged, tidy, unstage
 from folio.llm.components import components
 
 #: Words of a shingle, and the similarity from which texts link.
 WIDTH, LEAST = 5, 0.8
-#: Texts that the order of shingles is learned from, and characters of each.
-SAMPLE, CHARS = 6_000, 20_000
+#: Differing bits up to which fingerprints propose a pair.
+REACH = 3
+#: Texts that the order of shingles is learned from, and shingles of which it knows that several of those have them.
+SAMPLE, COMMON = 24_000, 2_000_000
 #: Words whose hashes a task remembers.
 REMEMBERED = 100_000
 #: Texts whose sets a task holds at once.
 ROWS = 500
+#: Texts of pairs to verify whose ids are sent to all tasks.
+SENT = 1_000_000
 #: Room for rounding: it lets candidates through and never holds one back.
 EPSILON = 1e-9
 
@@ -69,16 +77,31 @@ def shingle_set(text: bytes | None, width: int, known: WordHashes) -> np.ndarray
     return np.unique(h ^ h >> np.uint64(32))
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows, ROWS at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS):
+            yield batch.slice(lo, ROWS)
+
+
 def common_shingles(docs: DataFrame, width: int, text: str) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that several sampled texts have, and how many have each."""
-    drawn = only(docs, text).where(F.col(f"`{text}`").isNotNull()).select(F.substring(F.col(f"`{text}`"), 1, CHARS).alias("t"))
-    share = min(1.0, SAMPLE / max(1, docs.count()))
+    drawn = only(docs, text).where(F.col(f"`{text}`").isNotNull())
     # row by row, so that many equal texts do not fill the sample
-    rows = drawn.where(F.rand(7) < share).limit(2 * SAMPLE).collect()
-    known = WordHashes()
-    sets = [shingle_set(t.encode(), width, known) for t in {r[0] for r in rows}]
-    value, count = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
-    return value[count > 1], count[count > 1].astype(np.int32)
+    some = drawn.where(F.rand(7) < min(1.0, SAMPLE / max(1, docs.count())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in sliced(batches):
+            sets = [shingle_set(t, width, known) for t in set(raw_bytes(batch.column(0)))]
+            value, count = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count.astype(np.int32))], names=["token", "count"])
+
+    often = some.mapInArrow(tidy(run), "token long, count int").groupBy("token").agg(F.sum("count").alias("n")).where("n > 1")
+    rows = often.orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    value, count = rows["token"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(value)
+    return value[order], count[order].astype(np.int32)
 
 
 def prefix_of(h: np.ndarray, least: float, common: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -93,11 +116,27 @@ def prefix_of(h: np.ndarray, least: float, common: np.ndarray, weight: np.ndarra
     return h[np.lexsort((h, heavy))[: n - math.ceil(least * n - EPSILON) + 1]]
 
 
+def bitmap(h: np.ndarray) -> bytes:
+    """For each bit whether an odd number of shingles falls on it; as many bits as the next power of two from the number of shingles."""
+    bits = max(64, 1 << max(0, len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def could_agree(a: bytes, b: bytes, na: int, nb: int, least: float) -> bool:
+    """Whether the bitmaps leave room for the similarity: each differing bit is at least one shingle that one text alone has."""
+    while len(a) != len(b):
+        long, b = (a, b) if len(a) > len(b) else (b, a)
+        half = len(long) // 2
+        a = (int.from_bytes(long[:half]) ^ int.from_bytes(long[half:])).to_bytes(half)
+    differing = (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
+    return differing <= (na + nb) * (1 - least) / (1 + least) + EPSILON
+
+
 def with_prefixes(docs: DataFrame, width: int, least: float, text: str) -> DataFrame:
-    """doc_id, id (one for equal texts, 0 for those without words), n (shingles) and prefix."""
+    """doc_id, id (one for equal texts, 0 for those without words), n (shingles), prefix, fp (fingerprint of the set) and bits."""
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width, text))
     wanted = only(docs, "doc_id", text).withColumn("id", F.xxhash64(F.col(f"`{text}`")))
-    schema = T.StructType([wanted.schema["doc_id"], *T._parse_datatype_string("id long, n int, prefix array<long>").fields])
+    schema = T.StructType([wanted.schema["doc_id"], *T._parse_datatype_string("id long, n int, prefix array<long>, fp long, bits binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -108,18 +147,13 @@ def with_prefixes(docs: DataFrame, width: int, least: float, text: str) -> DataF
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
             ids = np.where(n > 0, batch.column(2).to_numpy(), 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "id", "n", "prefix"])
+            fp = np.array([simhash.majority(h) for h in sets], np.uint64).view(np.int64)
+            columns = [batch.column(0), pa.array(ids), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(fp), pa.array(map(bitmap, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
     return wanted.mapInArrow(tidy(run), schema)
 
 
-def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows, ROWS at a time."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, ROWS):
-            yield batch.slice(lo, ROWS)
-
-
 def could_link(a: str, b: str, least: float):
     """Whether sizes, and the places of a shingle that is the first of both, leave room for the similarity."""
     na, nb, pa_, pb = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (a, b))
@@ -127,33 +161,66 @@ def could_link(a: str, b: str, least: float):
     return fits & (F.least(na - pa_, nb - pb) >= (na + nb) * (least / (1 + least)) - EPSILON)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, least: float, text: str) -> DataFrame:
-    """The pairs (a, b) of ids whose texts reach the similarity."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = only(docs, text).select(F.xxhash64(F.col(f"`{text}`")).alias("id"), F.col(f"`{text}`").alias("t")).join(wanted, "id", "left_semi").dropDuplicates(["id"])
+def proposed(kinds: DataFrame, reach: int) -> DataFrame:
+    """Pairs (a, b) of ids whose fingerprints the pivot tables link, each fingerprint standing for one of its texts, and of that with its others."""
+    spoken = kinds.where("n > 0")
+    prints = staged(spoken.groupBy("fp").agg(F.min("id").alias("lead")), "prints")
+    links = staged(simhash.fingerprint_links(prints, reach), "linked")
+    one, two = (prints.select(F.col("fp").alias(c), F.col("lead").alias(f"{c}_id")) for c in ("a", "b"))
+    across = links.join(one, "a").join(two, "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    within = spoken.join(prints, "fp").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    return across.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in sliced(batches):
-            found = [shingle_set(t, width, known).view(np.int64) for t in raw_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "h"])
 
-    sets = staged(texts.mapInArrow(tidy(run), "id long, h array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
-    shared = F.size(F.array_intersect("ha", "hb"))
-    return both.where(shared >= (F.size("ha") + F.size("hb") - shared) * least - EPSILON).select("a", "b")
+def verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame, width: int, least: float, text: str) -> DataFrame:
+    """The pairs (a, b) of ids whose texts reach the similarity, stored."""
+
+    def side(c: str) -> DataFrame:
+        return kinds.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [could_agree(x, y, m, n, least) for x, y, m, n in zip(*(batch.column(c).to_pylist() for c in ("bitsa", "bitsb", "na", "nb")), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    near = staged(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidy(may), "a long, b long"), "near")
+    wanted = staged(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "wanted")
+    texts = only(docs, text).select(F.xxhash64(F.col(f"`{text}`")).alias("id"), F.col(f"`{text}`").alias("t"))
+    texts = texts.join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, "id", "left_semi").dropDuplicates(["id"])
 
-def near_copies(docs: DataFrame, width: int = WIDTH, least: float = LEAST, text: str = "text") -> DataFrame:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in sliced(batches):
+            found = [shingle_set(t, width, known).tobytes() for t in raw_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "h"])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("ha"), batch.column("hb"), strict=True):
+                x, y = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(shared >= (len(x) + len(y) - shared) * least - EPSILON)
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    sets = staged(texts.mapInArrow(tidy(whole), "id long, h binary"), "sets")
+    both = near.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
+    links = staged(both.mapInArrow(tidy(exact), "a long, b long"), "links")
+    unstage(near, wanted, sets)
+    return links
+
+
+def near_copies(docs: DataFrame, width: int = WIDTH, least: float = LEAST, reach: int = REACH, text: str = "text") -> DataFrame:
     """doc_id and component_id (the least doc_id that links reach) of every document."""
     prints = staged(with_prefixes(docs, width, least, text), "prefixes")
+    kinds = staged(prints.select("id", "n", "fp", "bits").dropDuplicates(["id"]), "kinds")
     places = prints.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     often = places.groupBy("token").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("token", "lead")
     held = staged(places.join(often, "token").dropDuplicates(["token", "id"]), "held")
     pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
-    first = held.alias("x").join(held.where("id = lead").alias("y"), "token").where("x.id <> y.id").where(could_link("x", "y", least))
-    first = staged(first.select(*pair).distinct(), "first")
-    links = staged(verified(first, docs, width, least, text), "links")
+    first = held.alias("x").join(held.where("id = lead").alias("y"), "token").where("x.id <> y.id").where(could_link("x", "y", least)).select(*pair)
+    first = staged(first.union(proposed(kinds, reach)).distinct(), "first")
+    links = verified(first, kinds, docs, width, least, text)
     roots = staged(components(links), "roots")
     # what one comparison for each shingle left apart
     rooted = held.join(roots, held["id"] == roots["node"], "left").select("token", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
@@ -161,10 +228,16 @@ def near_copies(docs: DataFrame, width: int = WIDTH, least: float = LEAST, text:
     rest = staged(rooted.join(apart, "token"), "rest")
     more = rest.alias("x").join(rest.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & could_link("x", "y", least))
     more = staged(more.select(*pair).distinct().join(first, ["a", "b"], "left_anti"), "more")
-    late = staged(verified(more, docs, width, least, text), "late")
+    late = verified(more, kinds, docs, width, least, text)
     if not late.isEmpty():
         roots = staged(components(links.union(late)), "roots")
-    member = prints.groupBy("id").agg(F.min("doc_id").alias("least")).join(roots, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root"))
-    member = staged(member, "members")
+    member = kinds_members(prints, roots)
+    unstage(first, held, rest, more, kinds)
     named = member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("id", "component_id")
     return prints.select("doc_id", "id").join(named, "id").select("doc_id", "component_id")
+
+
+def kinds_members(prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """id, least doc_id that has it, and root of every distinct text, stored."""
+    least = prints.groupBy("id").agg(F.min("doc_id").alias("least"))
+    return staged(least.join(roots, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root")), "members")

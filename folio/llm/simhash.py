@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import in_block_pairs, only, raw_bytes, staged, tidy
-from folio.llm.components import components
+from folio.llm.components import components, forest
 
 SEED = 42
 #: Differing bits at which fingerprints still link.
@@ -37,6 +37,8 @@ PIVOT_FACTOR, LEAST_PIVOTS, MOST_PIVOTS = 2, 16, 8_192
 BLOCK = 4_096
 #: Coordinates of the table that are compared before bits are.
 COORDINATES = 4
+#: Fingerprints whose distances to all pivots a task holds at once.
+ROWS = 512
 #: Shingles whose bits are counted together.
 RUN = 100_000
 
@@ -51,20 +53,23 @@ def shingles(text: bytes | None, width: int) -> list[bytes]:
     return [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
 
 
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes: a bit is set if over half of them have it."""
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(h), RUN):
+        ones += np.unpackbits(h[lo : lo + RUN].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int32)
+    return int(np.packbits(2 * ones > len(h)).view(">u8")[0])
+
+
 def fingerprints(texts: list[bytes | None], width: int) -> np.ndarray:
     """The fingerprint of each text: a bit is set if over half of the shingles' hashes have it."""
-    out = np.zeros((len(texts), 64), bool)
     digest = xxhash.xxh64_intdigest
+    out = np.zeros(len(texts), np.uint64)
     for i, text in enumerate(texts):
         parts = shingles(text, width)
-        if not parts:
-            continue
-        ones = np.zeros(64, np.int64)
-        for lo in range(0, len(parts), RUN):
-            h = np.array([digest(p, SEED) for p in parts[lo : lo + RUN]], np.uint64).astype(">u8")
-            ones += np.unpackbits(h.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int32)
-        out[i] = 2 * ones > len(parts)
-    return np.packbits(out, axis=1).view(">u8").ravel().astype(np.uint64)
+        if parts:
+            out[i] = majority(np.fromiter((digest(p, SEED) for p in parts), np.uint64, len(parts)))
+    return out
 
 
 def with_fingerprints(docs: DataFrame, width: int = 3, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -95,8 +100,8 @@ def in_cells(fps: DataFrame, pivots: np.ndarray, reach: int) -> DataFrame:
         p = sent.value
         for batch in batches:
             every = batch.column(0).to_numpy().view(np.uint64)
-            for lo in range(0, len(every), 4096):
-                fp = every[lo : lo + 4096]
+            for lo in range(0, len(every), ROWS):
+                fp = every[lo : lo + ROWS]
                 d = table_rows(fp, p)
                 home = d.argmin(1)
                 near = d <= d.min(1)[:, None] + 2 * reach
@@ -135,8 +140,11 @@ def linked(one: np.ndarray, two: np.ndarray, pivots: np.ndarray, reach: int) ->
     return np.concatenate(rows), np.concatenate(columns)
 
 
-def fingerprint_links(fps: DataFrame, reach: int = REACH, block: int = BLOCK, most: int = MOST_PIVOTS) -> DataFrame:
-    """All pairs (a, b) of distinct values of fps.fp within reach."""
+def fingerprint_links(fps: DataFrame, reach: int = REACH, block: int = BLOCK, most: int = MOST_PIVOTS, whole: bool = False) -> DataFrame:
+    """Links (a, b) between distinct values of fps.fp with the components of all pairs within reach; with `whole`, all those pairs.
+
+    Each pair of blocks of a cell finds all of its links, but gives a forest of them: a large group of near copies has as many rows as members.
+    """
     spark = fps.sparkSession
     number = fps.count()
     wanted = int(min(most, max(LEAST_PIVOTS, PIVOT_FACTOR * number**0.5)))
@@ -160,6 +168,8 @@ def fingerprint_links(fps: DataFrame, reach: int = REACH, block: int = BLOCK, mo
             once = ~home[j] | (fp[i] < fp[j])
             out.append((fp[i[once]], fp[j[once]]))
         left, right = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
+        if not whole:
+            left, right = forest(left, right)
         return pa.table({"a": left, "b": right})
 
     units = in_block_pairs(cells, ["cell"], "fp", block, 0)

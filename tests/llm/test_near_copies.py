@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from folio.llm import near_copies
 from tests.llm.test_near_duplicates import brute_fingerprint, roots_of
@@ -50,3 +52,18 @@ def test_against_brute_force_jaccard(spark):
 
 def test_empty(spark):
     assert near_copies.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_bitmaps_never_part_similar_sets():
+    rng = np.random.default_rng(1)
+    parted = 0
+    for n in (1, 2, 60, 64, 65, 200, 700, 5000):
+        for _ in range(40):
+            one = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+            two = np.unique(np.concatenate((one[rng.random(len(one)) < rng.choice([0.3, 0.7, 0.85, 0.9, 0.95, 1])], rng.integers(0, 1 << 63, int(rng.choice([0, 0.05, 0.2]) * n), np.uint64))))
+            shared = len(np.intersect1d(one, two))
+            like = len(two) and shared >= 0.8 * (len(one) + len(two) - shared)
+            may = near_copies.could_agree(near_copies.bitmap(one), near_copies.bitmap(two), len(one), len(two), 0.8)
+            assert may or not like
+            parted += not may
+    assert parted > 80

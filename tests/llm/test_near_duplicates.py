@@ -67,7 +67,10 @@ def test_fingerprint_links(spark, block):
     i, j = np.nonzero(np.bitwise_count(every[:, None] ^ every[None, :]) <= 2)
     want = {(int(every[a]), int(every[b])) for a, b in zip(i, j, strict=True) if a < b}
     fps = spark.createDataFrame([(int(x),) for x in every.view(np.int64)], "fp long")
-    rows = simhash.fingerprint_links(fps, 2, block).collect()
+    rows = simhash.fingerprint_links(fps, 2, block, whole=True).collect()
+    some = simhash.fingerprint_links(fps, 2, block).collect()
+    number = {int(x): k for k, x in enumerate(every.view(np.int64))}
+    assert roots_of(len(every), [(number[r.a], number[r.b]) for r in some]) == roots_of(len(every), [(number[r.a], number[r.b]) for r in rows]) and len(some) < len(rows)
     got = [tuple(sorted(int(np.int64(x).view(np.uint64)) for x in (r.a, r.b))) for r in rows]
     assert len(got) == len(set(got)) and set(got) == want
 
