@@ -1,20 +1,27 @@
 """Language identification by averaged hashed subword embeddings.
 
-The model learns from a bounded sample of documents with a language (at most
-`per_language` of each, drawn by a hash of the id), cut into spans of words, so that
+The model learns every language from a bounded sample of documents that have one (about
+`per_language` of each, fewer if there are very many languages, drawn by a hash of the id; none of more than
+`LONGEST` bytes). Their whole texts are cut into spans of words, so that
 short texts are at home in it. Scores are calibrated by a temperature fitted
 on sampled documents that took no part in training; the rejection limit is the score
 that all but `tail` of those exceed.
 
-Texts that are null or hold no letter are `und` with score 0 and are rejected.
-Null languages teach nothing. Without any labelled document every text is `und`.
-Repeated rows and extra columns do not matter; an empty table gives no rows.
+A word is a letter (Unicode category L) and the letters and marks that follow it: digits, numerals and
+fractions are none. Texts that are null or hold no letter are `und` with score 0 and are rejected.
+Of equally likely languages the first by name counts. Null languages teach nothing. Without any labelled document
+every text is `und`. A text of any length is read whole, in one task. Repeated rows and extra columns do not
+matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
+import unicodedata
 import uuid
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +31,46 @@ from pyspark.sql import functions as F
 from folio.llm.common import only, tidy
 from folio.llm.subwords import Model, WordRows, bag, kept_rows, sums, word_scores
 
-#: Documents of each language that the model may learn from, and languages that it may learn.
-PER_LANGUAGE, LANGUAGES = 700, 200
-#: Words of a training span, and spans of one document.
-SPAN, SPANS = 24, 24
+#: Documents of each language that the model may learn from, of all languages together, and bytes of such a document.
+PER_LANGUAGE, ALL_LANGUAGES, LONGEST = 500, 20_000, 1 << 20
+#: Groups whose shares are sent to all tasks.
+GROUPS = 10_000
+#: Words of a training span.
+SPAN = 24
 #: Share of calibration documents that may fall below the rejection limit.
 TAIL = 0.001
 #: Characters that are scored together.
 CHARS = 2_000_000
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: The words of lower-cased texts of Latin-1 characters.
+LATIN = re.compile("[a-zªµºß-öø-ÿ]+")
+
+
+@functools.cache
+def any_script() -> re.Pattern[str]:
+    """A letter and the letters and marks that follow it, in any script."""
+
+    def others(kinds: str) -> str:
+        """The ranges of characters of other categories."""
+        out, at = "", 0
+        for inside, run in groupby(range(sys.maxunicode + 1), key=lambda c: unicodedata.category(chr(c))[0] in kinds):
+            end = at + sum(1 for _ in run)
+            out += "" if inside else f"\\U{at:08x}-\\U{end - 1:08x}"
+            at = end
+        return out
+
+    return re.compile(f"[^{others('L')}][^{others('LM')}]*")
+
+
+def words_of(text: str | None) -> list[str]:
+    """The lower-cased words of a text."""
+    text = (text or "").lower()
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return any_script().findall(text)
+    return LATIN.findall(text)
 
 
 def held_out(key: Column, parts: int, remainder: int) -> Column:
@@ -41,14 +78,15 @@ def held_out(key: Column, parts: int, remainder: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(parts)) == remainder, F.lit(False))
 
 
-def draw(rows: DataFrame, key: str, group: str, wanted: int, groups: int) -> DataFrame:
-    """About `wanted` rows of each of at most `groups` groups, by a hash of the key."""
-    counts = rows.groupBy(group).count().orderBy(F.desc("count"), group).limit(groups).collect()
-    share = [(F.col(group) == F.lit(r[0])) & (F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) < int((1 << 30) * min(1.0, wanted / r[1]))) for r in counts]
-    chosen = share[0] if share else F.lit(False)
-    for s in share[1:]:
-        chosen = chosen | s
-    return rows.where(chosen).orderBy(F.xxhash64(F.lit("sample"), key)).limit(2 * wanted * max(1, len(share)))
+def draw(rows: DataFrame, key: str, group: str, wanted: int, most: int) -> DataFrame:
+    """About `wanted` rows of each group, fewer where that would make over `most`, by a hash of the key."""
+    counts = rows.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_rows"))
+    groups = counts.count()
+    wanted = max(1, min(wanted, most // max(1, groups)))
+    place = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30))
+    chosen = rows.join(F.broadcast(counts) if groups <= GROUPS else counts, F.col(group) == F.col("_group"))
+    chosen = chosen.where(place < F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(wanted) / F.col("_rows"))).drop("_group", "_rows")
+    return chosen.orderBy(F.xxhash64(F.lit("sample"), key)).limit(2 * wanted * max(1, groups))
 
 
 class Classifier:
@@ -72,21 +110,19 @@ def train(texts: list[str], languages: list[str]) -> Classifier:
     """Learns from texts with languages."""
     names = sorted(set(languages))
     label = np.array([names.index(x) for x in languages], np.int64)
-    words = [LETTERS.findall(t.lower()) for t in texts]
+    words = [words_of(t) for t in texts]
     used = [i for i, w in enumerate(words) if w]
-    cache: dict[str, list[int]] = {}
+    cache: dict[str, np.ndarray] = {}
     bags, y, calibration = [], [], []
-    rng = np.random.default_rng(3)
-    for k, i in enumerate(used):
-        if k % 5 == 0 and len(used) >= 20:
+    for nth, i in enumerate(used):
+        if nth % 5 == 0 and len(used) >= 20:
             calibration.append(i)
             continue
         w = words[i]
-        at = [0] if len(w) <= SPAN else np.unique(rng.integers(0, len(w) - SPAN + 1, min(SPANS, len(w) // SPAN + 1))).tolist()
-        for s in at:
-            n = SPAN if len(at) > 1 or len(w) > SPAN else len(w)
-            bags.append(bag(w[s : s + n], cache))
+        for k in range(0, len(w), SPAN):
+            bags.append(bag(w[k : k + SPAN], cache))
             y.append(label[i])
+    cache.clear()
     model = Model(len(names)).fit(bags, np.eye(len(names), dtype=np.float32)[y], epochs=3)
     out = Classifier(names, model.folded(), model.b, 1.0, 0.0)
     if calibration:
@@ -107,7 +143,7 @@ def train(texts: list[str], languages: list[str]) -> Classifier:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, parts: int = 4, remainder: int = 2, text: str = "text", lang: str = "lang") -> Classifier | None:
     """The classifier learned from the documents that are not held out; None if none has a language."""
     rows = only(docs, "doc_id", text, lang).where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), parts, remainder))
-    got = draw(rows, "doc_id", lang, per_language, LANGUAGES).collect()
+    got = draw(rows.where(F.octet_length(text) <= LONGEST), "doc_id", lang, per_language, ALL_LANGUAGES).collect()
     got = sorted(got, key=lambda r: (r[0], r[1]))
     return train([r[1] for r in got], [r[2] for r in got]) if got else None
 
@@ -132,7 +168,7 @@ def identify(docs: DataFrame, model: Classifier | None, text: str = "text", keep
                 while hi < len(column) and (hi == lo or chars < CHARS):
                     t = column[hi].as_py() or ""
                     chars += len(t)
-                    lists.append(LETTERS.findall(t.lower()))
+                    lists.append(words_of(t))
                     hi += 1
                 if m:
                     values, counts = rows.look_up(lists)

@@ -123,7 +123,7 @@ class Model:
         """
         rng = np.random.default_rng(seed)
         sizes = np.array([len(x) for x in bags], np.int64)
-        flat = np.concatenate(bags).astype(np.int64) if bags else np.zeros(0, np.int64)
+        flat = np.concatenate(bags) if bags else np.zeros(0, np.int32)
         starts = np.cumsum(sizes) - sizes
         weights = np.ones(len(bags), np.float32) if weights is None else weights.astype(np.float32)
         seen_e, seen_w, seen_b = np.full(BUCKETS, 1e-8, np.float32), np.float32(1e-8), np.float32(1e-8)
@@ -198,12 +198,12 @@ def word_scores(folded: np.ndarray) -> Callable[[list[str]], np.ndarray]:
     return compute
 
 
-def bag(words: Iterable[str], cache: dict[str, list[int]]) -> np.ndarray:
+def bag(words: Iterable[str], cache: dict[str, np.ndarray]) -> np.ndarray:
     """The features of all words."""
-    out: list[int] = []
+    out = []
     for w in words:
         f = cache.get(w)
         if f is None:
-            f = cache[w] = features(w)
-        out += f
-    return np.array(out, np.int32)
+            f = cache[w] = np.array(features(w), np.int32)
+        out.append(f)
+    return np.concatenate(out) if out else np.zeros(0, np.int32)

@@ -1,19 +1,19 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
-A few words make a document toxic, and a mean over all its words would drown
-them. So each word is a bag of its subwords, averaged into the softmax; a
-document's evidence is the sum of what its words' log-odds exceed nearly all
-words of clean documents by, over the root of its length. Training
-goes in two rounds: the first takes the words of toxic documents for toxic, the second
-only the most telling of them, and adds the hardest words of clean documents.
-The limit is placed between the classes on sampled documents that took
-no part in training. Unseen misspellings share the n-gram vectors of the words that
-they distort.
-
-Learns from at most `per_class` labelled documents of either class. Null or empty
-texts have no evidence, which scores near 0. Null labels teach nothing; of repeated
+A word is the mean of the embeddings of its subwords, and a document the weighted mean of its distinct
+words. A few words make a document toxic, and an even mean would drown them, so a word weighs exp(FOCUS * z),
+where z is its own log-odds by the same softmax: what the model takes for toxic counts most. The
+document's score is the softmax of that mean, its bias moved so that 0.5 lies where the classes part best on
+sampled documents that took no part in training.
+
+Embeddings and softmax are trained jointly, on all words of the sampled documents, in two rounds: the first takes
+the words of toxic documents for toxic, the second only the telling ones among them. Unseen
+misspellings share the n-gram vectors of the words that they distort.
+
+Learns from about `per_class` labelled documents of either class, none of more than `LONGEST` bytes. Texts
+without words, null or empty ones among them, score 0. Null labels teach nothing; of repeated
 label rows the greatest label counts. If fewer than two classes are labelled, every
-score is 0. Extra columns are ignored; an empty table gives no rows.
+score is 0. A text of any length is read whole, in one task. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,15 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import only, tidy
-from folio.llm.language import draw, held_out
+from folio.llm.language import LONGEST, draw, held_out
 from folio.llm.subwords import Model, WordRows, features, kept_rows, sums, word_scores
 
 #: Documents of each class that the model may learn from.
-PER_CLASS = 2_000
-#: Words that a clean document gives to training at random (a toxic one gives three times as many), and telling or hard ones of a document.
-WORDS, TELLING = 40, 6
-#: Quantile of the words of clean documents that counts as no evidence, and the most that one word can add.
-ORDINARY, MOST = 0.999, 6.0
+PER_CLASS = 1_200
+#: How much more a word weighs the more toxic it is.
+FOCUS = 0.5
+#: Passes over the words in each round, and words of a step.
+EPOCHS, BATCH = 2, 512
+#: Weight of the telling words against all words of clean documents, and the quantile of the latter that a telling word exceeds.
+TELLING, USUAL = 0.08, 0.98
 #: Characters that are scored together.
 CHARS = 2_000_000
 #: What is stripped from the ends of a word.
@@ -46,11 +48,12 @@ LONG, PIECE, STEP = 38, 18, 6
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased words without marks at their ends.
+    """The distinct words, lower-cased and without marks at their ends.
 
     Joined text is a word like any other, but its mean would drown what a part of it says: long words are followed by their overlapping pieces.
     """
     words = [w.strip(EDGE) or w for w in (text or "").lower().split()]
+    words = list(dict.fromkeys(words))
     if max(map(len, words), default=0) <= LONG:
         return words
     out = []
@@ -58,16 +61,22 @@ def words_of(text: str | None) -> list[str]:
         out.append(w)
         if len(w) > LONG:
             out += [w[i : i + PIECE] for i in range(0, len(w) - PIECE + STEP, STEP)]
-    return out
+    return list(dict.fromkeys(out))
 
 
 class Detector:
-    """Folded scores for toxic against clean, bias, what is ordinary, and the evidence that counts as 0.5."""
+    """The model, folded to the log-odds of each bucket, and the log-odds that count as 0.5."""
 
-    def __init__(self, folded: np.ndarray, bias: float, ordinary: float = 0.0, middle: float = 1.0):
-        self.folded, self.bias, self.ordinary, self.middle = folded, bias, ordinary, middle
+    def __init__(self, model: Model, middle: float = 0.0):
+        self.model, self.middle = model, middle
+        folded = model.folded()
+        self.folded, self.bias = (folded[:, 1] - folded[:, 0])[:, None], float(model.b[1] - model.b[0])
         self.name = uuid.uuid4().hex
 
+    def __getstate__(self) -> dict:
+        """The executors need the folded form only."""
+        return self.__dict__ | {"model": None}
+
     def rows(self) -> WordRows:
         return kept_rows(self.name, lambda: WordRows(2, word_scores(self.folded), np.float64))
 
@@ -76,65 +85,47 @@ class Detector:
         return table[:, 0] / table[:, 1] + self.bias
 
     def evidence(self, lists: list[list[str]]) -> np.ndarray:
-        """Evidence of documents, from their words; a word counts once in a document."""
+        """Log-odds of documents, from their words: those of the weighted mean; the least there is without words."""
         table, counts = self.rows().look_up(lists)
-        over = np.clip(self.log_odds(table) - self.ordinary, 0, MOST)
-        telling = np.flatnonzero(over)
-        doc = np.searchsorted(np.cumsum(counts), telling, "right")
-        within = telling - (np.cumsum(counts) - counts)[doc]
-        seen: set[tuple[int, str]] = set()
-        for k, d, i in zip(telling.tolist(), doc.tolist(), within.tolist(), strict=True):
-            if (d, lists[d][i]) in seen:
-                over[k] = 0
-            seen.add((d, lists[d][i]))
-        return sums(over, counts) / np.sqrt(30 + counts)
+        z = self.log_odds(table)
+        weight = np.exp(np.clip(FOCUS * z, -50, 50))
+        total = sums(weight, counts)
+        return np.where(counts > 0, sums(weight * z, counts) / np.where(total > 0, total, 1), -np.inf)
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(4 * (evidence / self.middle - 1), -40, 40)))
+        """The softmax with the moved bias."""
+        return 1 / (1 + np.exp(-np.clip(evidence - self.middle, -700, 700)))
 
 
 def train(texts: list[str], labels: list[int]) -> Detector:
     """Learns from texts labelled 0 or 1."""
-    raw = [words_of(t) for t in texts]
+    lists = [words_of(t) for t in texts]
     y = np.array(labels, np.int64)
-    rng = np.random.default_rng(5)
     aside = np.arange(len(texts)) % 5 == 0 if len(texts) >= 100 else np.zeros(len(texts), bool)
-    kinds = {i: sorted(set(w)) for i, w in enumerate(raw) if w and not aside[i]}
-    cache: dict[str, np.ndarray] = {}
-
-    def fitted(examples: list[tuple[str, int, float]], even: float) -> Detector:
-        for w, _, _ in examples:
-            if w not in cache:
-                cache[w] = np.array(features(w), np.int32)
-        target = np.array([t for _, t, _ in examples], np.float32)
-        weight = np.array([x for _, _, x in examples])
-        weight[target == 1] *= even * weight[target == 0].sum() / max(1e-9, weight[target == 1].sum())
-        m = Model(2).fit([cache[w] for w, _, _ in examples], np.stack((1 - target, target), 1), weight / weight.mean(), epochs=3)
-        folded = m.folded()
-        return Detector((folded[:, 1] - folded[:, 0])[:, None], float(m.b[1] - m.b[0]))
-
-    def some(kind: list[str], n: int) -> list[str]:
-        return [kind[k] for k in rng.permutation(len(kind))[:n].tolist()]
-
-    d = fitted([(w, int(y[i]), 1.0) for i, k in kinds.items() for w in some(k, 3 * WORDS if y[i] else WORDS)], 1.0)
-    rows = d.rows()
-    z = {i: d.log_odds(rows.look_up([k])[0]) for i, k in kinds.items()}
-    usual = np.quantile(np.concatenate([v for i, v in z.items() if not y[i]] or [np.zeros(1)]), 0.98)
-    examples = []
-    for i, k in kinds.items():
-        top = np.argsort(-z[i], kind="stable")[:TELLING]
-        if y[i]:
-            top = top[z[i][top] >= max(usual, (z[i].max() + np.median(z[i])) / 2)]
-            examples += [(k[j], 1, 1.0 / len(top)) for j in top.tolist()]
-        else:
-            examples += [(w, 0, 1.0) for w in sorted({*some(k, WORDS), *(k[j] for j in top.tolist())})]
-    if any(t for _, t, _ in examples):
-        d = fitted(examples, 0.08)
-        rows = d.rows()
-        z = {i: d.log_odds(rows.look_up([k])[0]) for i, k in kinds.items()}
-    d.ordinary = float(np.quantile(np.concatenate([v for i, v in z.items() if not y[i]] or [np.zeros(1)]), ORDINARY))
+    taught = [i for i, w in enumerate(lists) if w and not aside[i]]
+    number: dict[str, int] = {}
+    words = {i: np.array([number.setdefault(w, len(number)) for w in lists[i]], np.int32) for i in taught}
+    bags = [np.array(features(w), np.int32) for w in number]
+
+    def fitted(clean: list[np.ndarray], toxic: list[np.ndarray], weights: list[np.ndarray], even: float) -> Detector:
+        """From words of clean and of toxic documents, these with weights that together come to `even` times the others."""
+        none, no_weight = np.zeros(0, np.int32), np.zeros(0)
+        one, two, weight = np.concatenate([none, *clean]), np.concatenate([none, *toxic]), np.concatenate([no_weight, *weights])
+        weight = np.concatenate((np.ones(len(one)), weight * even * max(1, len(one)) / max(1e-9, weight.sum())))
+        target = np.zeros((len(weight), 2), np.float32)
+        target[: len(one), 0] = target[len(one) :, 1] = 1
+        return Detector(Model(2).fit([bags[k] for k in np.concatenate((one, two)).tolist()], target, weight / weight.mean(), epochs=EPOCHS, batch=BATCH))
+
+    clean, toxic = [words[i] for i in taught if not y[i]], [words[i] for i in taught if y[i]]
+    d = fitted(clean, toxic, [np.ones(len(w)) for w in toxic], 1.0)
+    z = d.log_odds(d.rows().look_up([list(number)])[0])
+    usual = np.quantile(z[np.concatenate(clean)], USUAL) if clean else -np.inf
+    telling = [w[z[w] >= max(usual, (z[w].max() + np.median(z[w])) / 2)] for w in toxic]
+    if any(map(len, telling)):
+        d = fitted(clean, telling, [np.full(len(w), 1 / max(1, len(w))) for w in telling], TELLING)
     judged = np.flatnonzero(aside) if aside.any() and len(set(y[aside].tolist())) > 1 else np.arange(len(texts))
-    d.middle = max(0.05, limit_between(d.evidence([raw[i] for i in judged.tolist()]), y[judged]))
+    found = d.evidence([lists[i] for i in judged.tolist()])
+    d.middle = limit_between(np.where(np.isfinite(found), found, -700.0), y[judged])
     return d
 
 
@@ -151,9 +142,10 @@ def limit_between(z: np.ndarray, y: np.ndarray) -> float:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, parts: int = 5, remainder: int = 0, text: str = "text") -> list[tuple[str, int]]:
     """A bounded sample of (text, label) of the documents that are not held out, in order of their ids."""
     clean = only(labels, "doc_id", label).where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), parts, remainder))
-    chosen = draw(clean.groupBy("doc_id").agg(F.max(label).alias("y")), "doc_id", "y", per_class, 2)
+    chosen = draw(clean.groupBy("doc_id").agg(F.max(label).alias("y")), "doc_id", "y", per_class, 2 * per_class)
     # at most 4 * per_class rows of two numbers
-    got = only(docs, "doc_id", text).join(F.broadcast(chosen), "doc_id").select("doc_id", text, "y").orderBy(F.xxhash64(F.lit("sample"), "doc_id")).limit(4 * per_class).collect()
+    short = only(docs, "doc_id", text).where(F.coalesce(F.octet_length(text), F.lit(0)) <= LONGEST)
+    got = short.join(F.broadcast(chosen), "doc_id").select("doc_id", text, "y").orderBy(F.xxhash64(F.lit("sample"), "doc_id")).limit(4 * per_class).collect()
     return [(r[1] or "", int(r[2])) for r in sorted(got, key=lambda r: (r[0], r[1] or ""))]
 
 
