@@ -113,7 +113,7 @@ def train(texts: list[str], languages: list[str]) -> Classifier:
     words = [words_of(t) for t in texts]
     used = [i for i, w in enumerate(words) if w]
     cache: dict[str, np.ndarray] = {}
-    bags, y, calibration = [], [], []
+    bags, y, weights, calibration = [], [], [], []
     for nth, i in enumerate(used):
         if nth % 5 == 0 and len(used) >= 20:
             calibration.append(i)
@@ -122,8 +122,11 @@ def train(texts: list[str], languages: list[str]) -> Classifier:
         for k in range(0, len(w), SPAN):
             bags.append(bag(w[k : k + SPAN], cache))
             y.append(label[i])
+            # a document counts alike however long it is
+            weights.append(SPAN / len(w))
     cache.clear()
-    model = Model(len(names)).fit(bags, np.eye(len(names), dtype=np.float32)[y], epochs=3)
+    weight = np.minimum(weights, 1.0)
+    model = Model(len(names)).fit(bags, np.eye(len(names), dtype=np.float32)[y], weight / max(1e-9, weight.mean()) if bags else weight, epochs=3)
     out = Classifier(names, model.folded(), model.b, 1.0, 0.0)
     if calibration:
         rows = WordRows(len(names) + 1, word_scores(out.folded))

@@ -30,9 +30,9 @@ from folio.llm.language import LONGEST, draw, held_out
 from folio.llm.subwords import Model, WordRows, features, kept_rows, sums, word_scores
 
 #: Documents of each class that the model may learn from.
-PER_CLASS = 1_200
+PER_CLASS = 2_000
 #: How much more a word weighs the more toxic it is.
-FOCUS = 0.5
+FOCUS = 0.4
 #: Passes over the words in each round, and words of a step.
 EPOCHS, BATCH = 2, 512
 #: Weight of the telling words against all words of clean documents, and the quantile of the latter that a telling word exceeds.
