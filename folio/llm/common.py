@@ -102,13 +102,13 @@ def fold(key: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(parts))
 
 
-def in_block_pairs(df: DataFrame, keys: list[str], member: str, limit: int, dealt: int) -> DataFrame:
+def in_block_pairs(df: DataFrame, keys: list[str], member: str, limit: int) -> DataFrame:
     """Give every group of `keys` blocks of about `limit` members and a unit for each pair of blocks.
 
     A group of one block has the single unit (0, 0). A larger one is cut by a hash
     of `member`; each row is copied to all units of its block, so every pair of
     members meets in exactly one unit and no unit holds more than two blocks,
-    whatever the size of the group. Adds block, unit_a and unit_b, dealt by unit.
+    whatever the size of the group. Adds block, unit_a and unit_b.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_members"))
     cut = (

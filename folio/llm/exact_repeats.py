@@ -121,7 +121,7 @@ def classes(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
 
 FOUND = "d1 long, d2 int, first long, last long, slice int, list binary"
 #: An entry of a published list: the window's fingerprint, where it is if one document alone has it here, and what the shard counted.
-ENTRY = np.dtype([("print", "<u8"), ("rest", "<u8"), ("d1", "<i8"), ("d2", "<i4"), ("lone", "?"), ("at", "<i8"), ("low", "<i8"), ("high", "<i8"), ("weight", "<i8")])
+ENTRY = np.dtype([("print", "<u8"), ("rest", "<u8"), ("d1", "<i8"), ("d2", "<i4"), ("lone", "?"), ("at", "<i8"), ("weight", "<i8")])
 
 
 def joined_runs(d1: np.ndarray, d2: np.ndarray, at: np.ndarray, length: int) -> pa.Table:
@@ -134,10 +134,10 @@ def joined_runs(d1: np.ndarray, d2: np.ndarray, at: np.ndarray, length: int) ->
     return pa.table({"d1": pa.array(d1[first], pa.int64()), "d2": pa.array(d2[first], pa.int32()), "first": pa.array(at[first], pa.int64()), "last": pa.array(at[last] + length, pa.int64())})
 
 
-def search_shards(texts: DataFrame, length: int, across: bool) -> DataFrame:
+def search_shards(texts: DataFrame, length: int) -> DataFrame:
     """Runs (d1, d2, first, last) of repeated windows in pieces that occur once.
 
-    texts: key, fp, d1, d2, start, windows, copies, low, high (least and greatest d1 that has the piece), text.
+    texts: key, fp, d1, d2, start, windows, copies, text.
     """
     size = F.octet_length("text")
     total = texts.agg(F.sum(size)).first()[0] or 0
@@ -149,15 +149,12 @@ def search_shards(texts: DataFrame, length: int, across: bool) -> DataFrame:
 
     def search(key, table):
         body = table["text"].to_pylist()
-        d1, d2, start, copies, low, high = (table[c].to_numpy() for c in ("d1", "d2", "start", "copies", "low", "high"))
+        d1, d2, start, copies = (table[c].to_numpy() for c in ("d1", "d2", "start", "copies"))
         owner, place, number = classes(body, length)
         kinds = int(number.max(initial=0)) + 1
         weight = np.bincount(number, weights=copies[owner], minlength=kinds).astype(np.int64)
-        least, most = np.full(kinds, np.iinfo(np.int64).max), np.full(kinds, np.iinfo(np.int64).min)
-        np.minimum.at(least, number, low[owner])
-        np.maximum.at(most, number, high[owner])
-        again = (least < most) if across else (weight > 1)
-        single = copies[owner] == 1 if not across else low[owner] == high[owner]
+        again = weight > 1
+        single = copies[owner] == 1
         hit = again[number] & single
         out = joined_runs(d1[owner[hit]], d2[owner[hit]], start[owner[hit]] + place[hit], length)
         out = out.append_column("slice", pa.nulls(len(out), pa.int32())).append_column("list", pa.nulls(len(out), pa.binary()))
@@ -172,7 +169,6 @@ def search_shards(texts: DataFrame, length: int, across: bool) -> DataFrame:
         entry["print"], entry["rest"] = np.frombuffer(b"".join(prints), "<u8").reshape(-1, 2).T
         entry["d1"], entry["d2"], entry["at"] = d1[owner[shown]], d2[owner[shown]], start[owner[shown]] + place[shown]
         entry["lone"] = (single & ~again[number])[shown]
-        entry["low"], entry["high"] = least[number[shown]], most[number[shown]]
         entry["weight"] = np.where(first[shown], weight[number[shown]], 0)
         entry.sort(order=["print", "rest"])
         ends = np.searchsorted(entry["print"], np.array([((k + 1) << 64) // slices - 1 for k in range(slices)], np.uint64), "right")
@@ -190,28 +186,26 @@ def search_shards(texts: DataFrame, length: int, across: bool) -> DataFrame:
         every = np.concatenate(lists)
         # the distinct fingerprints in order; each entry finds its own by binary search
         both = np.unique(every[["print", "rest"]])
-        low, high, weight = np.full(len(both), np.iinfo(np.int64).max), np.full(len(both), np.iinfo(np.int64).min), np.zeros(len(both), np.int64)
+        weight = np.zeros(len(both), np.int64)
         spots = []
         for x in lists:
             lo, hi = np.searchsorted(both["print"], x["print"]), np.searchsorted(both["print"], x["print"], "right")
             spot = lo.copy()
             for k in np.flatnonzero(hi - lo > 1).tolist():
                 spot[k] += np.searchsorted(both["rest"][lo[k] : hi[k]], x["rest"][k])
-            np.minimum.at(low, spot, x["low"])
-            np.maximum.at(high, spot, x["high"])
             np.add.at(weight, spot, x["weight"])
             spots.append(spot)
-        again = low < high if across else weight > 1
+        again = weight > 1
         hit = every["lone"] & again[np.concatenate(spots)]
         return joined_runs(every["d1"][hit], every["d2"][hit], every["at"][hit], length)
 
     return inside.union(found.where("list is not null").groupBy("slice").applyInArrow(merge, "d1 long, d2 int, first long, last long"))
 
 
-def repeated_runs(rows: DataFrame, length: int, across: bool = False) -> DataFrame:
+def repeated_runs(rows: DataFrame, length: int) -> DataFrame:
     """(d1, d2, runs) of the rows (d1, d2, scope, body) with bytes that a repeated window covers.
 
-    A window counts as repeated if it starts anywhere else within its scope; with `across`, in a row of another d1.
+    A window counts as repeated if it starts anywhere else within its scope.
     (d1, d2) names a row's content: rows that share it must have equal bodies.
     """
     rows = only(rows, "d1", "d2", "scope", "body")
@@ -219,17 +213,18 @@ def repeated_runs(rows: DataFrame, length: int, across: bool = False) -> DataFra
     often = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("t")).where("n > 1 or t").select("key")
     pieces = staged(pieces.drop("twice").join(often, "key"), "pieces")
     kinds = pieces.groupBy("key", "fp").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("d1").alias("low"), F.max("d1").alias("high"), F.min(F.struct("d1", "d2", "start", "windows")).alias("at")
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct("d1", "d2", "start", "windows")).alias("at")
     )
-    kinds = staged(kinds.select("key", "fp", "copies", "low", "high", "at.*"), "kinds")
-    known = F.col("low") < F.col("high") if across else F.col("copies") > 1
+    kinds = staged(kinds.select("key", "fp", "copies", "at.*"), "kinds")
+    known = F.col("copies") > 1
     whole = pieces.join(kinds.where(known).select("key", "fp"), ["key", "fp"]).select("d1", "d2", F.col("start").cast("long").alias("first"), (F.col("start") + F.col("windows") + F.lit(length - 1)).cast("long").alias("last"))
     # a piece can also repeat itself within: such are at least two windows of an own
     several = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max((~known).cast("int")).alias("open"), F.max(F.when(~known, F.col("windows"))).alias("w"))
-    mixed = several.where("open = 1 and (k > 1 or w > 1)").select("key")
-    unclear = kinds.join(mixed, "key").select("key", "fp", "copies", "low", "high", "d1", "d2", "start", "windows")
+    # stored, so that the join reads both sides by plain exchanges and a key with many pieces can be split
+    mixed = staged(several.where("open = 1 and (k > 1 or w > 1)").select("key"), "mixed")
+    unclear = kinds.join(mixed, "key").select("key", "fp", "copies", "d1", "d2", "start", "windows")
     texts = staged(piece_texts(rows, unclear, length), "texts")
-    runs = whole.union(search_shards(texts, length, across)).distinct()
+    runs = whole.union(search_shards(texts, length)).distinct()
     return runs.groupBy("d1", "d2").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
 

@@ -172,7 +172,7 @@ def fingerprint_links(fps: DataFrame, reach: int = REACH, block: int = BLOCK, mo
             left, right = forest(left, right)
         return pa.table({"a": left, "b": right})
 
-    units = in_block_pairs(cells, ["cell"], "fp", block, 0)
+    units = in_block_pairs(cells, ["cell"], "fp", block)
     return units.groupBy("cell", "unit_a", "unit_b").applyInArrow(verify, "a long, b long")
 
 

@@ -27,7 +27,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import only, shared_dir, staged
+from folio.llm.common import only, shared_dir, staged, tidy
 
 #: Payloads shorter than this are always stored.
 LEAST = 1000
@@ -35,6 +35,8 @@ LEAST = 1000
 ARCHIVE_BYTES = 256 << 20
 #: Stretch of an archive that one reader takes, gap that a read may bridge, and bytes of one read.
 STRETCH, GAP, READ = 1 << 20, 64 << 10, 8 << 20
+#: Bytes of archives that a task reads, and repeated digests that are sent to all tasks.
+SHARE, SENT = 16 << 20, 500_000
 #: Effort of compression.
 LEVEL = 1
 #: All records carry this date, so that equal input gives equal archives.
@@ -110,8 +112,10 @@ def write_archives(pages: DataFrame, least: int = LEAST) -> DataFrame:
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
     large = rows.where(F.octet_length("payload") >= least)
     kept = large.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    kept = staged(kept, "repeated")
     refers = (F.octet_length("payload") >= least) & F.col("keeper").isNotNull() & ~F.coalesce(F.col("keeper") == F.col("page_id"), F.lit(False))
-    rows = rows.join(kept, "digest", "left").select("page_id", "url", "payload", "digest", F.when(refers, F.col("keeper")).alias("refers_to"))
+    # payloads stay where they are as long as the repeated digests are few enough to go to them
+    rows = rows.join(F.broadcast(kept) if kept.count() <= SENT else kept, "digest", "left").select("page_id", "url", "payload", "digest", F.when(refers, F.col("keeper")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = pafs.FileSystem.from_uri(folder)
@@ -135,7 +139,7 @@ def write_archives(pages: DataFrame, least: int = LEAST) -> DataFrame:
         if out:
             out.close()
 
-    return staged(rows.mapInArrow(write, INDEX), "warc-index")
+    return staged(rows.mapInArrow(tidy(write), INDEX), "warc-index")
 
 
 def ranges(entries: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
@@ -156,7 +160,9 @@ def ranges(entries: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[tupl
 
 def read_records(index: DataFrame, payloads: bool = False) -> DataFrame:
     """The records that the given index rows name, read back from their archives."""
-    dealt = index.select("archive", "offset", "length").repartition("archive", F.floor(F.col("offset") / F.lit(STRETCH))).sortWithinPartitions("archive", "offset")
+    # by the bytes of the archives, which the few bytes of an index row say nothing of
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // SHARE))
+    dealt = index.select("archive", "offset", "length").repartition(tasks, "archive", F.floor(F.col("offset") / F.lit(STRETCH))).sortWithinPartitions("archive", "offset")
     columns = RECORD if payloads else RECORD.removesuffix(", payload binary")
     names = [x.split()[0] for x in columns.split(", ")]
 
@@ -181,7 +187,7 @@ def read_records(index: DataFrame, payloads: bool = False) -> DataFrame:
         if file:
             file.close()
 
-    return dealt.mapInArrow(read, columns)
+    return dealt.mapInArrow(tidy(read), columns)
 
 
 def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
