@@ -8,9 +8,10 @@ that reach the similarity share a shingle among their first
 n - ceil(least * n) + 1, so the texts that share none there are never compared.
 Sizes and places bound what a pair can still share, and so do bitmaps that hold for each bit whether an odd
 number of shingles falls on it: bits that differ are shingles that differ. What is left is verified by
-whole sets. Each shingle's texts are first compared with one of them; then all
-pairs whose texts are not yet linked are. So every link counts, but groups
-of copies are not expanded into pairs.
+whole sets. Each shingle's texts are first compared with one of them; then those
+that are not yet linked are compared with each other: shingles that have the same texts count as one, the texts of a
+rare one are paired, and those of a frequent one meet in blocks that give a forest of their links. So every link
+counts, but groups of copies are not expanded into pairs.
 
 Equal texts are one. Null texts and those without words are one group. A null
 doc_id gets its component like any other. Repeated rows and extra columns do
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folio.llm import simhash
-from folio.llm.common import only, raw_bytes, staged, tidy, unstage
-from folio.llm.components import components
+from folio.llm.common import in_block_pairs, only, raw_bytes, staged, tidy, unstage
+from folio.llm.components import components, forest
 
 #: Words of a shingle, and the similarity from which texts link.
 WIDTH, LEAST = 5, 0.8
@@ -45,6 +46,8 @@ REMEMBERED = 100_000
 ROWS = 500
 #: Texts of pairs to verify whose ids are sent to all tasks.
 SENT = 1_000_000
+#: Texts up to which those of a shingle are paired; members of a block beyond that, and shingles that are counted together there.
+FEW, BLOCK, COLUMNS = 32, 512, 4_096
 #: Room for rounding: it lets candidates through and never holds one back.
 EPSILON = 1e-9
 
@@ -184,15 +187,7 @@ def verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame, width: int, le
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     near = staged(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidy(may), "a long, b long"), "near")
-    wanted = staged(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "wanted")
-    texts = only(docs, text).select(F.xxhash64(F.col(f"`{text}`")).alias("id"), F.col(f"`{text}`").alias("t"))
-    texts = texts.join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, "id", "left_semi").dropDuplicates(["id"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in sliced(batches):
-            found = [shingle_set(t, width, known).tobytes() for t in raw_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "h"])
+    sets = whole_sets(near.select(F.col("a").alias("id")).union(near.select("b")), docs, width, text)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,10 +198,64 @@ def verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame, width: int, le
                 ok.append(shared >= (len(x) + len(y) - shared) * least - EPSILON)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    sets = staged(texts.mapInArrow(tidy(whole), "id long, h binary"), "sets")
     both = near.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
     links = staged(both.mapInArrow(tidy(exact), "a long, b long"), "links")
-    unstage(near, wanted, sets)
+    unstage(near, sets)
+    return links
+
+
+def whole_sets(ids: DataFrame, docs: DataFrame, width: int, text: str) -> DataFrame:
+    """id and h (the set) of the texts of the given ids, stored."""
+    wanted = staged(ids.distinct(), "wanted")
+    texts = only(docs, text).select(F.xxhash64(F.col(f"`{text}`")).alias("id"), F.col(f"`{text}`").alias("t"))
+    texts = texts.join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, "id", "left_semi").dropDuplicates(["id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in sliced(batches):
+            found = [shingle_set(t, width, known).tobytes() for t in raw_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "h"])
+
+    sets = staged(texts.mapInArrow(tidy(run), "id long, h binary"), "sets")
+    unstage(wanted)
+    return sets
+
+
+def similar(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether the sets at x and at y reach the similarity, for all pairs."""
+    size = np.array([len(h) for h in sets])
+    value, count = np.unique(np.concatenate(sets), return_counts=True)
+    value = value[count > 1]
+    at = [np.searchsorted(value, h) for h in sets]
+    at = [a[(a < len(value)) & (value[np.minimum(a, len(value) - 1)] == h)] if len(value) else a[:0] for a, h in zip(at, sets, strict=True)]
+    owner, column = np.repeat(np.arange(len(sets)), [len(a) for a in at]), np.concatenate(at)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(x), len(y)), np.float32)
+    for lo in range(0, len(value), COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        has = np.zeros((len(sets), min(COLUMNS, len(value) - lo)), np.float32)
+        has[owner[a:b], column[a:b] - lo] = 1
+        shared += has[x] @ has[y].T
+    return shared >= (size[x][:, None] + size[y][None, :] - shared) * least - EPSILON
+
+
+def linked_in_blocks(rest: DataFrame, docs: DataFrame, width: int, least: float, text: str) -> DataFrame:
+    """A forest (a, b) of the links between the texts (token, id, root) of each shingle that are not linked yet, stored."""
+    sets = whole_sets(rest.select("id"), docs, width, text)
+    units = in_block_pairs(rest.join(sets, "id").select("token", "id", "root", "h"), ["token"], "id", BLOCK)
+
+    def verify(key, table):
+        _, a, b = (k.as_py() for k in key)
+        ids, root, block = (table[c].to_numpy() for c in ("id", "root", "block"))
+        x, y = np.flatnonzero(block == a), np.flatnonzero(block == b)
+        sets = [np.frombuffer(h, np.uint64) for h in table["h"].to_pylist()]
+        i, j = np.nonzero(similar(sets, x, y, least) & (root[x][:, None] != root[y][None, :]))
+        child, top = forest(ids[x[i]], ids[y[j]])
+        return pa.table({"a": child, "b": top})
+
+    links = staged(units.groupBy("token", "unit_a", "unit_b").applyInArrow(verify, "a long, b long"), "links")
+    unstage(sets)
     return links
 
 
@@ -224,11 +273,15 @@ def near_copies(docs: DataFrame, width: int = WIDTH, least: float = LEAST, reach
     roots = staged(components(links), "roots")
     # what one comparison for each shingle left apart
     rooted = held.join(roots, held["id"] == roots["node"], "left").select("token", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
-    apart = rooted.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("token")
-    rest = staged(rooted.join(apart, "token"), "rest")
-    more = rest.alias("x").join(rest.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & could_link("x", "y", least))
+    sign = [F.bit_xor(F.xxhash64("id")).alias("sign"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("sign2")]
+    apart = rooted.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("texts"), F.sum(F.col("pos").cast("long")).alias("place"), *sign)
+    # of shingles that the same texts have, the first in order: its places leave most room
+    apart = apart.where("r < s").groupBy("texts", "sign", "sign2").agg(F.min_by("token", F.struct("place", "token")).alias("token"))
+    rest = staged(rooted.join(apart.select("token", "texts"), "token"), "rest")
+    few = rest.where(F.col("texts") <= FEW)
+    more = few.alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & could_link("x", "y", least))
     more = staged(more.select(*pair).distinct().join(first, ["a", "b"], "left_anti"), "more")
-    late = verified(more, kinds, docs, width, least, text)
+    late = verified(more, kinds, docs, width, least, text).union(linked_in_blocks(rest.where(F.col("texts") > FEW), docs, width, least, text))
     if not late.isEmpty():
         roots = staged(components(links.union(late)), "roots")
     member = kinds_members(prints, roots)

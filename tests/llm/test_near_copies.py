@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from folio.llm import near_copies
@@ -36,7 +37,11 @@ def texts():
     return out
 
 
-def test_against_brute_force_jaccard(spark):
+@pytest.mark.parametrize("few", [32, 2])
+def test_against_brute_force_jaccard(spark, monkeypatch, few):
+    monkeypatch.setattr(near_copies, "FEW", few)
+    monkeypatch.setattr(near_copies, "BLOCK", 512 if few > 2 else 3)
+    monkeypatch.setattr(near_copies, "COLUMNS", 4096 if few > 2 else 50)
     rows = texts()
     sets = [shingles(t) for t in rows]
     pairs = [(i, j) for i in range(len(rows)) for j in range(i) if similar(sets[i], sets[j])]
