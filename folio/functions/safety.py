@@ -53,11 +53,15 @@ def verdict(text: Column, question: bool = True) -> Column:
     if question:
         rules.append(F.when(overrides_instructions(text), F.lit("prompt_injection")))
     rules.append(F.when(is_toxic(text), F.lit("toxic_content")))
-    found = F.filter(F.array(*rules), lambda x: x.isNotNull())
-    safe = F.size(found) == 0
-    return F.struct(
-        safe.alias("is_safe"),
-        found.alias("violations"),
-        F.when(~safe, F.array_join(found, "; ")).alias("details"),
-        F.when(safe, F.lit(0.95)).otherwise(F.lit(1.0)).alias("confidence"),
-    )
+
+    def judged(found: Column) -> Column:
+        safe = F.size(found) == 0
+        return F.struct(
+            safe.alias("is_safe"),
+            found.alias("violations"),
+            F.when(~safe, F.array_join(found, "; ")).alias("details"),
+            F.when(safe, F.lit(0.95)).otherwise(F.lit(1.0)).alias("confidence"),
+        )
+
+    # through an array of one, so that every pattern is tried once although its result is named several times
+    return F.transform(F.array(F.filter(F.array(*rules), lambda x: x.isNotNull())), judged)[0]

@@ -2,12 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.text import keyword_match
 
 
+def chosen(examples: DataFrame, difficulty: str | None = None, category: str | None = None) -> DataFrame:
+    """The examples of a difficulty and a category, where such are asked for."""
+    for name, wanted in (("difficulty", difficulty), ("category", category)):
+        if wanted is not None:
+            examples = examples.where(F.col(name) == wanted)
+    return examples
+
+
+def keywords_of(listed: Column) -> Column:
+    """The keywords of a JSON list; null for what is none."""
+    return F.from_json(listed, "array<string>")
+
+
+def run_evaluation(examples: DataFrame, answer: Callable[[DataFrame], DataFrame], run_id: str, least: float = 0.8, difficulty: str | None = None, category: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The results and the summary of one run over the chosen examples (example_id, query, expected_keywords).
+
+    answer: gives (query_id, answer, retrieved, latency_ms, error) for questions (query_id, query_text). An example that it leaves out failed.
+    """
+    asked = chosen(examples, difficulty, category)
+    said = answer(asked.select(F.col("example_id").alias("query_id"), F.col("query").alias("query_text"))).withColumnRenamed("query_id", "example_id")
+    rows = asked.select("example_id", "expected_keywords").join(said, "example_id", "left").withColumn("run_id", F.lit(run_id))
+    rows = rows.withColumn("error", F.when(F.col("answer").isNull() & F.col("error").isNull(), "no answer").otherwise(F.col("error")))
+    results = judged(rows, least).select("run_id", "example_id", "answer", "match", "passed", "latency_ms", "error")
+    return results, run_summary(results, least)
+
+
 def judged(rows: DataFrame, least: float = 0.8, empty_passes: bool = False) -> DataFrame:
     """Adds match and passed to rows (expected_keywords, answer, retrieved, error).
 

@@ -193,7 +193,8 @@ def search(postings: DataFrame, questions: list[tuple[int, str]], limit: int, ke
                 at = {t["lexeme"]: t["positions"] for t in terms}
                 if any(t in at for t in p["none_of"]) or not p["all_of"] or not all(any(t in at for t in a) for a in p["all_of"]):
                     continue
-                if not all(any(all(s + gap in set(at.get(t, ())) for t, gap in phrase) for s in at.get(phrase[0][0], ())) for phrase in p["phrases"]):
+                spots = {t: set(at.get(t, ())) for phrase in p["phrases"] for t, _ in phrase}
+                if not all(any(all(s + gap in spots[t] for t, gap in phrase) for s in at.get(phrase[0][0], ())) for phrase in p["phrases"]):
                     continue
                 places = sorted({(x, k) for k, a in enumerate(p["all_of"]) for t in a for x in at.get(t, ())})
                 value = covers(places, len(p["all_of"]))

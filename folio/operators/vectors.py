@@ -27,6 +27,11 @@ def similarity(distance: Column) -> Column:
     return F.greatest(F.lit(0.0), F.coalesce(1 - distance, F.lit(0.0)))
 
 
+def wrong_dimension(rows: DataFrame, dimension: int, vector: str = "embedding") -> DataFrame:
+    """The rows whose vector is not of the dimension that the index declares, with their size; null vectors wait to be embedded."""
+    return rows.withColumn("dimension", F.size(vector)).where(F.col(vector).isNotNull() & (F.col("dimension") != dimension))
+
+
 def top_k_of_one(rows: DataFrame, query: DataFrame, k: int, key: str = "chunk_id", vector: str = "embedding", places: int = 6) -> DataFrame:
     """The k rows nearest to the one vector in `query` (column query_vector), with their distance.
 

@@ -67,5 +67,10 @@ def answers(questions: DataFrame, chunks: DataFrame, embedder: Embedder, generat
     bus.emit("rag:answer_completed")
     if not screened:
         return full
-    refused = judged.where("not verdict.is_safe").select("query_id", F.lit(safety.BLOCKED_QUERY).alias("answer"), F.lit(True).alias("blocked"), F.col("verdict.violations").alias("violations"))
-    return full.unionByName(refused, allowMissingColumns=True)
+    return full.unionByName(refused(judged).select("*", F.array().cast(full.schema["evidence"].dataType).alias("evidence")), allowMissingColumns=True)
+
+
+def refused(judged: DataFrame) -> DataFrame:
+    """The answers to questions (query_id, verdict) that the rules forbid: a fixed text, without evidence, and why as the analysis."""
+    why = F.concat(F.lit("Query blocked: "), F.col("verdict.details"))
+    return judged.where("not verdict.is_safe").select("query_id", F.lit(safety.BLOCKED_QUERY).alias("answer"), F.lit(True).alias("blocked"), F.col("verdict.violations").alias("violations"), why.alias("analysis"))

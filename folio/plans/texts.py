@@ -93,6 +93,7 @@ def chunk_quality_scores(spark, sf_dir):
     return scored.select("doc_id", F.round("q", 6).alias("score"), (F.col("q") >= 0.5).alias("kept"))
 
 
+# The subjects and page furniture of functions/text.py, spelled out here so that the SQL does not depend on them.
 SUBJECT = "len(list_filter(['inflation','labour market','economic outlook','forecast','gdp','unemployment','wages','financial conditions','housing','consumption','investment','trade','monetary policy'], lambda s: contains(lower(x), s))) > 0"
 HEADINGS = [("h1", "3. Outlook for prices\nbody"), ("h2", "Some words\nHousing and wages\nmore"), ("h3", "a line about inflation that is far too long to be a heading"), ("h4", "\n\n2) Next"), ("h5", "none")]
 HEADED = f"(select 'd' || doc_id as id, text from documents union all select * from (values {', '.join(f'''('{k}', '{v}')'''.replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39)) for k, v in HEADINGS)}))"
@@ -132,6 +133,7 @@ def repeating_lines(spark, sf_dir):
     return pages.repeating_lines(paged(spark, sf_dir))
 
 
+# Page furniture.
 FURNITURE = " or ".join(f"regexp_matches(x, '{quoted(p)}')" for p in ["(?i)^\\s*\\d+\\s+Reserve Bank of Australia\\s*$", "(?i)^\\s*Page\\s+\\d+(\\s+of\\s+\\d+)?\\s*$", "(?i)^\\s*S\\s*T\\s*A\\s*T\\s*E\\s*M\\s*E\\s*N\\s*T.*P\\s*O\\s*L\\s*I\\s*C\\s*Y\\s*$", "(?i)^\\s*Financial\\s+Stability\\s+Review\\s*$", "^\\s*[A-Z][a-z]+\\s+20\\d{2}\\s*$", "(?i)^\\s*ANNUAL\\s+REPORT\\s+\\d{4}\\s*$", "(?i)^\\s*www\\.rba\\.gov\\.au\\s*$", "(?i)^\\s*©\\s*Reserve Bank.*20\\d{2}\\s*$", "(?i)^\\s*\\d{4}\\s+Reserve\\s+Bank\\s*$", "^\\s*-?\\s*\\d+\\s*-?\\s*$"])
 
 
@@ -143,11 +145,11 @@ def clean_pages(spark, sf_dir):
     return pages.clean_pages(paged(spark, sf_dir)).select("document_id", "page_number", "clean_text")
 
 
-@query(f"select doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' and not ({FURNITURE})), ' ') as clean_text from documents where not regexp_matches(text, '\\n\\s*\\n')")
+@query(f"""with k as (select doc_id, list_filter(list_transform(string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85]'), lambda x: trim(x)), lambda x: not ({FURNITURE})) as l from documents)
+select doc_id, array_to_string(list_filter(list_transform(string_split_regex(array_to_string(list_transform(l, lambda x: case when x = '' then chr(1) else x end), chr(2)), '(?:\\x02?\\x01\\x02?)+'), lambda y: replace(y, chr(2), ' ')), lambda y: y <> ''), chr(10) || chr(10)) as clean_text from k""")
 def clean_text_of_documents(spark, sf_dir):
-    """Whole documents cleaned as one page (those without blank lines, where no paragraph ends)."""
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"\n\s*\n"))
-    return d.select("doc_id", clean_page(F.col("text")).alias("clean_text"))
+    """Whole documents cleaned as one page."""
+    return table(spark, sf_dir, "documents").select("doc_id", clean_page(F.col("text")).alias("clean_text"))
 
 
 def chunked(spark, sf_dir):
@@ -161,17 +163,15 @@ def chunk_documents(spark, sf_dir):
     return chunked(spark, sf_dir)
 
 
-@query("select doc_id as document_id, true as starts_with_document, true as within, true as numbered from documents where length(text) >= 400 and not regexp_matches(text, '[^a-zA-Z0-9À-ÿ ,.\\n|]') and len(string_split(text, ' ')) between 60 and 500 and not contains(text, '|') and not regexp_matches(lower(text), 'table')")
+@query("select doc_id as document_id, true as starts_with_document, true as within, true as numbered from documents where regexp_matches(text, '[^\\s]')")
 def chunk_invariants(spark, sf_dir):
-    """Chunks of plain short documents, cut from one page: they begin with it, lie within it, and are numbered from 0."""
-    t = F.col("text")
-    plain = (F.length(t) >= 400) & ~t.rlike(r"[^a-zA-Z0-9À-ÿ ,.\n|]") & F.size(F.split(t, " ")).between(60, 500) & ~F.contains(t, F.lit("|")) & ~F.lower(t).rlike("table")
-    docs = documents(spark, sf_dir).where(plain).select("document_id", "text", F.array("text").alias("pages"))
+    """Chunks of whole documents, cut from one page: they begin with it, lie within it, and are numbered from 0."""
+    docs = documents(spark, sf_dir).select("document_id", "text", F.array("text").alias("pages"))
     from dataclasses import replace
 
     got = chunker.chunk_documents(docs, shape=replace(chunker.Shape(), quality=0.0)).withColumnRenamed("text", "chunk")
     c = docs.join(got, "document_id").groupBy("document_id").agg(
-        F.bool_or((F.col("chunk_index") == 0) & F.startswith(F.trim("text"), F.col("chunk"))).alias("starts_with_document"),
+        F.bool_or((F.col("chunk_index") == 0) & F.startswith(F.regexp_replace("text", r"^\s+", ""), F.col("chunk"))).alias("starts_with_document"),
         F.bool_and(F.contains("text", "chunk")).alias("within"),
         (F.max("chunk_index") + 1 == F.count(F.lit(1))).alias("numbered"),
     )
