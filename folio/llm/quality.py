@@ -132,20 +132,20 @@ class Space:
 
 def train(texts: list[str], labels: list[int], stand: dict[int, float] | None = None, dim: int = DIM, seed: int = 4) -> Space:
     """The space of labelled texts, by randomized subspace iteration (Halko et al., 2011); stand: labelled documents for each sampled one of a class."""
-    lists = [words_of(t) for t in texts]
-    tf = np.zeros((len(texts), TERMS), np.float32)
+    m = np.zeros((len(texts), TERMS), np.float32)
     cache: dict[str, list[tuple[int, float]]] = {}
-    for i, words in enumerate(lists):
+    for i, words in enumerate(map(words_of, texts)):
         for w in words:
             found = cache.get(w)
             if found is None:
                 found = cache[w] = terms_of(w)
             for t, x in found:
-                tf[i, t] += x
-        tf[i, AGAIN] = SHAPE * repeats(words)
-        tf[i, SHORTER[level(words)] : SHORTER.stop] = 1
-    idf = np.log((1 + len(texts)) / (1 + (tf > 0).sum(0))).astype(np.float32) + 1
-    m = tf * idf
+                m[i, t] += x
+        m[i, AGAIN] = SHAPE * repeats(words)
+        m[i, SHORTER[level(words)] : SHORTER.stop] = 1
+    cache.clear()
+    idf = np.log((1 + len(texts)) / (1 + (m > 0).sum(0))).astype(np.float32) + 1
+    m *= idf
     m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
     rng = np.random.default_rng(seed)
     dim = min(dim, *m.shape)
@@ -154,7 +154,7 @@ def train(texts: list[str], labels: list[int], stand: dict[int, float] | None =
         q = np.linalg.qr(m.T @ (m @ q))[0]
     axes = q @ np.linalg.svd(m @ q, full_matrices=False)[2][:dim].T
     space = Space(idf, np.ascontiguousarray(axes, np.float32), np.zeros((0, dim), np.float32), np.array(labels, np.float64), np.array([(stand or {}).get(y, 1.0) for y in labels]))
-    space.vectors = space.project(space.rows(), lists)
+    space.vectors = np.concatenate([space.project(space.rows(), [words_of(t) for t in texts[lo : lo + BLOCK]]) for lo in range(0, len(texts), BLOCK)])
     return space
 
 
