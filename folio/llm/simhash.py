@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import in_block_pairs, only, raw_bytes, staged, tidy
+from folio.llm.common import only, raw_bytes, staged, tidy
 from folio.llm.components import components, forest
 
 SEED = 42
@@ -155,25 +155,47 @@ def fingerprint_links(fps: DataFrame, reach: int = REACH, block: int = BLOCK, mo
 
     def verify(key, table):
         p = sent.value
-        cell, a, b = (k.as_py() for k in key)
+        cell, a, b, among = (k.as_py() for k in key)
         fp, home, blk = (table[c].to_numpy() for c in ("fp", "home", "block"))
         fp = fp.view(np.uint64)
         # the cell's own pivot first, then others spread over the table
         own = p[[cell, *[(cell + k * max(1, len(p) // COORDINATES)) % len(p) for k in range(1, COORDINATES)]]]
+        lives = np.flatnonzero(home & (blk == a)) if among else np.flatnonzero(home)
         out = []
-        for x, y in {(a, b), (b, a)}:
-            h, g = np.flatnonzero(home & (blk == x)), np.flatnonzero(blk == y)
-            i, j = linked(fp[h], fp[g], own, reach)
-            i, j = h[i], g[j]
-            once = ~home[j] | (fp[i] < fp[j])
+        for others, same in ((np.flatnonzero(home & (blk == b)), False),) if among else ((np.flatnonzero(~home), False), (lives if b == 0 else lives[:0], True)):
+            i, j = linked(fp[lives], fp[others], own, reach)
+            i, j = lives[i], others[j]
+            once = fp[i] < fp[j] if same else np.ones(len(i), bool)
             out.append((fp[i[once]], fp[j[once]]))
         left, right = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
         if not whole:
             left, right = forest(left, right)
         return pa.table({"a": left, "b": right})
 
-    units = in_block_pairs(cells, ["cell"], "fp", block)
-    return units.groupBy("cell", "unit_a", "unit_b").applyInArrow(verify, "a long, b long")
+    return in_units(cells, block).groupBy("cell", "unit_a", "unit_b", "among").applyInArrow(verify, "a long, b long")
+
+
+def in_units(cells: DataFrame, limit: int) -> DataFrame:
+    """Cuts those who live in a cell, and its guests, into blocks of about `limit`, and gives a unit for each two blocks that have to meet.
+
+    Guests meet only those who live there, who are few, so it is these that are copied: to the unit of each block of
+    guests. If they fill several blocks, they also meet among themselves, block by block. The unit with the first block
+    of guests is where a block that lives there meets itself.
+    """
+    blocks = [F.greatest(F.lit(1), F.ceil(F.count(F.when(F.col("home") == at, True)) / F.lit(limit))).cast("int").alias(name) for at, name in ((True, "homes"), (False, "guests"))]
+    cut = cells.join(cells.groupBy("cell").agg(*blocks), "cell")
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("fp"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("guests"))).cast("int"))
+
+    def unit(a: Column, b: Column, among: bool) -> Column:
+        return F.struct(a.alias("unit_a"), b.alias("unit_b"), F.lit(among).alias("among"))
+
+    own = F.col("block")
+    every = {name: F.sequence(F.lit(0), F.col(name) - 1) for name in ("homes", "guests")}
+    with_guests = F.transform(every["guests"], lambda g: unit(own, g, False))
+    with_others = F.transform(F.filter(every["homes"], lambda h: h != own), lambda h: unit(F.least(own, h), F.greatest(own, h), True))
+    as_guest = F.transform(every["homes"], lambda h: unit(h, own, False))
+    units = F.explode(F.when(F.col("home"), F.concat(with_guests, with_others)).otherwise(as_guest)).alias("unit")
+    return cut.select("cell", "fp", "home", "block", units).select("cell", "fp", "home", "block", "unit.*")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, reach: int = REACH, text: str = "text") -> DataFrame:
