@@ -178,7 +178,7 @@ select doc_id, leaf, subroot, d as root, sha256(proof) as proof_sha256, cur as f
 from r_way4, r_top
 """
 
-#: op2, op3, op6 learn, op4 needs a hash that SQL has not, op7 parses markup, op9 a tokenizer: the tests hold them against brute force.
+#: op2, op3, op6 learn, op4 needs a hash that SQL has not, op7 parses markup, op9 and op11 need tokenizers: the tests hold them against brute force.
 ORACLE_SQL = {
     "op1_suffix_dedup": SUFFIX_DEDUP,
     "op5_warc": WARC,

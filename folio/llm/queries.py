@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import decontaminate, html_extract, language, merkle, packing, quality, simhash, suffix_dedup, toxicity, vectors, warc
+from folio.llm import alignment, decontaminate, html_extract, language, merkle, packing, quality, simhash, suffix_dedup, toxicity, vectors, warc
 from folio.llm.oracles import ORACLE_SQL
 
 
@@ -56,6 +56,12 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.scored(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audited(table(spark, sf_dir, "documents"))
 
@@ -73,5 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_pack": op9_pack,
     "op10_vectors": op10_vectors,
+    "op11_alignment": op11_alignment,
     "op12_merkle": op12_merkle,
 }
