@@ -111,6 +111,28 @@ select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(low, vec_id)) a
 from vector left join degree on degree.a = vec_id left join least on least.a = vec_id
 """
 
+PHRASES = """
+with doc as (
+  select row_number() over () as row_id, doc_id, coalesce(doc_id, -9223372036854775808) as d,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w
+  from documents
+),
+starts as (
+  select row_id, d, p, md5_number(array_to_string(w[p : p + 19], ' ')) as print
+  from (select row_id, d, w, unnest(range(1, len(w) - 18)) as p from doc where len(w) >= 20)
+),
+lowest as (select print, min(d) as low from starts group by print having count(*) > 1),
+earliest as (select print, low, min(p) as first from starts join lowest using (print) where d = low group by print, low),
+gone as (
+  select distinct row_id, unnest(range(p, p + 20)) as k from starts join earliest using (print) where d > low or p > first
+),
+counts as (select row_id, count(*) as n from gone group by row_id),
+word as (select row_id, unnest(w) as said, unnest(range(1, len(w) + 1)) as k from doc),
+kept as (select row_id, string_agg(said, ' ' order by k) as said from word anti join gone using (row_id, k) group by row_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(said, '')) as kept_sha256
+from doc left join counts using (row_id) left join kept using (row_id)
+"""
+
 
 def tree(name: str, leaves: str, depth: int) -> str:
     """Levels of the tree over (g, i, d) as tables {name}0 up to {name}{depth}, with what stands beside each node, and {name}_top."""
@@ -185,4 +207,5 @@ ORACLE_SQL = {
     "op8_decontaminate": DECONTAMINATE,
     "op10_vectors": VECTORS,
     "op12_merkle": MERKLE,
+    "op13_phrase_dedup": PHRASES,
 }

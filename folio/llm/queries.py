@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import alignment, decontaminate, html_extract, language, merkle, packing, quality, simhash, suffix_dedup, toxicity, vectors, warc
+from folio.llm import alignment, decontaminate, html_extract, language, merkle, packing, phrase_dedup, quality, simhash, suffix_dedup, toxicity, vectors, warc
 from folio.llm.oracles import ORACLE_SQL
 
 
@@ -66,6 +66,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audited(table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.removals(table(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -81,4 +85,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_vectors": op10_vectors,
     "op11_alignment": op11_alignment,
     "op12_merkle": op12_merkle,
+    "op13_phrase_dedup": op13_phrase_dedup,
 }
