@@ -39,8 +39,8 @@ KNOWN = 500_000
 SALTS = 16
 #: Units, and characters of units, that a task remembers.
 REMEMBERED, CHARS = 400_000, 40_000_000
-#: Characters of units that are tokenized together, and of texts that are put together at once.
-ASKED, TEXTS = 2_000_000, 8_000_000
+#: Characters of units that are tokenized in one text, and aligned together; and of texts that are put together at once.
+JOINED, ASKED, TEXTS = 10_000, 1_000_000, 2_000_000
 #: A pair of ids as one number: the first tokenizer's above, the second's below.
 BELOW = 32
 
@@ -92,7 +92,6 @@ class Pair:
         byte = re.compile("<0x([0-9A-F]{2})>")
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.spelled_b = Spelling([bytes([int(m[1], 16)]) if (m := byte.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces])
-        self.space = self.b.piece_to_id("▁")
         self.clear()
 
     def clear(self) -> None:
@@ -103,56 +102,73 @@ class Pair:
         self.links, self.start = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.bad = np.zeros(0, bool)
 
-    def tokens(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of each unit, which begins with a white space."""
-        a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-        # the second tokenizer writes a space before what it is given: a unit's own, or one that is taken away again
-        b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        return a, [x if u[0] == " " else x[1:] if x[:1] == [self.space] else [] for u, x in zip(units, b, strict=True)]
-
-    def aligned(self, units: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
-        """Counts, written groups, links, and whether a vocabulary fails, of distinct units."""
-        lists_a, lists_b = self.tokens(units)
-        n_a, n_b = (np.array([len(x) for x in lists], np.int64) for lists in (lists_a, lists_b))
-        said = [u.encode() for u in units]
-        a, b = (np.fromiter((i for x in lists for i in x), np.int64) for lists in (lists_a, lists_b))
-        bytes_a, bytes_b = self.spelled_a.size[a], self.spelled_b.size[b]
-        owner_a, owner_b = np.repeat(np.arange(len(units)), n_a), np.repeat(np.arange(len(units)), n_b)
-        size = np.array([len(s) for s in said], np.int64)
-        bad = (np.bincount(owner_a, bytes_a, len(units)) != size) | (np.bincount(owner_b, bytes_b, len(units)) != size)
-        good_a, good_b = ~bad[owner_a], ~bad[owner_b]
-        # of what has the right length, every byte must be right
-        data = np.frombuffer(b"".join(s for s, x in zip(said, bad.tolist(), strict=True) if not x), np.uint8)
-        of = np.repeat(np.flatnonzero(~bad), size[~bad])
-        wrong = (self.spelled_a.of(a[good_a]) != data) | (self.spelled_b.of(b[good_b]) != data)
-        bad[of[wrong]] = True
-        good_a, good_b = ~bad[owner_a], ~bad[owner_b]
-        a, b, owner_a, owner_b = a[good_a], b[good_b], owner_a[good_a], owner_b[good_b]
+    def encoded(self, parts: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """The ids of each part, the units of which follow each other; None if a vocabulary fails to spell it.
+
+        A part stands behind a word of its own, whose token is taken away again, unless it begins with two white spaces.
+        """
+        joined = ["".join(p) for p in parts]
+        alone = [t[1].isspace() for t in joined]
+        a = self.a.encode_batch([t if x else " a" + t for t, x in zip(joined, alone, strict=True)], add_special_tokens=False)
+        b = self.b.encode([t[1:] if x else "a" + t for t, x in zip(joined, alone, strict=True)], num_threads=1)  # writes a space before
+        for t, x, e, f in zip(joined, alone, a, b, strict=True):
+            one, two = (np.array(ids if x else ids[1:], np.int64) for ids in (e.ids, f))
+            said = t.encode()
+            yield (one, two) if self.spelled_a.of(one).tobytes() == said == self.spelled_b.of(two).tobytes() else None
+
+    def parts(self, units: list[str]) -> Iterator[list[str]]:
+        """The units in lists of about JOINED characters. One that begins or ends with white space too many stays alone."""
+        held, chars = [], 0
+        for u in units:
+            if u[1].isspace() or u[-1].isspace():
+                yield [u]
+                continue
+            held.append(u)
+            chars += len(u)
+            if chars >= JOINED:
+                yield held
+                held, chars = [], 0
+        if held:
+            yield held
+
+    def aligned(self, units: list[str]) -> tuple[list[str], np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """The units, in another order, with their counts, written groups, links, and whether a vocabulary fails."""
+        good, fail, ids = [], [], []
+        open_ = list(self.parts(units))
+        while open_:
+            again = []
+            for part, found in zip(open_, self.encoded(open_), strict=True):
+                if found is not None:
+                    good += part
+                    ids.append(found)
+                elif len(part) > 1:
+                    again += [[u] for u in part]
+                else:
+                    fail += part
+            open_ = again
+        a, b = (np.concatenate(x) for x in zip(*ids, strict=True)) if ids else (np.zeros(0, np.int64),) * 2
+        unit_ends = np.cumsum(np.array([len(u.encode()) for u in good], np.int64))
         ends_a, ends_b = np.cumsum(self.spelled_a.size[a]), np.cumsum(self.spelled_b.size[b])
         cuts = np.intersect1d(ends_a, ends_b)
         group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
         many_a, many_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
-        first_b = np.cumsum(many_b) - many_b
+        first_a, first_b = np.cumsum(many_a) - many_a, np.cumsum(many_b) - many_b
         # each token of A is repeated for all tokens of B in its group
         links = (np.repeat(a, many_b[group_a]) << BELOW) | b[spans(first_b[group_a], many_b[group_a])]
-        unit_of = owner_a[np.cumsum(many_a) - 1] if len(cuts) else np.zeros(0, np.int64)
-        n_links = np.bincount(unit_of, many_a * many_b, len(units)).astype(np.int64)
-        n_groups = np.bincount(unit_of, minlength=len(units))
-        counts = np.stack([np.where(bad, 0, n_a), np.where(bad, 0, n_b), n_groups, n_links], axis=1)
-        return counts, self.spelled_groups(a.tolist(), b.tolist(), many_a.tolist(), many_b.tolist(), n_groups.tolist()), links, bad
-
-    @staticmethod
-    def spelled_groups(a: list[int], b: list[int], many_a: list[int], many_b: list[int], n_groups: list[int]) -> list[str]:
-        """The groups of each unit as `a1,a2|b1;a3|b2`."""
-        groups, i, j = [], 0, 0
-        for m, n in zip(many_a, many_b, strict=True):
-            groups.append(f"{','.join(map(str, a[i : i + m]))}|{','.join(map(str, b[j : j + n]))}")
-            i, j = i + m, j + n
-        out, k = [], 0
-        for n in n_groups:
-            out.append(";".join(groups[k : k + n]))
-            k += n
-        return out
+        unit_of = np.searchsorted(unit_ends, cuts)
+        n = len(good)
+        per_unit = [np.bincount(unit_of, x, n).astype(np.int64) for x in (many_a, many_b, np.ones(len(cuts)), many_a * many_b)]
+        counts = np.concatenate((np.stack(per_unit, axis=1), np.zeros((len(fail), 4), np.int64)))
+        # tokens as they are written: those of A, then those of B of each group
+        order, mark = np.empty(len(a) + len(b), np.int64), np.zeros(len(a) + len(b), np.int64)
+        at_a, at_b = spans(first_a + first_b, many_a), spans(first_a + many_a + first_b, many_b)
+        order[at_a], order[at_b] = a, b
+        mark[first_a + many_a + first_b - 1] = 1
+        mark[first_a + many_a + first_b + many_b - 1] = 2
+        tokens = [f"{i}{','if m == 0 else '|' if m == 1 else ';'}" for i, m in zip(order.tolist(), mark.tolist(), strict=True)]
+        edges = np.append(0, np.cumsum(per_unit[0] + per_unit[1])).tolist()
+        written = ["".join(tokens[x:y])[:-1] for x, y in zip(edges[:-1], edges[1:], strict=True)]
+        return good + fail, counts, written + [""] * len(fail), links, np.arange(n + len(fail)) >= n
 
     def learn(self, units: list[str]) -> None:
         """Aligns units that are not known."""
@@ -162,8 +178,7 @@ class Pair:
             while high < len(units) and (chars < ASKED or high == low):
                 chars += len(units[high])
                 high += 1
-            part = units[low:high]
-            counts, written, links, bad = self.aligned(part)
+            part, counts, written, links, bad = self.aligned(units[low:high])
             self.number.update(zip(part, range(len(self.written), len(self.written) + len(part)), strict=True))
             self.written += written
             self.start = np.append(self.start, len(self.links) + np.cumsum(counts[:, 3]) - counts[:, 3])
