@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions.query import is_data_query, query_class, recency, target_year
+from folio.indexes import cells
 from folio.operators import context, fusion, lexical, mmr, vectors
 from folio.plans.registry import ASKED, CHUNKS, DOCS, registry
 from folio.providers import OverlapScorer, WordCounter
 from folio.sources.schemas import chunks, documents, table
+from folio.sources.shared import new_path
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -88,6 +90,31 @@ def vector_topk_batch(spark, sf_dir):
     return vectors.top_k_of_many(every.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked, 10)
 
 
+NEAREST_TO_TWENTIETHS = """select q.query_id, e.vec_id as chunk_id, round(1 - list_cosine_similarity(e.embedding::double[], q.query_vector), 6) + 0.0 as distance,
+row_number() over (partition by q.query_id order by round(1 - list_cosine_similarity(e.embedding::double[], q.query_vector), 6), e.vec_id)::int as rank
+from embeddings e, (select vec_id as query_id, embedding::double[] as query_vector from embeddings where vec_id % 20 = 0) q qualify rank <= 10"""
+
+
+def searched_by_cells(spark: SparkSession, sf_dir: str, exact: bool) -> DataFrame:
+    every = table(spark, sf_dir, "embeddings")
+    index = cells.build(every, new_path(spark, "cells"), "vec_id")
+    asked = every.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = cells.search(index, asked, 10, probes=4, exact=exact)
+    return found.select("query_id", F.col("vec_id").alias("chunk_id"), "distance", "rank")
+
+
+@query(NEAREST_TO_TWENTIETHS)
+def vector_index_exact(spark, sf_dir):
+    """The ten vectors nearest to every one whose id is divisible by 20, by way of the cell index; those of a full scan."""
+    return searched_by_cells(spark, sf_dir, True)
+
+
+@query()
+def vector_index_probes(spark, sf_dir):
+    """The same from the four nearest cells of each; its recall against the full scan is in the README."""
+    return searched_by_cells(spark, sf_dir, False)
+
+
 @query("""with t as (select item_id as query_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> ''))) as term from benchmark),
 w as (select doc_id as chunk_id, unnest(list_distinct(string_split_regex(lower(text), '\\s+'))) as term from documents)
 select query_id, chunk_id, count(*) as score, row_number() over (partition by query_id order by count(*) desc, chunk_id)::int as rank from w join t using (term) group by query_id, chunk_id qualify rank <= 10""")
