@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.operators.segments import filled_forward
+
 
 def with_prompts(messages: DataFrame) -> DataFrame:
     """Adds prompt: the latest user message of the session up to each message, itself included.
 
-    A backward as-of join by one window: no message is looked up by itself.
+    A backward as-of join by a segmented scan: a session of any length is spread over tasks.
     """
-    so_far = Window.partitionBy("session_id").orderBy("created_at", "message_id").rowsBetween(Window.unboundedPreceding, 0)
-    return messages.withColumn("prompt", F.last_value(F.when(F.col("role") == "user", F.col("content")), True).over(so_far))
+    said = F.when(F.col("role") == "user", F.col("content"))
+    return filled_forward(messages, "session_id", ["created_at", "message_id"], said, "prompt")
 
 
 def rated_prompts(messages: DataFrame, feedback: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.operators.segments import numbered
+
 
 def with_turn(messages: DataFrame, sessions: DataFrame, turn: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Messages and sessions after question and answer of `turn` (session_id, query_text, answer, at).
@@ -14,11 +16,10 @@ def with_turn(messages: DataFrame, sessions: DataFrame, turn: DataFrame) -> tupl
     """
     new = turn.select("session_id", F.col("at").alias("created_at")).dropDuplicates(["session_id"]).join(sessions.select("session_id"), "session_id", "left_anti")
     said = turn.select("session_id", F.col("at").alias("created_at"), F.explode(F.array(F.struct(F.lit("user").alias("role"), F.col("query_text").alias("content"), F.lit(0).alias("n")), F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("content"), F.lit(1).alias("n")))).alias("m")).select("session_id", "created_at", "m.*").where("content is not null")
-    last = messages.agg(F.coalesce(F.max("message_id"), F.lit(-1)).alias("last"))
-    # a turn is a few rows, so one ordered window numbers them
-    numbered = said.crossJoin(F.broadcast(last)).withColumn("message_id", (F.col("last") + F.row_number().over(Window.orderBy("created_at", "session_id", "n"))).cast("bigint"))
+    last = messages.agg(F.coalesce(F.max("message_id"), F.lit(-1)).alias("last")).first()["last"]
+    numbers = numbered(said, ["created_at", "session_id", "n"], "message_id", last + 1)
     columns = ["message_id", "session_id", "role", "content", "created_at"]
-    return messages.select(*columns).unionByName(numbered.select(*columns)), sessions.select("session_id", "created_at").unionByName(new)
+    return messages.select(*columns).unionByName(numbers.select(*columns)), sessions.select("session_id", "created_at").unionByName(new)
 
 
 def finished_run(runs: DataFrame, summaries: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.text import content_hash
+from folio.operators.segments import numbered
 
 STATUSES = ["NEW", "PROCESSING", "TEXT_EXTRACTED", "CHUNKS_BUILT", "EMBEDDED", "FAILED"]
 
@@ -48,12 +49,8 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as chat messages, numbered from 0 in order of conversation and turn."""
     c = table(spark, sf_dir, "conversations")
-    # numbers in a global order: counts before each conversation, then the place within
-    sizes = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("conv_id", before.alias("first"))
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return c.join(starts, "conv_id").select((F.col("first") + place - 1).alias("message_id"), F.col("conv_id").alias("session_id"), F.col("turn").alias("created_at"), "role", F.col("text").alias("content"))
+    said = c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("created_at"), "role", F.col("text").alias("content"))
+    return numbered(said, ["session_id", "created_at"], "message_id").select("message_id", "session_id", "created_at", "role", "content")
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
