@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+#: Queries that are counted in one scan, their terms, and rows that are counted at once.
+QUERY_BLOCK, TERM_BLOCK, COUNTED = 2_000, 200_000, 500
 #: Words that are not indexed.
 STOP_WORDS = {"a", "an", "and", "are", "as", "at", "be", "been", "but", "by", "can", "did", "do", "does", "for", "from", "had", "has", "have", "he", "her", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "just", "me", "my", "no", "nor", "not", "now", "of", "on", "or", "our", "she", "so", "some", "such", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "to", "too", "up", "very", "was", "we", "were", "what", "when", "where", "which", "who", "whom", "why", "will", "with", "you", "your"}
 WORD = re.compile(r"[^\W_]+")
@@ -96,7 +101,7 @@ class Stemmer:
         return w
 
 
-def lexemes(text: str, stem: Stemmer) -> list[tuple[str, int]]:
+def lexemes(text: str, stem: Callable[[str], str]) -> list[tuple[str, int]]:
     """(stem, position) of the words of a text; stop words keep their place but are not listed."""
     return [(stem(w), i) for i, w in enumerate(WORD.findall(text.lower()), 1) if w not in STOP_WORDS]
 
@@ -122,12 +127,12 @@ def index(rows: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFra
     return rows.select(key, text).mapInArrow(run, f"{key} {kind}, lexeme string, positions array<int>, words int")
 
 
-def parse(question: str) -> dict[str, list]:
+def parse(question: str, stem: Callable[[str], str] | None = None) -> dict[str, list]:
     """A web-style question: words are all required, quotes make phrases, `or` joins its neighbours, `-` excludes.
 
-    Gives all_of (lists of alternatives), phrases (lists of (stem, gap)) and none_of.
+    Gives all_of (lists of alternatives), phrases (lists of (stem, gap)) and none_of. Words are stemmed, or what `stem` makes of them.
     """
-    stem = Stemmer()
+    stem = stem or Stemmer()
     all_of: list[list[str]] = []
     phrases: list[list[tuple[str, int]]] = []
     none_of: list[str] = []
@@ -215,12 +220,64 @@ def plain_terms(text: Column) -> Column:
 
 
 def matched_terms(rows: DataFrame, queries: DataFrame, limit: int, key: str = "chunk_id") -> DataFrame:
-    """(query_id, key, score, rank): how many distinct terms of a query (query_id, terms) occur in a row.
+    """(query_id, key, score, rank): how many distinct terms of a query (query_id, terms) occur in a row's text.
 
-    The terms of the queries filter the exploded words before anything is shuffled.
+    Rows are counted where they are scanned: the queries go out in blocks of bounded size, as a map from a term to the
+    queries that have it, and a task passes on its own `limit` best rows of each query. So a word that
+    every row has is counted, and never dealt out.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    words = rows.select(key, F.explode(plain_terms(F.col("text"))).alias("term"))
-    hits = words.join(asked, "term").groupBy("query_id", key).agg(F.count(F.lit(1)).alias("score"))
+    spark = rows.sparkSession
+    kind, key_kind = queries.schema["query_id"].dataType.simpleString(), rows.schema[key].dataType.simpleString()
+    arrow_kind = to_arrow_type(queries.schema["query_id"].dataType)
+    asked = queries.select("query_id", F.array_distinct("terms").alias("terms")).orderBy("query_id")
+    found, block, words = None, [], 0
+
+    def counting(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, number, starts, members = sent.value
+            sizes = np.diff(starts)
+            for whole in batches:
+                for low in range(0, whole.num_rows, COUNTED):
+                    batch = whole.slice(low, COUNTED)
+                    lists = [[number[w] for w in {*t.lower().encode().split()} if w in number] if t else [] for t in batch.column(1).to_pylist()]
+                    many = np.array([len(x) for x in lists], np.int64)
+                    terms = np.fromiter((i for x in lists for i in x), np.int64, int(many.sum()))
+                    n = sizes[terms]
+                    ends = np.cumsum(n)
+                    query = members[np.repeat(starts[terms] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+                    row = np.repeat(np.repeat(np.arange(batch.num_rows), many), n)
+                    score = np.bincount(row * len(ids) + query, minlength=batch.num_rows * len(ids)).reshape(-1, len(ids))
+                    order = np.array(pa.compute.rank(batch.column(0), "ascending", null_placement="at_start"))
+                    best = [r[np.lexsort((order[r], -score[r, q]))[:limit]] for q, r in ((q, np.flatnonzero(score[:, q])) for q in np.flatnonzero(score.any(axis=0)).tolist())]
+                    asked_by = np.flatnonzero(score.any(axis=0))
+                    rows_ = np.concatenate([*best, np.zeros(0, np.int64)])
+                    of = np.repeat(asked_by, [len(b) for b in best])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, arrow_kind).take(pa.array(of)), batch.column(0).take(pa.array(rows_)), pa.array(score[rows_, of], pa.int64())], names=["query_id", key, "score"])
+
+        return run
+
+    def flush():
+        nonlocal found, block, words
+        by_term: dict[bytes, list[int]] = {}
+        for q, (_, terms) in enumerate(block):
+            for t in terms:
+                if t is not None:
+                    by_term.setdefault(t.encode(), []).append(q)
+        members = np.array([q for x in by_term.values() for q in x], np.int64)
+        starts = np.append(0, np.cumsum([len(x) for x in by_term.values()])).astype(np.int64)
+        sent = spark.sparkContext.broadcast(([q for q, _ in block], dict(zip(by_term, range(len(by_term)), strict=True)), starts, members))
+        part = rows.select(key, "text").mapInArrow(counting(sent), f"query_id {kind}, {key} {key_kind}, score long")
+        found = part if found is None else found.union(part)
+        block, words = [], 0
+
+    for row in asked.toLocalIterator():
+        block.append((row[0], row[1] or []))
+        words += len(block[-1][1])
+        if len(block) == QUERY_BLOCK or words > TERM_BLOCK:
+            flush()
+    if block:
+        flush()
+    if found is None:
+        return spark.createDataFrame([], f"query_id {kind}, {key} {key_kind}, score long, rank int")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.plans import dialogues, jobs, retrieval, tables, texts
+from folio.plans import dialogues, indexes, jobs, retrieval, tables, texts
 
-QUERIES = {**retrieval.QUERIES, **texts.QUERIES, **dialogues.QUERIES, **tables.QUERIES, **jobs.QUERIES}
-ORACLE_SQL = {**retrieval.ORACLE_SQL, **texts.ORACLE_SQL, **dialogues.ORACLE_SQL, **tables.ORACLE_SQL, **jobs.ORACLE_SQL}
+QUERIES = {**retrieval.QUERIES, **texts.QUERIES, **dialogues.QUERIES, **tables.QUERIES, **jobs.QUERIES, **indexes.QUERIES}
+ORACLE_SQL = {**retrieval.ORACLE_SQL, **texts.ORACLE_SQL, **dialogues.ORACLE_SQL, **tables.ORACLE_SQL, **jobs.ORACLE_SQL, **indexes.ORACLE_SQL}
