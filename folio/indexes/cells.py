@@ -152,14 +152,14 @@ def nearest_cells(index: Cells, queries: DataFrame, probes: int) -> DataFrame:
             like = unit(np.asarray(batch.column(1).flatten(), np.float64).reshape(n, -1)) @ centres[full].T
             order = np.argsort(-like, axis=1, kind="stable")[:, :take]
             rows = pa.array(np.repeat(np.arange(n), take))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(full[order.ravel()].astype(np.int32))], names=["query_id", "query_vector", "cell"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(full[order.ravel()].astype(np.int32)), pa.array(np.tile(np.arange(1, take + 1, dtype=np.int32), n))], names=["query_id", "query_vector", "cell", "step"])
 
     usable = queries.select("query_id", "query_vector").where(finite(F.col("query_vector"), index.centres.shape[1]))
-    return usable.mapInArrow(run, f"query_id {kind}, query_vector {queries.schema['query_vector'].dataType.simpleString()}, cell int")
+    return usable.mapInArrow(run, f"query_id {kind}, query_vector {queries.schema['query_vector'].dataType.simpleString()}, cell int, step int")
 
 
 def found_in_cells(index: Cells, dealt: DataFrame, k: int) -> DataFrame:
-    """(query_id, key, distance): the k nearest of each query (query_id, query_vector, cell) in each block of its cells.
+    """(query_id, key, distance, cell): the k nearest of each query (query_id, query_vector, cell) in each block of its cells.
 
     The cells that are asked are read, no others. A block and a group of queries of its cell meet in one task; both are bounded.
     """
@@ -174,7 +174,7 @@ def found_in_cells(index: Cells, dealt: DataFrame, k: int) -> DataFrame:
 
     def meet(unit_key, held: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(held) or not len(queries):
-            return pd.DataFrame({"query_id": [], "key": [], "distance": []})
+            return pd.DataFrame({"query_id": [], "key": [], "distance": [], "cell": []})
         q, v = (unit(np.array(x.tolist(), np.float64)) for x in (queries["query_vector"], held["vector"]))
         keys = held["key"].to_numpy()
         order = np.argsort(keys, kind="stable")
@@ -187,11 +187,11 @@ def found_in_cells(index: Cells, dealt: DataFrame, k: int) -> DataFrame:
         for i, name in enumerate(queries["query_id"]):
             near = np.flatnonzero(distance[i] <= limit[i])
             near = near[np.argsort(distance[i][near], kind="stable")][:k]
-            out.append(pd.DataFrame({"query_id": [name] * len(near), "key": keys[near], "distance": distance[i][near]}))
+            out.append(pd.DataFrame({"query_id": [name] * len(near), "key": keys[near], "distance": distance[i][near], "cell": [unit_key[0]] * len(near)}))
         return pd.concat(out)
 
     units = ["cell", "block", "part"]
-    return rows.select(*units, "key", "vector").groupBy(*units).cogroup(asked.select(*units, "query_id", "query_vector").groupBy(*units)).applyInPandas(meet, f"query_id {kind}, key {key_kind}, distance double")
+    return rows.select(*units, "key", "vector").groupBy(*units).cogroup(asked.select(*units, "query_id", "query_vector").groupBy(*units)).applyInPandas(meet, f"query_id {kind}, key {key_kind}, distance double, cell int")
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -212,18 +212,42 @@ def open_cells(index: Cells, queries: DataFrame, seen: DataFrame, limits: DataFr
     return with_limit.where(least <= F.col("limit") + F.lit(SLACK)).select("query_id", "query_vector", "cell")
 
 
+def nearest_of_all(index: Cells, queries: DataFrame, k: int, probes: int) -> DataFrame:
+    """(query_id, key, distance, cell, rank): the k nearest of all rows, begun in each query's `probes` nearest cells."""
+    dealt = kept(nearest_cells(index, queries, probes), "probes")
+    first = kept(ranked(found_in_cells(index, dealt, k), k), "nearest")
+    # with fewer than k rows so far, whatever is left may be among them
+    limits = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(3.0)).alias("limit"))
+    rest = kept(open_cells(index, queries, dealt, limits), "probes")
+    return ranked(first.drop("rank").union(found_in_cells(index, rest, k)), k)
+
+
 def search(index: Cells, queries: DataFrame, k: int, probes: int = 4, exact: bool = False) -> DataFrame:
     """(query_id, key, distance, rank): the k nearest rows of the queries (query_id, query_vector; ids are unique).
 
-    Without `exact`, of the rows in each query's `probes` nearest cells. With it, of all rows.
+    Without `exact`, of the rows in each query's `probes` nearest cells (`probes_for` finds how many it takes). With it, of all rows.
     """
     queries = queries.select("query_id", "query_vector")
-    dealt = kept(nearest_cells(index, queries, probes), "probes")
-    if not exact:
-        return ranked(found_in_cells(index, dealt, k), k).withColumnRenamed("key", index.key)
-    first = kept(ranked(found_in_cells(index, dealt, k), k), "nearest")
-    # fewer than k rows so far: whatever is left may be among them
-    limits = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(3.0)).alias("limit"))
-    rest = kept(open_cells(index, queries, dealt, limits), "probes")
-    every = first.drop("rank").union(found_in_cells(index, rest, k))
-    return ranked(every, k).withColumnRenamed("key", index.key)
+    if exact:
+        found = nearest_of_all(index, queries, k, probes)
+    else:
+        found = ranked(found_in_cells(index, kept(nearest_cells(index, queries, probes), "probes"), k), k)
+    return found.drop("cell").withColumnRenamed("key", index.key)
+
+
+def probes_for(index: Cells, k: int, recall: float = 0.97, asked: int = 300) -> int:
+    """The least number of probes with which `asked` stored vectors, drawn by a hash, find that share of their k nearest.
+
+    What is nearest is found the exact way; how far down a query's cells each of it lies is counted.
+    """
+    drawn = index.rows.orderBy(F.xxhash64("key", "vector", F.lit(1))).limit(asked)
+    queries = kept(drawn.select(F.monotonically_increasing_id().alias("query_id"), F.col("vector").alias("query_vector")), "asked")
+    order = nearest_cells(index, queries, len(index.centres))
+    nearest = nearest_of_all(index, queries, k, 4)
+    steps = sorted((r.step, r["count"]) for r in nearest.join(order, ["query_id", "cell"]).groupBy("step").count().collect())
+    wanted, held = recall * sum(n for _, n in steps), 0
+    for step, n in steps:
+        held += n
+        if held >= wanted:
+            return step
+    return 1

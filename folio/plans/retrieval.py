@@ -99,7 +99,7 @@ def searched_by_cells(spark: SparkSession, sf_dir: str, exact: bool) -> DataFram
     every = table(spark, sf_dir, "embeddings")
     index = cells.build(every, new_path(spark, "cells"), "vec_id")
     asked = every.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    found = cells.search(index, asked, 10, probes=4, exact=exact)
+    found = cells.search(index, asked, 10, probes=4 if exact else cells.probes_for(index, 10), exact=exact)
     return found.select("query_id", F.col("vec_id").alias("chunk_id"), "distance", "rank")
 
 
@@ -111,7 +111,7 @@ def vector_index_exact(spark, sf_dir):
 
 @query()
 def vector_index_probes(spark, sf_dir):
-    """The same from the four nearest cells of each; its recall against the full scan is in the README."""
+    """The same from as many of the nearest cells as a sample needs to find 97 of 100; recall against the full scan is in the README."""
     return searched_by_cells(spark, sf_dir, False)
 
 
