@@ -1,9 +1,9 @@
 """A positional full-text index that is kept up, and searched in part.
 
 A folder holds segments: a first one, then one for every change. A row of `postings` is a lexeme in a
-range of about `DOCS` documents: who has it, where, and the most that one has. Ranges cut hot lexemes, and
+range of at most about `DOCS` documents: who has it, where, and the most that one has. Ranges cut hot lexemes, and
 `part`, a folder, is a hash of the lexeme, so a search reads the parts of its lexemes and, sorted as they are, few row groups of
-them. `docs` says in which range a document is; `gone` lists, by range, the documents of earlier segments that a later one has
+them. A folder of its own lists the documents of each range; `gone` lists, by range, the documents of earlier segments that a later one has
 replaced or removed. A segment counts from its line in `commits` on, which is written last: a
 change that fails midway is not seen, and the next one takes another number.
 
@@ -19,50 +19,83 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import count
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.operators.lexical import STOP_WORDS, WORD, Stemmer, covers, parse
 from folio.sources.shared import exists, kept, removed
 
-#: Documents of a range; folders of lexemes; ranges whose lexemes one task gathers.
-DOCS, PARTS, GATHERED = 1024, 32, 16
+#: Documents of a range, and characters after which it is cut; folders of lexemes.
+DOCS, CHARS, PARTS = 1024, 8_000_000, 32
 #: Ranges of a question that are scored before the others are judged by their bounds.
 FIRST = 4
-#: Bits of a range's number below the segment's.
-RANGE_BITS = 40
+#: Bits of a range's number below the segment's, and below the task's.
+RANGE_BITS, TASK_BITS = 44, 20
+#: The folder of the rows that list a range's documents.
+LISTED = -1
+
+ENTRIES = "lexeme string, range long, n int, best int, docs array<struct<key: {}, positions: array<int>>>"
 
 
 def plain(word: str) -> str:
     return word
 
 
-def analysed(rows: DataFrame, key: str, text: str, stemmed: bool) -> DataFrame:
-    """(key, words, lexeme, positions); a document without lexemes has a row with null for both."""
+def gathered(keys: pa.Array, texts: list[str | None], number: int, stem: Callable[[str], str]) -> pa.RecordBatch:
+    """The rows of a range: lexeme, range, n, best and docs (key, positions); that without a lexeme lists the documents with their numbers of words."""
+    known: dict[str, int] = defaultdict(count().__next__)
+    lists = [WORD.findall((t or "").lower()) for t in texts]
+    sizes = np.array([len(x) for x in lists], np.int64)
+    words = np.fromiter((known[w] for x in lists for w in x), np.int64, int(sizes.sum()))
+    lexemes: dict[str, int] = defaultdict(count().__next__)
+    lexeme_of = np.array([-1 if w in STOP_WORDS else lexemes[stem(w)] for w in known], np.int64)
+    code = lexeme_of[words] if len(words) else words
+    doc = np.repeat(np.arange(len(lists)), sizes)
+    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+    order = np.argsort(code, kind="stable")
+    order = order[np.searchsorted(code[order], 0) :]
+    code, doc, place = code[order], doc[order], place[order]
+    entry = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1]))[: len(code)])
+    row = np.flatnonzero(np.append(True, code[entry][1:] != code[entry][:-1])[: len(entry)])
+    many = np.diff(np.append(entry, len(code)))
+    ends = np.append(row, len(entry))
+    # the row of all documents comes first
+    n, offsets = len(lists), np.append(0, ends + len(lists)).astype(np.int32)
+    places = pa.ListArray.from_arrays(np.concatenate((np.arange(n), entry + n, [len(code) + n])).astype(np.int32), pa.array(np.concatenate((sizes, place)).astype(np.int32)))
+    names = keys.take(pa.array(np.concatenate((np.arange(n), doc[entry]))))
+    docs = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([names, places], names=["key", "positions"]))
+    counts = [np.append(n, np.diff(ends)), np.append(0, np.maximum.reduceat(many, row) if len(row) else [])]
+    arrays = [pa.array([None, *lexemes], pa.string()), pa.array(np.full(len(docs), number, np.int64)), *[pa.array(c.astype(np.int32)) for c in counts], docs]
+    return pa.RecordBatch.from_arrays(arrays, names=["lexeme", "range", "n", "best", "docs"])
+
+
+def analysed(rows: DataFrame, key: str, text: str, stemmed: bool, segment: int) -> DataFrame:
+    """The rows of `gathered` for all ranges. A range is what a task reads next: DOCS rows, or fewer of long texts."""
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stem = Stemmer() if stemmed else plain
+        number = (segment << RANGE_BITS) + (TaskContext.get().partitionId() << TASK_BITS)
         for batch in batches:
-            at, words, terms, places = [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                found: dict[str | None, list[int] | None] = {}
-                said = WORD.findall((t or "").lower())
-                for p, w in enumerate(said, 1):
-                    if w not in STOP_WORDS:
-                        found.setdefault(stem(w), []).append(p)
-                found = found or {None: None}
-                at += [i] * len(found)
-                words += [len(said)] * len(found)
-                terms += found
-                places += found.values()
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(words, pa.int32()), pa.array(terms, pa.string()), pa.array(places, pa.list_(pa.int32()))], names=["key", "words", "lexeme", "positions"])
-
-    return rows.select(key, text).mapInArrow(run, f"key {kind}, words int, lexeme string, positions array<int>")
+            texts = batch.column(1).to_pylist()
+            low = 0
+            while low < len(texts):
+                high, chars = low, 0
+                while high < min(len(texts), low + DOCS) and (chars < CHARS or high == low):
+                    chars += len(texts[high] or "")
+                    high += 1
+                yield gathered(batch.column(0)[low:high], texts[low:high], number, stem)
+                low, number = high, number + 1
+
+    return rows.select(key, text).mapInArrow(run, ENTRIES.format(kind))
 
 
 def needs(text: str, stemmed: bool) -> dict | None:
@@ -107,67 +140,82 @@ class TextIndex:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*paths)
 
+    @property
+    def rows(self) -> DataFrame:
+        return self.stored("postings", f"{ENTRIES.format(self.kind)}, segment int, part int")
+
     @property
     def postings(self) -> DataFrame:
-        doc = f"struct<key: {self.kind}, positions: array<int>>"
-        return self.stored("postings", f"lexeme string, range long, n int, best int, docs array<{doc}>, segment int, part int")
+        return self.rows.where(F.col("part") != LISTED)
 
     @property
     def gone(self) -> DataFrame:
-        return self.stored("gone", f"range long, key {self.kind}, segment int").select("range", "key")
+        """(range, dead): the documents of each range that a later segment has replaced or removed."""
+        each = self.stored("gone", f"range long, key {self.kind}, segment int")
+        return each.groupBy("range").agg(F.collect_set("key").alias("dead"))
+
+    def living(self, rows: DataFrame) -> DataFrame:
+        """Rows of the index with the documents that count; those that are left without any go."""
+        left = F.filter("docs", lambda d: ~F.array_contains("dead", d["key"]))
+        docs = F.when(F.col("dead").isNull(), F.col("docs")).otherwise(left)
+        return rows.join(self.gone, "range", "left").withColumn("docs", docs).drop("dead").where(F.size("docs") > 0)
 
     def documents(self) -> DataFrame:
         """(key, range, words) of the documents that count."""
-        docs = self.stored("docs", f"key {self.kind}, range long, words int, segment int").drop("segment")
-        return docs.join(self.gone, ["range", "key"], "left_anti")
+        each = self.living(self.rows.where(F.col("part") == LISTED)).select("range", F.explode("docs").alias("d"))
+        return each.select("d.key", "range", F.col("d.positions")[0].alias("words"))
 
     def entries(self) -> DataFrame:
         """(key, lexeme, positions) of the documents that count."""
-        each = self.postings.select("range", "lexeme", F.explode("docs").alias("d")).select("range", "lexeme", "d.*")
-        return each.join(self.gone, ["range", "key"], "left_anti").select("key", "lexeme", "positions")
+        return self.living(self.postings).select("lexeme", F.explode("docs").alias("d")).select("d.key", "lexeme", "d.positions")
 
     # changes
 
-    def write(self, found: DataFrame, replaced: DataFrame | None, whole: bool) -> None:
-        """One more segment: of the documents in `found` (key, words, lexeme, positions), and without those with the keys in `replaced`."""
+    def next_segment(self) -> int:
+        """A number that no change has had, not even one that failed."""
         segment = max(self.segments(), default=-1) + 1
-        while any(exists(self.spark, f"{self.path}/{n}/segment={segment}") for n in ("docs", "gone", "postings")):
-            segment += 1  # what a change that failed has left
-        docs = kept(found.select("key", "words").distinct(), "docs")
-        ranges = max(1, -(-docs.count() // DOCS))
-        number = F.lit(segment << RANGE_BITS) + F.pmod(F.xxhash64("key"), F.lit(ranges))
-        docs.select("key", number.alias("range"), "words").repartition("range").write.parquet(f"{self.path}/docs/segment={segment}")
-        each = found.where("lexeme is not null").withColumn("range", number).withColumn("part", F.pmod(F.xxhash64("lexeme"), F.lit(PARTS)).cast("int"))
-        # one exchange: what gathers a lexeme's documents of a range also writes it
-        each = each.withColumn("spread", F.floor((F.col("range") - F.lit(segment << RANGE_BITS)) / F.lit(GATHERED))).repartition("part", "spread")
-        rows = each.groupBy("part", "spread", "lexeme", "range").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max(F.size("positions")).alias("best"), F.collect_list(F.struct("key", "positions")).alias("docs"))
-        rows.drop("spread").sortWithinPartitions("part", "lexeme", "range").write.partitionBy("part").parquet(f"{self.path}/postings/segment={segment}")
-        if replaced is not None:
-            old = self.documents().join(replaced.select("key").distinct(), "key").select("range", "key")
+        while any(exists(self.spark, f"{self.path}/{n}/segment={segment}") for n in ("gone", "postings")):
+            segment += 1
+        return segment
+
+    def write(self, found: DataFrame | None, keys: DataFrame | None, segment: int, whole: bool) -> None:
+        """One more segment: of the entries in `found`, and without the documents with the keys in `keys`."""
+        if keys is not None:
+            old = self.documents().join(keys.select("key").distinct(), "key").select("range", "key")
             old.repartition("range").write.parquet(f"{self.path}/gone/segment={segment}")
+        if found is not None:
+            tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            part = F.when(F.col("lexeme").isNull(), LISTED).otherwise(F.pmod(F.xxhash64("lexeme"), F.lit(PARTS)).cast("int"))
+            spread = F.pmod(F.xxhash64("range"), F.lit(max(1, 2 * tasks // PARTS)))
+            dealt = found.withColumn("part", part).repartition("part", spread)
+            dealt.sortWithinPartitions("part", "lexeme", "range").write.partitionBy("part").parquet(f"{self.path}/postings/segment={segment}")
         line = json.dumps({"segment": segment, "whole": whole})
         self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/commits")
         self.seen = None
 
     def put(self, rows: DataFrame, text: str = "text") -> None:
-        """Inserts documents, or replaces those with their keys."""
-        found = kept(analysed(rows, self.key, text, self.stemmed), "analysed")
-        self.write(found, found, not self.segments())
+        """Inserts documents, or replaces those with their keys. The rows come in the same order whenever a task reads them, as those of files do."""
+        segment = self.next_segment()
+        keys = rows.select(F.col(self.key).alias("key")) if self.segments() else None
+        self.write(analysed(rows, self.key, text, self.stemmed, segment), keys, segment, keys is None)
 
     def remove(self, keys: DataFrame) -> None:
         """Takes out the documents with these keys."""
-        none = self.spark.createDataFrame([], f"key {self.kind}, words int, lexeme string, positions array<int>")
-        self.write(none, keys.select(F.col(self.key).alias("key")), False)
+        self.write(None, keys.select(F.col(self.key).alias("key")), self.next_segment(), False)
 
     def merge(self) -> None:
-        """One whole segment in place of all; what it replaces is no longer read."""
-        docs = self.documents().select("key", "words")
-        self.write(kept(docs.join(self.entries(), "key", "left").select("key", "words", "lexeme", "positions"), "merged"), None, True)
+        """One whole segment in place of all, of ranges that are full again; what it replaces is no longer read."""
+        segment = self.next_segment()
+        live = self.documents().count()
+        number = F.lit(segment << RANGE_BITS) + F.pmod(F.xxhash64("range"), F.lit(max(1, -(-live // DOCS))))
+        left = self.living(self.rows).withColumn("best", F.array_max(F.transform("docs", lambda d: F.size(d["positions"]))))
+        joined = left.groupBy("lexeme", number.alias("range")).agg(F.sum(F.size("docs")).cast("int").alias("n"), F.max("best").alias("best"), F.flatten(F.collect_list("docs")).alias("docs"))
+        self.write(joined, None, segment, True)
 
     def vacuum(self) -> None:
         """Deletes the segments that a whole one has replaced; no search of before may still run."""
         for s in range(min(self.segments())):
-            for name in ("docs", "gone", "postings"):
+            for name in ("gone", "postings"):
                 removed(self.spark, f"{self.path}/{name}/segment={s}")
 
     # searches
@@ -217,8 +265,7 @@ class TextIndex:
         terms = asked.groupBy("query_id").agg(F.first("plan").alias("plan"))
         hits = self.of_lexemes(asked).select("lexeme", "range", "docs").join(asked.select("query_id", "lexeme"), "lexeme").join(ranges.select("query_id", "range"), ["query_id", "range"])
         held = hits.groupBy("query_id", "range").agg(F.collect_list(F.struct("lexeme", "docs")).alias("terms")).join(terms, "query_id")
-        dead = self.gone.join(ranges.select("range").distinct(), "range").groupBy("range").agg(F.collect_list("key").alias("dead"))
-        held = held.join(dead, "range", "left").select("query_id", "plan", "terms", "dead")
+        held = held.join(self.gone, "range", "left").select("query_id", "plan", "terms", "dead")
         kind = asked.schema["query_id"].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
