@@ -41,6 +41,26 @@ def numbered(rows: DataFrame, order: list[str], name: str, first: int = 0) -> Da
     return held.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + place).drop("_part", "_at", "_before")
 
 
+def running_sum(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the sum of a long column over the rows so far, the row itself included, in the order of all. Nulls count as 0."""
+    dealt = in_ranges(rows, order)
+    schema = T.StructType([*dealt.schema.fields, T.StructField(name, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        so_far = 0
+        for batch in batches:
+            if batch.num_rows:
+                sums = so_far + np.cumsum(batch.column(batch.schema.names.index(value)).fill_null(0).to_numpy())
+                so_far = int(sums[-1])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums)], names=[*batch.schema.names, name])
+
+    held = kept(dealt.mapInArrow(run, schema), "summed").withColumn("_part", F.shiftright("_at", PLACE_BITS))
+    totals = sorted((r["_part"], r["n"]) for r in held.groupBy("_part").agg(F.sum(F.coalesce(value, F.lit(0))).alias("n")).collect())
+    before = list(accumulate((n for _, n in totals), initial=0))[:-1]
+    starts = rows.sparkSession.createDataFrame(list(zip((p for p, _ in totals), before, strict=True)), "_part long, _before long")
+    return held.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col(name)).drop("_part", "_at", "_before")
+
+
 def last_known(values: pa.Array, codes: np.ndarray) -> np.ndarray:
     """For each row the place of the last value that is not null in its run of equal codes, or -1."""
     n = len(codes)

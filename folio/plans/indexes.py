@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from folio.indexes import texts
+from folio.operators import leases
 from folio.operators.lexical import STOP_WORDS
 from folio.plans.registry import registry
 from folio.sources.schemas import table
@@ -57,3 +58,46 @@ def text_index_upkeep(spark, sf_dir):
     held = index.entries().groupBy("key").agg(F.count(F.lit(1)).alias("lexemes"), F.sum(F.size("positions")).alias("places"), F.sum(places).alias("place_sum"))
     none = F.lit(0).cast("long")
     return index.documents().join(held, "key", "left").select(F.col("key").alias("chunk_id"), "words", *[F.coalesce(c, none).alias(c) for c in ("lexemes", "places", "place_sum")])
+
+
+#: Leases of six hours; workers are what an id leaves when divided by three.
+LEASE = 6 * 3600
+
+@query(f"""with recursive event as (
+  select user_id as item, event_id as seq, epoch_us(ts) as at, (event_id % 3)::varchar as worker,
+         case event_type when 'signup' then 'offer' when 'purchase' then 'commit' else 'claim' end as kind,
+         row_number() over (partition by user_id order by ts, event_id) as k
+  from events where user_id is not null
+),
+step as (
+  select item, 0::bigint as k, null::bigint as seq, null::varchar as worker, null::varchar as outcome, 0::bigint as token, null::varchar as owner, 0::bigint as until, false as done from (select distinct item from event)
+  union all
+  select item, k, seq, worker, outcome, token + (outcome = 'granted')::bigint,
+         case outcome when 'granted' then worker when 'committed' then null when 'offered' then null else owner end,
+         case outcome when 'granted' then at + {LEASE * 10**6} else until end,
+         case outcome when 'committed' then true when 'offered' then false else done end
+  from (
+    select e.item, e.k, e.seq, e.worker, e.at, s.token, s.owner, s.until, s.done,
+           case when kind = 'offer' then case when done then 'offered' else 'known' end
+                when kind = 'claim' and not done and not (owner is not null and e.at < until) then 'granted'
+                when kind = 'commit' and not done and owner is not null and e.at < until and owner = e.worker then 'committed'
+                else 'refused' end as outcome
+    from step s join event e on e.item = s.item and e.k = s.k + 1
+  )
+)
+select item, seq, worker, outcome, token from step where k > 0""")
+def lease_log(spark, sf_dir):
+    """Users as items that workers claim, commit and offer: what becomes of every event under leases with fencing."""
+    kind = F.when(F.col("event_type") == "signup", leases.OFFER).when(F.col("event_type") == "purchase", leases.COMMIT).otherwise(leases.CLAIM)
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("item"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), kind.alias("kind"), (F.col("event_id") % 3).cast("string").alias("worker"))
+    return leases.replayed(events, LEASE * 10**6)
+
+
+@query("""with item as (select doc_id, row_number() over (order by doc_id) - 1 as place from documents where doc_id % 3 = 0),
+ask as (select s_suppkey::varchar as worker, sum(s_suppkey % 9) over (order by s_suppkey) as stop, s_suppkey % 9 as n from supplier)
+select doc_id as document_id, worker from item join ask on place >= stop - n and place < stop""")
+def claimed_batches(spark, sf_dir):
+    """Suppliers as workers that ask for some pending documents each: who gets which, none shared."""
+    pending = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("document_id"))
+    asks = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seq"), F.col("s_suppkey").alias("worker"), (F.col("s_suppkey") % 9).alias("n"))
+    return leases.claimed(pending, asks)
