@@ -6,7 +6,7 @@ order of columns that a map would lose.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Subjects looked for in captions.
@@ -151,3 +151,18 @@ def caption_line(text: Column) -> Column:
         return F.startswith(F.lower(line), F.lit("table ")) | (F.size(words).between(2, 15) & (numbers / F.greatest(F.size(words), F.lit(1)) < 0.3))
 
     return F.get(F.filter(lines, caption), F.lit(0))
+
+
+def as_variant(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Rows with the JSON of a column as VARIANT; null where it is none."""
+    return rows.withColumn(name, F.try_parse_json(text)).drop(text) if name != text else rows.withColumn(name, F.try_parse_json(text))
+
+
+def variant_columns(variant: str, paths: dict[str, tuple[str, str]]) -> list[Column]:
+    """Columns of a VARIANT by path, each of its type; null where the path leads nowhere or to what has another type."""
+    return [F.try_variant_get(variant, path, kind).alias(name) for name, (path, kind) in paths.items()]
+
+
+def variant_map(variant: str) -> Column:
+    """The top keys of a VARIANT object with their values; keys with a null value are among them."""
+    return F.from_json(F.to_json(variant), "map<string, string>")

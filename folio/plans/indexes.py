@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from folio.indexes import texts
+from folio.functions import tables
+from folio.indexes import layout, texts
 from folio.operators import leases
 from folio.operators.lexical import STOP_WORDS
 from folio.plans.registry import registry
@@ -64,7 +67,7 @@ def text_index_upkeep(spark, sf_dir):
 LEASE = 6 * 3600
 
 @query(f"""with recursive event as (
-  select user_id as item, event_id as seq, epoch_us(ts) as at, (event_id % 3)::varchar as worker,
+  select user_id as item, event_id as seq, epoch_us(ts) as moment, (event_id % 3)::varchar as worker,
          case event_type when 'signup' then 'offer' when 'purchase' then 'commit' else 'claim' end as kind,
          row_number() over (partition by user_id order by ts, event_id) as k
   from events where user_id is not null
@@ -74,13 +77,13 @@ step as (
   union all
   select item, k, seq, worker, outcome, token + (outcome = 'granted')::bigint,
          case outcome when 'granted' then worker when 'committed' then null when 'offered' then null else owner end,
-         case outcome when 'granted' then at + {LEASE * 10**6} else until end,
+         case outcome when 'granted' then moment + {LEASE * 10**6} else until end,
          case outcome when 'committed' then true when 'offered' then false else done end
   from (
-    select e.item, e.k, e.seq, e.worker, e.at, s.token, s.owner, s.until, s.done,
+    select e.item, e.k, e.seq, e.worker, e.moment, s.token, s.owner, s.until, s.done,
            case when kind = 'offer' then case when done then 'offered' else 'known' end
-                when kind = 'claim' and not done and not (owner is not null and e.at < until) then 'granted'
-                when kind = 'commit' and not done and owner is not null and e.at < until and owner = e.worker then 'committed'
+                when kind = 'claim' and not done and not (owner is not null and e.moment < until) then 'granted'
+                when kind = 'commit' and not done and owner is not null and e.moment < until and owner = e.worker then 'committed'
                 else 'refused' end as outcome
     from step s join event e on e.item = s.item and e.k = s.k + 1
   )
@@ -101,3 +104,57 @@ def claimed_batches(spark, sf_dir):
     pending = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("document_id"))
     asks = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seq"), F.col("s_suppkey").alias("worker"), (F.col("s_suppkey") % 9).alias("n"))
     return leases.claimed(pending, asks)
+
+
+STATED = "case doc_id % 4 when 0 then 'NEW' when 1 then 'EMBEDDED' when 2 then 'FAILED' else 'CHUNKS_BUILT' end"
+
+
+@query(f"""select d.doc_id as document_id, d.source as source_system, count(c.vec_id) as chunks, min(c.label) as label
+from documents d join embeddings c on c.vec_id % (select count(*) from documents) = d.doc_id where {STATED} = 'NEW' group by all""")
+def layout_join(spark, sf_dir):
+    """Chunks of the documents in one state, from tables that lie bucketed by document, the documents below folders of their state."""
+    docs = table(spark, sf_dir, "documents")
+    n = docs.count()
+    stated = docs.select(F.col("doc_id").alias("document_id"), F.col("source").alias("source_system"), F.expr(STATED).alias("status"))
+    chunks = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % n).alias("document_id"), "vec_id", "label")
+    tag = uuid.uuid4().hex
+    stored = layout.bucketed(stated, f"documents_{tag}", new_path(spark, "bucketed"), "document_id", 16, "status")
+    parts = layout.bucketed(chunks, f"chunks_{tag}", new_path(spark, "bucketed"), "document_id", 16)
+    joined = stored.where("status = 'NEW'").join(parts, "document_id")
+    return joined.groupBy("document_id", "source_system").agg(F.count("vec_id").alias("chunks"), F.min("label").alias("label"))
+
+
+@query("""select doc_id as document_id, 0 as part, n_chars from documents where doc_id % 7 not in (0, 3)
+union all select doc_id, part::int, n_chars // 2 from documents, unnest([1, 2]) as t(part) where doc_id % 7 = 0""")
+def layout_replace(spark, sf_dir):
+    """A table by key after every seventh document was replaced by two rows, and others were taken out."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "n_chars")
+    path = new_path(spark, "by-key")
+    layout.stored_by_key(docs.withColumn("part", F.lit(0)), path, "document_id", 32)
+    new = docs.where("document_id % 7 = 0").select("document_id", F.floor(F.col("n_chars") / 2).alias("n_chars"), F.explode(F.array(F.lit(1), F.lit(2))).alias("part"))
+    layout.replace_keys(spark, path, new, "document_id", 32, docs.where("document_id % 7 = 3"))
+    return layout.read_by_key(spark, path).select("document_id", "part", "n_chars")
+
+
+RAGGED = """'{"k": ' || coalesce(json_extract_string(props, '$.k'), 'null') || case event_type when 'click' then ', "at": {"page": ' || user_id || '}' when 'error' then ', "codes": [' || event_id || ', "x"]' when 'view' then ', "k2": "' || event_type || '"' else '' end || '}'"""
+
+
+@query(f"""with r as (select event_id, ({RAGGED})::json as p from events)
+select event_id, (json_extract_string(p, '$.k'))::bigint as k, (json_extract_string(p, '$.at.page'))::bigint as page, try_cast(json_extract_string(p, '$.codes[0]') as bigint) as code,
+json_extract_string(p, '$.k2') as other, len(json_keys(p)) as n_keys, p::varchar like '%codes%' as has_codes from r""")
+def ragged_rows(spark, sf_dir):
+    """Row maps with missing, extra and nested keys, held as VARIANT and read by path."""
+    events = table(spark, sf_dir, "events")
+    extra = F.when(F.col("event_type") == "click", F.concat(F.lit(', "at": {"page": '), "user_id", F.lit("}")))
+    extra = extra.when(F.col("event_type") == "error", F.concat(F.lit(', "codes": ['), "event_id", F.lit(', "x"]')))
+    extra = extra.when(F.col("event_type") == "view", F.concat(F.lit(', "k2": "'), "event_type", F.lit('"'))).otherwise("")
+    text = F.concat(F.lit('{"k": '), F.coalesce(F.get_json_object("props", "$.k"), F.lit("null")), extra, F.lit("}"))
+    path = new_path(spark, "ragged")
+    tables.as_variant(events.select("event_id", text.alias("row_json")), "row_json", "row").write.parquet(path)
+    rows = spark.read.parquet(path)
+    return rows.select(
+        "event_id",
+        *tables.variant_columns("row", {"k": ("$.k", "bigint"), "page": ("$.at.page", "bigint"), "code": ("$.codes[0]", "bigint"), "other": ("$.k2", "string")}),
+        F.size(F.map_keys(tables.variant_map("row"))).cast("long").alias("n_keys"),
+        F.try_variant_get("row", "$.codes", "string").isNotNull().alias("has_codes"),
+    )
