@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions import safety
-from folio.hooks import bus
+from folio.hooks import observed
 from folio.operators import context, hybrid
 from folio.providers import Embedder, Generator, Scorer, TokenCounter, WordCounter, with_retries
 
@@ -32,13 +32,12 @@ def answers(questions: DataFrame, chunks: DataFrame, embedder: Embedder, generat
     """(query_id, answer, blocked, violations, evidence, analysis, error) for questions (query_id, query_text, as_of_year).
 
     Questions that the rules forbid are answered with a fixed text and retrieve nothing. A generator that fails gives its error.
+    When the first action over the answers has ended, their events are sent with what it has counted.
     """
-    bus.emit("rag:query_started")
     judged = questions.withColumn("verdict", safety.verdict(F.col("query_text")))
     safe = judged.where("verdict.is_safe").drop("verdict") if screened else questions
     asked = embedded(safe.select("query_id", "query_text", "as_of_year"), embedder, "query_text", "query_vector")
     hits = hybrid.retrieve(asked, chunks, how, scorer).withColumn("excerpt", context.excerpt())
-    bus.emit("rag:retrieval_complete")
     kept = hits.join(context.within_budget(hits, counter or WordCounter(), budget), ["query_id", "rank"])
     body = context.contexts(kept)
     asked_full = safe.join(body, "query_id", "left").select("query_id", context.prompt(F.col("query_text"), F.coalesce("context", F.lit(""))).alias("prompt"))
@@ -64,10 +63,23 @@ def answers(questions: DataFrame, chunks: DataFrame, embedder: Embedder, generat
         "error",
     )
     full = said.join(context.evidence(kept), "query_id", "left").join(context.analyses(safe, kept), "query_id", "left")
-    bus.emit("rag:answer_completed")
-    if not screened:
-        return full
-    return full.unionByName(refused(judged).select("*", F.array().cast(full.schema["evidence"].dataType).alias("evidence")), allowMissingColumns=True)
+    if screened:
+        full = full.unionByName(refused(judged).select("*", F.array().cast(full.schema["evidence"].dataType).alias("evidence")), allowMissingColumns=True)
+    return observed(full, events())
+
+
+def events() -> dict:
+    """What a run of `answers` sends when it has ended, counted from its rows."""
+    held = F.size(F.coalesce("evidence", F.array()))
+    refusal = F.col("blocked") & F.col("answer").eqNullSafe(safety.BLOCKED_QUERY)
+    return {
+        "rag:query_started": {"questions": F.count(F.lit(1))},
+        "safety:query_blocked": {"questions": F.count_if(refusal)},
+        "rag:retrieval_complete": {"chunks": F.coalesce(F.sum(held), F.lit(0)), "without": F.count_if(~refusal & (held == 0))},
+        "safety:answer_blocked": {"answers": F.count_if(F.col("blocked") & ~refusal)},
+        "rag:answer_failed": {"answers": F.count_if(F.col("error").isNotNull())},
+        "rag:answer_completed": {"answers": F.count_if(F.col("answer").isNotNull() & ~F.col("blocked"))},
+    }
 
 
 def refused(judged: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from folio.hooks import observed
 from folio.operators.pages import pages_of_lines
 from folio.plans.ingest import chunks_of, with_missing_vectors
 from folio.providers import Embedder
@@ -16,12 +17,13 @@ INPUT = "document_id long, text string"
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, lines: int = 40, every: str | None = None) -> StreamingQuery:
     """Cleans and chunks the documents that arrive as Parquet files; each micro-batch is written once, under its number.
 
-    A batch that is tried again overwrites its own folder. The rows are those of the batch job over the same documents.
+    Each batch sends `ingest:chunks_built` once it is written. A batch that is tried again overwrites its own folder. The rows are those of the batch job over the same documents.
     """
     docs = spark.readStream.schema(INPUT).parquet(source)
 
     def write(batch: DataFrame, number: int) -> None:
-        chunks_of(pages_of_lines(batch, lines)).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        made = observed(chunks_of(pages_of_lines(batch, lines)), {"ingest:chunks_built": {"chunks": F.count(F.lit(1)), "characters": F.coalesce(F.sum(F.length("text")), F.lit(0))}})
+        made.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     writer = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
