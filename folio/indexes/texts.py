@@ -178,17 +178,20 @@ class TextIndex:
             segment += 1
         return segment
 
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows with part and spread, together by both; a lexeme of many ranges is spread over several tasks."""
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        part = F.when(F.col("lexeme").isNull(), LISTED).otherwise(F.pmod(F.xxhash64("lexeme"), F.lit(PARTS)).cast("int"))
+        spread = F.pmod(F.xxhash64("range"), F.lit(max(1, 2 * tasks // PARTS)))
+        return rows.withColumn("part", part).withColumn("spread", spread).repartition("part", "spread")
+
     def write(self, found: DataFrame | None, keys: DataFrame | None, segment: int, whole: bool) -> None:
-        """One more segment: of the entries in `found`, and without the documents with the keys in `keys`."""
+        """One more segment: of the rows in `found`, as they are dealt, and without the documents with the keys in `keys`."""
         if keys is not None:
             old = self.documents().join(keys.select("key").distinct(), "key").select("range", "key")
             old.repartition("range").write.parquet(f"{self.path}/gone/segment={segment}")
         if found is not None:
-            tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            part = F.when(F.col("lexeme").isNull(), LISTED).otherwise(F.pmod(F.xxhash64("lexeme"), F.lit(PARTS)).cast("int"))
-            spread = F.pmod(F.xxhash64("range"), F.lit(max(1, 2 * tasks // PARTS)))
-            dealt = found.withColumn("part", part).repartition("part", spread)
-            dealt.sortWithinPartitions("part", "lexeme", "range").write.partitionBy("part").parquet(f"{self.path}/postings/segment={segment}")
+            found.drop("spread").sortWithinPartitions("part", "lexeme", "range").write.option("compression", "zstd").partitionBy("part").parquet(f"{self.path}/postings/segment={segment}")
         line = json.dumps({"segment": segment, "whole": whole})
         self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/commits")
         self.seen = None
@@ -197,7 +200,7 @@ class TextIndex:
         """Inserts documents, or replaces those with their keys. The rows come in the same order whenever a task reads them, as those of files do."""
         segment = self.next_segment()
         keys = rows.select(F.col(self.key).alias("key")) if self.segments() else None
-        self.write(analysed(rows, self.key, text, self.stemmed, segment), keys, segment, keys is None)
+        self.write(self.dealt(analysed(rows, self.key, text, self.stemmed, segment)), keys, segment, keys is None)
 
     def remove(self, keys: DataFrame) -> None:
         """Takes out the documents with these keys."""
@@ -209,7 +212,9 @@ class TextIndex:
         live = self.documents().count()
         number = F.lit(segment << RANGE_BITS) + F.pmod(F.xxhash64("range"), F.lit(max(1, -(-live // DOCS))))
         left = self.living(self.rows).withColumn("best", F.array_max(F.transform("docs", lambda d: F.size(d["positions"]))))
-        joined = left.groupBy("lexeme", number.alias("range")).agg(F.sum(F.size("docs")).cast("int").alias("n"), F.max("best").alias("best"), F.flatten(F.collect_list("docs")).alias("docs"))
+        # what deals the rows out also brings a lexeme's together
+        dealt = self.dealt(left.withColumn("range", number))
+        joined = dealt.groupBy("part", "spread", "lexeme", "range").agg(F.sum(F.size("docs")).cast("int").alias("n"), F.max("best").alias("best"), F.flatten(F.collect_list("docs")).alias("docs"))
         self.write(joined, None, segment, True)
 
     def vacuum(self) -> None:

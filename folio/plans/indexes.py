@@ -57,6 +57,7 @@ def text_index_upkeep(spark, sf_dir):
     """What a changed and merged index holds of each document."""
     index = kept_up_index(spark, sf_dir)
     index.merge()
+    index.vacuum()
     places = F.aggregate("positions", F.lit(0).cast("long"), lambda s, x: s + x)
     held = index.entries().groupBy("key").agg(F.count(F.lit(1)).alias("lexemes"), F.sum(F.size("positions")).alias("places"), F.sum(places).alias("place_sum"))
     none = F.lit(0).cast("long")
