@@ -200,7 +200,8 @@ def manifest(docs: DataFrame, key: str = "doc_id", group: str = "lang", fields:
     other = F.when(tampered, F.unhex(leaf(own | (changes or {})))) if tampered is not None else F.lit(None).cast("binary")
     # a null group sorts before an empty one
     g = F.coalesce(F.concat(F.lit("="), F.col(f"`{group}`").cast("string")), F.lit("")).alias("g")
-    leaves = rows.select(g, F.col(f"`{key}`").alias("key"), F.unhex(leaf(own)).alias("digest"), other.alias("other"))
+    # stored, as a range sort reads its input twice
+    leaves = staged(rows.select(g, F.col(f"`{key}`").alias("key"), F.unhex(leaf(own)).alias("digest"), other.alias("other")), "leaves")
     blocks = in_blocks(placed(leaves, "key", "digest"), FAN**depth)
     above, root = paths(reduced(blocks, depth), depth, top)
     kind = docs.schema[key].dataType
