@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions import safety
 from folio.functions.text import chunk_quality, clean_page, subject_heading
 from folio.operators import chunker, pages
+from folio.plans import chunk_sql
 from folio.plans.registry import registry
 from folio.sources.schemas import documents, table
 
@@ -106,7 +107,7 @@ def section_hint_domain(spark, sf_dir):
     return d.union(spark.createDataFrame(HEADINGS, "id string, text string")).select("id", subject_heading(F.col("text")).alias("heading"))
 
 
-@query()
+@query(f"select doc_id, {chunk_sql.heading('text')} as heading from (select doc_id, coalesce(text, '') as text from documents)")
 def section_hint_generic(spark, sf_dir):
     """Headings by number, label or capitals, in an Arrow UDF."""
     def find(s: pd.Series) -> pd.Series:
@@ -137,9 +138,12 @@ def repeating_lines(spark, sf_dir):
 FURNITURE = " or ".join(f"regexp_matches(x, '{quoted(p)}')" for p in ["(?i)^\\s*\\d+\\s+Reserve Bank of Australia\\s*$", "(?i)^\\s*Page\\s+\\d+(\\s+of\\s+\\d+)?\\s*$", "(?i)^\\s*S\\s*T\\s*A\\s*T\\s*E\\s*M\\s*E\\s*N\\s*T.*P\\s*O\\s*L\\s*I\\s*C\\s*Y\\s*$", "(?i)^\\s*Financial\\s+Stability\\s+Review\\s*$", "^\\s*[A-Z][a-z]+\\s+20\\d{2}\\s*$", "(?i)^\\s*ANNUAL\\s+REPORT\\s+\\d{4}\\s*$", "(?i)^\\s*www\\.rba\\.gov\\.au\\s*$", "(?i)^\\s*©\\s*Reserve Bank.*20\\d{2}\\s*$", "(?i)^\\s*\\d{4}\\s+Reserve\\s+Bank\\s*$", "^\\s*-?\\s*\\d+\\s*-?\\s*$"])
 
 
-@query(f"""with {LINES}, {REPEATED}, r as (select document_id, list(distinct line) as drop from repeated group by 1),
-k as (select document_id, page_number, list_filter(list_transform(string_split_regex(raw_text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85]'), lambda x: trim(x)), lambda x: not ({FURNITURE}) and (x = '' or not list_contains(coalesce(drop, []), x))) as l from p left join r using (document_id))
-select document_id, page_number, array_to_string(list_filter(list_transform(string_split_regex(array_to_string(list_transform(l, lambda x: case when x = '' then chr(1) else x end), chr(2)), '(?:\\x02?\\x01\\x02?)+'), lambda y: replace(y, chr(2), ' ')), lambda y: y <> ''), chr(10) || chr(10)) as clean_text from k""")
+CLEANED = f"""{LINES}, {REPEATED}, r as (select document_id, list(distinct line) as drop from repeated group by 1),
+k as (select document_id, page_number, list_filter(list_transform(string_split_regex(raw_text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85]'), lambda x: trim(x)), lambda x: not ({FURNITURE}) and (x = '' or not list_contains(coalesce(drop, []), x))) as l from p left join r using (document_id)),
+clean as (select document_id, page_number, array_to_string(list_filter(list_transform(string_split_regex(array_to_string(list_transform(l, lambda x: case when x = '' then chr(1) else x end), chr(2)), '(?:\\x02?\\x01\\x02?)+'), lambda y: replace(y, chr(2), ' ')), lambda y: y <> ''), chr(10) || chr(10)) as clean_text from k)"""
+
+
+@query(f"with {CLEANED} select * from clean")
 def clean_pages(spark, sf_dir):
     """Pages without furniture and repeated lines."""
     return pages.clean_pages(paged(spark, sf_dir)).select("document_id", "page_number", "clean_text")
@@ -157,7 +161,7 @@ def chunked(spark, sf_dir):
     return chunker.chunk_documents(docs)
 
 
-@query()
+@query(f"with recursive {CLEANED}, {chunk_sql.chunks('clean')} select * from chunk")
 def chunk_documents(spark, sf_dir):
     """All documents cleaned, paged and cut into chunks."""
     return chunked(spark, sf_dir)
