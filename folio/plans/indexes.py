@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import tables
-from folio.indexes import layout, texts
+from folio.indexes import layout, statistics, texts
 from folio.operators import leases
 from folio.operators.lexical import STOP_WORDS
 from folio.plans.registry import registry
@@ -159,3 +159,20 @@ def ragged_rows(spark, sf_dir):
         F.size(F.map_keys(tables.variant_map("row"))).cast("long").alias("n_keys"),
         F.try_variant_get("row", "$.codes", "string").isNotNull().alias("has_codes"),
     )
+
+
+COUNTED = {"documents": ["doc_id", "n_chars"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_linenumber"], "embeddings": ["vec_id", "label"]}
+
+
+@query(" union all ".join(f"select '{t}' as table_name, '{c}' as column_name, min({c})::varchar as least, max({c})::varchar as greatest, count(*) filter ({c} is null)::varchar as nulls, (select count(*) from {t}) as n_rows from {t}" for t, columns in COUNTED.items() for c in columns))
+def table_statistics(spark, sf_dir):
+    """What the catalog knows of four stored tables after they were analyzed."""
+    found = None
+    for name, columns in COUNTED.items():
+        stored = f"{name}_{uuid.uuid4().hex}"
+        statistics.stored_table(table(spark, sf_dir, name).select(*columns), stored, new_path(spark, "analyzed"))
+        statistics.analyze(spark, stored)
+        known = statistics.column_statistics(spark, stored, columns).drop("distinct_values")
+        known = known.withColumn("table_name", F.lit(name)).withColumn("n_rows", F.lit(statistics.row_count(spark, stored)).cast("long"))
+        found = known if found is None else found.unionByName(known)
+    return found

@@ -124,6 +124,22 @@ def registered_titles(spark, sf_dir):
     return crawl.file_candidates(p, "/", kind="/").join(named, "page_id").select("page_id", "file_url", crawl.registered_title(F.col("title"), F.col("link_text")).alias("title"))
 
 
+@query("""with p as (select page_id, url, html, coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), url) as title, case page_id % 3 when 0 then 'PDF' when 1 then 'Part ' || page_id end as link_text, sha256(html) as content_hash from pages),
+known as (select url as source_url, title, 'SMP' as doc_type, 'raw/old' as s3_key, content_hash, 'EMBEDDED' as status from p where page_id % 5 = 0),
+key as (select *, regexp_replace(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '/+$', '') as path from p where content_hash not in (select content_hash from known)),
+new as (select url as source_url, title || case when coalesce(lower(link_text) in ('download pdf', 'pdf'), true) then '' else ' – ' || link_text end as title, 'FSR' as doc_type, 'raw/fsr/undated/' || coalesce(nullif(string_split(path, '/')[-1], ''), 'document.pdf') as s3_key, content_hash, 'NEW' as status
+from key qualify row_number() over (partition by content_hash order by url) = 1)
+select *, case when length(title) > 60 then title[1:60] || '...' else title end as shown from (select * from known union all select * from new)""")
+def registered_documents(spark, sf_dir):
+    """The documents after all pages are registered, one in five of which is known by its content; with titles for display."""
+    p = table(spark, sf_dir, "pages").withColumn("content_hash", F.sha2("html", 256)).withColumn("source_url", F.col("url"))
+    titles = crawl.issue_metadata(table(spark, sf_dir, "pages")).select("page_id", "title")
+    link = F.when(F.col("page_id") % 3 == 0, "PDF").when(F.col("page_id") % 3 == 1, F.concat(F.lit("Part "), "page_id"))
+    found = p.join(titles, "page_id").select("page_id", "source_url", "title", link.alias("link_text"), F.lit("FSR").alias("doc_type"), F.lit(None).cast("date").alias("publication_date"), "content_hash")
+    known = found.where("page_id % 5 = 0").select("source_url", "title", F.lit("SMP").alias("doc_type"), F.lit("raw/old").alias("s3_key"), "content_hash", F.lit("EMBEDDED").alias("status"))
+    return crawl.registered(found.drop("page_id"), known).withColumn("shown", crawl.shown_title(F.col("title")))
+
+
 @query(f"""with m as (select message_id, session_id, role, content, created_at from (select row_number() over (order by conv_id, turn) - 1 as message_id, conv_id as session_id, role, text as content, turn as created_at from conversations)),
 t as (select session_id, max(created_at) + 1 as moment from m group by 1 union all select -1, 0),
 n as (select session_id, moment, 'user' as role, 'again ' || session_id as content, 0 as n from t union all select session_id, moment, 'assistant', 'answer', 1 from t where session_id % 4 <> 0)

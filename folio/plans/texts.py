@@ -47,9 +47,13 @@ OVERRIDE = "regexp_matches(text, '(?i)" + "|".join(f"(?:{quoted(p)})" for p in s
 TOXIC = "regexp_matches(lower(text), '\\b(?:" + "|".join(safety.PHRASES) + ")\\b')"
 
 
+def rules(question: bool) -> list[str]:
+    """What each rule finds in `text`, null if nothing."""
+    return [f"case when len({KINDS}) > 0 then 'pii:' || array_to_string({KINDS}, ',') end", f"case when {OVERRIDE} then 'prompt_injection' end" if question else "null::varchar", f"case when {TOXIC} then 'toxic_content' end"]
+
+
 def verdict_sql(question: bool) -> str:
-    rules = [f"case when len({KINDS}) > 0 then 'pii:' || array_to_string({KINDS}, ',') end", f"case when {OVERRIDE} then 'prompt_injection' end" if question else "null::varchar", f"case when {TOXIC} then 'toxic_content' end"]
-    return f"""with v as (select id, list_filter([{', '.join(rules)}], lambda x: x is not null) as found from {SCREENED})
+    return f"""with v as (select id, list_filter([{', '.join(rules(question))}], lambda x: x is not null) as found from {SCREENED})
 select id, len(found) = 0 as is_safe, array_to_string(found, '; ') as violations, case when len(found) > 0 then 1.0 else 0.95 end::double as confidence from v"""
 
 

@@ -84,6 +84,22 @@ def registered_title(title: Column, link_text: Column) -> Column:
     return F.when(plain, title).otherwise(F.concat(title, F.lit(" – "), link_text))
 
 
+def shown_title(title: Column, most: int = 60) -> Column:
+    """A title for display: longer ones are cut and end in three dots."""
+    return F.when(F.length(title) > most, F.concat(F.substring(title, 1, most), F.lit("..."))).otherwise(title)
+
+
+def registered(found: DataFrame, known: DataFrame) -> DataFrame:
+    """The documents (source_url, title, doc_type, s3_key, content_hash, status) after what was fetched is registered.
+
+    found: source_url, title, link_text, doc_type, publication_date, content_hash. Content that is known, or comes again, adds no row; of
+    equal contents the least address is kept.
+    """
+    named = found.select("source_url", registered_title(F.col("title"), F.col("link_text")).alias("title"), "doc_type", object_key(F.col("doc_type"), F.col("publication_date"), F.col("source_url")).alias("s3_key"), "content_hash")
+    new = new_content(named, known, order="source_url").withColumn("status", F.lit("NEW"))
+    return known.unionByName(new.select(*known.columns))
+
+
 def wanted_years(text: str, this_year: int) -> set[str]:
     """Years of a list such as "2019, 2021-2022, 2024+"; open ends reach this year, reversed ranges are turned."""
     found: set[str] = set()
