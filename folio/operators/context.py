@@ -114,7 +114,11 @@ def captions(tables: DataFrame, blocks: DataFrame, reach: float = 100.0) -> Data
     """(document_id, page_number, table_id, caption): the nearest block above a table, within reach, that reads like one."""
     from folio.functions.tables import caption_line
 
-    near = tables.select("document_id", "page_number", "table_id", "top").join(blocks.select("document_id", "page_number", "bottom", "text"), ["document_id", "page_number"])
+    # heights in steps of the reach: what is near a table lies in its own step or in the one above
+    step = lambda y: F.floor(F.col(y) / F.lit(reach))
+    asked = tables.select("document_id", "page_number", "table_id", "top", F.explode(F.array(step("top"), step("top") - 1)).alias("step"))
+    held = blocks.select("document_id", "page_number", "bottom", "text", step("bottom").alias("step"))
+    near = asked.join(held, ["document_id", "page_number", "step"])
     above = near.where((F.col("bottom") < F.col("top")) & (F.col("top") - F.col("bottom") < reach)).withColumn("caption", caption_line(F.col("text"))).where("caption is not null")
     best = above.groupBy("document_id", "page_number", "table_id").agg(F.max_by("caption", F.struct("bottom", F.col("text"))).alias("caption"))
     return tables.select("document_id", "page_number", "table_id").join(best, ["document_id", "page_number", "table_id"], "left")
