@@ -42,15 +42,43 @@ RANGE_BITS, TASK_BITS = 44, 20
 #: The folder of the rows that list a range's documents.
 LISTED = -1
 
-ENTRIES = "lexeme string, range long, n int, best int, docs array<struct<key: {}, positions: array<int>>>"
+ENTRIES = "lexeme string, range long, n int, best int, held binary, keys array<{}>"
 
 
 def plain(word: str) -> str:
     return word
 
 
+def packed(codes: np.ndarray, ords: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Occurrences (lexeme's code, document's number, position), sorted, as rows: codes, `held`, documents, and the most that one has.
+
+    held: 32-bit numbers of the documents, how often each has the lexeme, and all positions.
+    """
+    entry = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (ords[1:] != ords[:-1]))[: len(codes)])
+    row = np.flatnonzero(np.append(True, codes[entry][1:] != codes[entry][:-1])[: len(entry)])
+    many = np.diff(np.append(entry, len(codes))).astype("<i4")
+    ends = np.append(row, len(entry))
+    cuts = np.append(entry, len(codes))[ends]
+    ords, places = ords[entry].astype("<i4"), places.astype("<i4")
+    held = [ords[a:b].tobytes() + many[a:b].tobytes() + places[c:d].tobytes() for a, b, c, d in zip(ends[:-1].tolist(), ends[1:].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    return codes[entry][row], held, np.diff(ends).astype(np.int32), (np.maximum.reduceat(many, row) if len(row) else many).astype(np.int32)
+
+
+def unpacked(held: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of the documents, how often each has the lexeme, and all positions."""
+    x = np.frombuffer(held, "<i4")
+    return x[:n], x[n : 2 * n], x[2 * n :]
+
+
+def range_rows(keys: pa.Array, words: np.ndarray, number: int, lexemes: list[str], held: list[bytes], n: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+    """The rows of a range: that of its documents, with their keys and numbers of words, and one for each lexeme."""
+    lists = pa.ListArray.from_arrays(pa.array([0, len(keys)] + [len(keys)] * len(held), pa.int32()), keys, mask=pa.array([False] + [True] * len(held)))
+    arrays = [pa.array([None, *lexemes], pa.string()), pa.array(np.full(len(held) + 1, number, np.int64)), pa.array(np.append(np.int32(len(keys)), n)), pa.array(np.append(np.int32(0), best)), pa.array([words.astype("<i4").tobytes(), *held], pa.binary()), lists]
+    return pa.RecordBatch.from_arrays(arrays, names=["lexeme", "range", "n", "best", "held", "keys"])
+
+
 def gathered(keys: pa.Array, texts: list[str | None], number: int, stem: Callable[[str], str]) -> pa.RecordBatch:
-    """The rows of a range: lexeme, range, n, best and docs (key, positions); that without a lexeme lists the documents with their numbers of words."""
+    """The rows of a range of documents."""
     known: dict[str, int] = defaultdict(count().__next__)
     lists = [WORD.findall((t or "").lower()) for t in texts]
     sizes = np.array([len(x) for x in lists], np.int64)
@@ -58,27 +86,49 @@ def gathered(keys: pa.Array, texts: list[str | None], number: int, stem: Callabl
     lexemes: dict[str, int] = defaultdict(count().__next__)
     lexeme_of = np.array([-1 if w in STOP_WORDS else lexemes[stem(w)] for w in known], np.int64)
     code = lexeme_of[words] if len(words) else words
-    doc = np.repeat(np.arange(len(lists)), sizes)
     place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
     order = np.argsort(code, kind="stable")
     order = order[np.searchsorted(code[order], 0) :]
-    code, doc, place = code[order], doc[order], place[order]
-    entry = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1]))[: len(code)])
-    row = np.flatnonzero(np.append(True, code[entry][1:] != code[entry][:-1])[: len(entry)])
-    many = np.diff(np.append(entry, len(code)))
-    ends = np.append(row, len(entry))
-    # the row of all documents comes first
-    n, offsets = len(lists), np.append(0, ends + len(lists)).astype(np.int32)
-    places = pa.ListArray.from_arrays(np.concatenate((np.arange(n), entry + n, [len(code) + n])).astype(np.int32), pa.array(np.concatenate((sizes, place)).astype(np.int32)))
-    names = keys.take(pa.array(np.concatenate((np.arange(n), doc[entry]))))
-    docs = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([names, places], names=["key", "positions"]))
-    counts = [np.append(n, np.diff(ends)), np.append(0, np.maximum.reduceat(many, row) if len(row) else [])]
-    arrays = [pa.array([None, *lexemes], pa.string()), pa.array(np.full(len(docs), number, np.int64)), *[pa.array(c.astype(np.int32)) for c in counts], docs]
-    return pa.RecordBatch.from_arrays(arrays, names=["lexeme", "range", "n", "best", "docs"])
+    codes, held, n, best = packed(code[order], np.repeat(np.arange(len(lists)), sizes)[order], place[order])
+    names = list(lexemes)
+    return range_rows(keys, sizes, number, [names[k] for k in codes.tolist()], held, n, best)
+
+
+def alive(rows: pa.Table, gone: pa.Table) -> tuple[pa.Array, np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """What a few ranges hold of living documents, numbered anew: keys, words, lexemes; and occurrences (lexeme's code, document, position), sorted.
+
+    rows: of all those ranges; gone: (range, ord) of their dead documents.
+    """
+    ranges, ns = rows["range"].to_pylist(), rows["n"].to_pylist()
+    lexemes, helds = rows["lexeme"].to_pylist(), rows["held"].to_pylist()
+    dead: dict[int, list[int]] = defaultdict(list)
+    for r, o in zip(gone["range"].to_pylist(), gone["ord"].to_pylist(), strict=True):
+        dead[r].append(o)
+    number: dict[int, np.ndarray] = {}  # the new number of each document of a range, -1 for dead ones
+    keys, words, total = [], [], 0
+    for k in sorted((k for k, x in enumerate(lexemes) if x is None), key=lambda k: ranges[k]):
+        living = np.ones(ns[k], bool)
+        living[np.array(dead[ranges[k]], np.int64)] = False
+        number[ranges[k]] = np.where(living, total + np.cumsum(living) - 1, -1)
+        total += int(living.sum())
+        keys.append(rows["keys"][k].values.filter(pa.array(living)))
+        words.append(np.frombuffer(helds[k], "<i4")[living])
+    names: dict[str, int] = defaultdict(count().__next__)
+    parts = []
+    for r, n, lexeme, held in zip(ranges, ns, lexemes, helds, strict=True):
+        if lexeme is not None:
+            ords, many, places = unpacked(held, n)
+            parts.append((np.full(len(places), names[lexeme], np.int64), np.repeat(number[r][ords], many), places))
+    none = np.zeros(0, np.int64)
+    code, ords, places = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none, none, none)
+    kept_ = ords >= 0
+    code, ords, places = code[kept_], ords[kept_], places[kept_]
+    order = np.lexsort((places, ords, code))
+    return pa.concat_arrays(keys), np.concatenate(words), list(names), code[order], ords[order], places[order]
 
 
 def analysed(rows: DataFrame, key: str, text: str, stemmed: bool, segment: int) -> DataFrame:
-    """The rows of `gathered` for all ranges. A range is what a task reads next: DOCS rows, or fewer of long texts."""
+    """The rows of all ranges. A range is what a task reads next: DOCS rows, or fewer of long texts."""
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,24 +200,38 @@ class TextIndex:
 
     @property
     def gone(self) -> DataFrame:
-        """(range, dead): the documents of each range that a later segment has replaced or removed."""
-        each = self.stored("gone", f"range long, key {self.kind}, segment int")
-        return each.groupBy("range").agg(F.collect_set("key").alias("dead"))
-
-    def living(self, rows: DataFrame) -> DataFrame:
-        """Rows of the index with the documents that count; those that are left without any go."""
-        left = F.filter("docs", lambda d: ~F.array_contains("dead", d["key"]))
-        docs = F.when(F.col("dead").isNull(), F.col("docs")).otherwise(left)
-        return rows.join(self.gone, "range", "left").withColumn("docs", docs).drop("dead").where(F.size("docs") > 0)
+        """(range, ord): the documents of each range that a later segment has replaced or removed."""
+        return self.stored("gone", "range long, ord int, segment int").select("range", "ord").distinct()
 
     def documents(self) -> DataFrame:
-        """(key, range, words) of the documents that count."""
-        each = self.living(self.rows.where(F.col("part") == LISTED)).select("range", F.explode("docs").alias("d"))
-        return each.select("d.key", "range", F.col("d.positions")[0].alias("words"))
+        """(key, range, ord) of the documents that count."""
+        listed = self.rows.where(F.col("part") == LISTED).select("range", F.posexplode("keys").alias("ord", "key"))
+        return listed.join(self.gone, ["range", "ord"], "left_anti").select("key", "range", "ord")
+
+    def by_ranges(self, number: Column, run: Callable, schema: str) -> DataFrame:
+        """What `run` makes of the rows and the dead documents of each group of ranges that `number` names."""
+        rows = self.rows.drop("part", "segment").groupBy(number.alias("group"))
+        return rows.cogroup(self.gone.groupBy(number.alias("group"))).applyInArrow(run, schema)
+
+    def held_words(self) -> DataFrame:
+        """(key, words, lexeme, positions) of the documents that count; one without lexemes has a row with null for the last two."""
+        kind = f"key {self.kind}, words int, lexeme string, positions array<int>"
+
+        def run(group: tuple, rows: pa.Table, gone: pa.Table) -> pa.Table:
+            keys, words, lexemes, code, ords, places = alive(rows, gone) if rows.num_rows else (pa.nulls(0), np.zeros(0, np.int32), [], *[np.zeros(0, np.int64)] * 3)
+            entry = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (ords[1:] != ords[:-1]))[: len(code)])
+            bare = np.setdiff1d(np.arange(len(keys)), ords)
+            doc = np.concatenate((ords[entry], bare)).astype(np.int64)
+            offsets = np.append(np.append(entry, len(code)), [len(code)] * len(bare)).astype(np.int32)
+            said = pa.ListArray.from_arrays(pa.array(offsets), pa.array(places.astype(np.int32)), mask=pa.array(np.arange(len(doc)) >= len(entry)))
+            named = pa.array([lexemes[k] for k in code[entry].tolist()] + [None] * len(bare), pa.string())
+            return pa.table({"key": keys.take(pa.array(doc)), "words": pa.array(words[doc].astype(np.int32)), "lexeme": named, "positions": said})
+
+        return self.by_ranges(F.col("range"), run, kind)
 
     def entries(self) -> DataFrame:
         """(key, lexeme, positions) of the documents that count."""
-        return self.living(self.postings).select("lexeme", F.explode("docs").alias("d")).select("d.key", "lexeme", "d.positions")
+        return self.held_words().where("lexeme is not null").drop("words")
 
     # changes
 
@@ -188,7 +252,7 @@ class TextIndex:
     def write(self, found: DataFrame | None, keys: DataFrame | None, segment: int, whole: bool) -> None:
         """One more segment: of the rows in `found`, as they are dealt, and without the documents with the keys in `keys`."""
         if keys is not None:
-            old = self.documents().join(keys.select("key").distinct(), "key").select("range", "key")
+            old = self.documents().join(keys.select("key").distinct(), "key").select("range", "ord")
             old.repartition("range").write.parquet(f"{self.path}/gone/segment={segment}")
         if found is not None:
             found.drop("spread").sortWithinPartitions("part", "lexeme", "range").write.option("compression", "zstd").partitionBy("part").parquet(f"{self.path}/postings/segment={segment}")
@@ -209,13 +273,18 @@ class TextIndex:
     def merge(self) -> None:
         """One whole segment in place of all, of ranges that are full again; what it replaces is no longer read."""
         segment = self.next_segment()
-        live = self.documents().count()
-        number = F.lit(segment << RANGE_BITS) + F.pmod(F.xxhash64("range"), F.lit(max(1, -(-live // DOCS))))
-        left = self.living(self.rows).withColumn("best", F.array_max(F.transform("docs", lambda d: F.size(d["positions"]))))
-        # what deals the rows out also brings a lexeme's together
-        dealt = self.dealt(left.withColumn("range", number))
-        joined = dealt.groupBy("part", "spread", "lexeme", "range").agg(F.sum(F.size("docs")).cast("int").alias("n"), F.max("best").alias("best"), F.flatten(F.collect_list("docs")).alias("docs"))
-        self.write(joined, None, segment, True)
+        full = max(1, -(-self.documents().count() // DOCS))
+        base = segment << RANGE_BITS
+
+        def run(group: tuple, rows: pa.Table, gone: pa.Table) -> pa.Table:
+            if not rows.num_rows:
+                return pa.table([])
+            keys, words, lexemes, code, ords, places = alive(rows, gone)
+            codes, held, n, best = packed(code, ords, places)
+            return pa.Table.from_batches([range_rows(keys, words, base + group[0].as_py(), [lexemes[k] for k in codes.tolist()], held, n, best)])
+
+        joined = self.by_ranges(F.pmod(F.xxhash64("range"), F.lit(full)), run, ENTRIES.format(self.kind))
+        self.write(self.dealt(joined), None, segment, True)
 
     def vacuum(self) -> None:
         """Deletes the segments that a whole one has replaced; no search of before may still run."""
@@ -268,18 +337,22 @@ class TextIndex:
     def scored(self, asked: DataFrame, ranges: DataFrame, limit: int) -> DataFrame:
         """(query_id, key, score): the best `limit` of each question in each of its ranges (query_id, range)."""
         terms = asked.groupBy("query_id").agg(F.first("plan").alias("plan"))
-        hits = self.of_lexemes(asked).select("lexeme", "range", "docs").join(asked.select("query_id", "lexeme"), "lexeme").join(ranges.select("query_id", "range"), ["query_id", "range"])
-        held = hits.groupBy("query_id", "range").agg(F.collect_list(F.struct("lexeme", "docs")).alias("terms")).join(terms, "query_id")
-        held = held.join(self.gone, "range", "left").select("query_id", "plan", "terms", "dead")
+        hits = self.of_lexemes(asked).select("lexeme", "range", "n", "held").join(asked.select("query_id", "lexeme"), "lexeme").join(ranges.select("query_id", "range"), ["query_id", "range"])
+        found = hits.groupBy("query_id", "range").agg(F.collect_list(F.struct("lexeme", "n", "held")).alias("terms")).join(terms, "query_id")
+        wanted = ranges.select("range").distinct()
+        dead = self.gone.join(wanted, "range").groupBy("range").agg(F.collect_list("ord").alias("dead"))
+        listed = self.rows.where(F.col("part") == LISTED).select("range", "keys").join(wanted, "range")
+        held = found.join(listed, "range").join(dead, "range", "left").select("query_id", "plan", "terms", "dead", "keys")
         kind = asked.schema["query_id"].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    found = scored_range(json.loads(batch.column(1)[i].as_py()), batch.column(2)[i].values, set(batch.column(3)[i].as_py() or ()))
-                    found = sorted(found, key=lambda x: (-round(x[1], 9), x[0]))[:limit]
-                    key_kind = batch.column(2).type.value_type.field("docs").type.value_type.field("key").type
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(found), pa.int64())), pa.array([k for k, _ in found], key_kind), pa.array([s for _, s in found], pa.float64())], names=["query_id", "key", "score"])
+                    keys = batch.column(4)[i].values
+                    best = scored_range(json.loads(batch.column(1)[i].as_py()), batch.column(2)[i].as_py(), set(batch.column(3)[i].as_py() or ()))
+                    names = keys.take(pa.array([k for k, _ in best], pa.int64()))
+                    order = sorted(range(len(best)), key=lambda k: (-round(best[k][1], 9), names[k].as_py()))[:limit]  # noqa: B023
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(order), pa.int64())), names.take(pa.array(order, pa.int64())), pa.array([best[k][1] for k in order], pa.float64())], names=["query_id", "key", "score"])
 
         return held.mapInArrow(run, f"query_id {kind}, key {self.kind}, score double")
 
@@ -313,26 +386,24 @@ def score(asked: dict, at: dict[str, list[int]]) -> float:
     return covers(places, len(asked["all_of"]))
 
 
-def scored_range(asked: dict, terms: pa.StructArray, dead: set) -> Iterator[tuple]:
-    """(key, score) of the documents of a range that match; terms: lexeme and docs (key, positions)."""
-    docs = {t: terms.field("docs")[k].values for k, t in enumerate(terms.field("lexeme").to_pylist())}
-    keys = {t: d.field("key").to_pylist() for t, d in docs.items()}
+def scored_range(asked: dict, terms: list[dict], dead: set[int]) -> list[tuple[int, float]]:
+    """(document's number, score) of the documents of a range that match; terms: lexeme, n and held."""
+    packs = {t["lexeme"]: unpacked(t["held"], t["n"]) for t in terms}
+    who = {t: set(x[0].tolist()) for t, x in packs.items()}
     left: set | None = None
-    for a in sorted(asked["all_of"], key=lambda a: sum(len(keys.get(t, ())) for t in a)):
-        some = set().union(*(keys.get(t, ()) for t in a))
+    for a in sorted(asked["all_of"], key=lambda a: sum(len(who.get(t, ())) for t in a)):
+        some = set().union(*(who.get(t, ()) for t in a))
         left = some if left is None else left & some
         if not left:
-            return
-    left = (left or set()) - dead
-    at: dict = {k: {} for k in left}
-    for t, names in keys.items():
-        rows = [k for k, name in enumerate(names) if name in left]
-        for name, places in zip((names[k] for k in rows), docs[t].field("positions").take(pa.array(rows, pa.int64())).to_pylist(), strict=True):
-            at[name][t] = places
-    for k, places in at.items():
-        value = score(asked, places)
-        if value > 0:
-            yield k, value
+            return []
+    at: dict = {k: {} for k in (left or set()) - dead}
+    for t, (ords, many, places) in packs.items():
+        ends = np.cumsum(many)
+        for k, o in enumerate(ords.tolist()):
+            if o in at:
+                at[o][t] = places[ends[k] - many[k] : ends[k]].tolist()
+    found = [(o, score(asked, spots)) for o, spots in at.items()]
+    return [(o, s) for o, s in found if s > 0]
 
 
 def created(rows: DataFrame, path: str, key: str = "chunk_id", text: str = "text", stemmed: bool = True) -> TextIndex:

@@ -59,9 +59,9 @@ def text_index_upkeep(spark, sf_dir):
     index.merge()
     index.vacuum()
     places = F.aggregate("positions", F.lit(0).cast("long"), lambda s, x: s + x)
-    held = index.entries().groupBy("key").agg(F.count(F.lit(1)).alias("lexemes"), F.sum(F.size("positions")).alias("places"), F.sum(places).alias("place_sum"))
     none = F.lit(0).cast("long")
-    return index.documents().join(held, "key", "left").select(F.col("key").alias("chunk_id"), "words", *[F.coalesce(c, none).alias(c) for c in ("lexemes", "places", "place_sum")])
+    per = index.held_words().groupBy("key").agg(F.first("words").alias("words"), F.count("lexeme").alias("lexemes"), *[F.coalesce(F.sum(x), none).alias(n) for n, x in (("places", F.when(F.col("lexeme").isNotNull(), F.size("positions"))), ("place_sum", places))])
+    return per.withColumnRenamed("key", "chunk_id")
 
 
 #: Leases of six hours; workers are what an id leaves when divided by three.
