@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,9 +30,9 @@ def embedded(rows: DataFrame, embedder: Embedder, text: str, vector: str) -> Dat
 
 
 def answers(questions: DataFrame, chunks: DataFrame, embedder: Embedder, generator: Generator, how: hybrid.Retrieval = hybrid.Retrieval(), scorer: Scorer | None = None, counter: TokenCounter | None = None, budget: int = 6000, screened: bool = True) -> DataFrame:
-    """(query_id, answer, blocked, violations, evidence, analysis, error) for questions (query_id, query_text, as_of_year).
+    """(query_id, answer, blocked, violations, evidence, analysis, error, latency_ms) for questions (query_id, query_text, as_of_year).
 
-    Questions that the rules forbid are answered with a fixed text and retrieve nothing. A generator that fails gives its error.
+    Questions that the rules forbid are answered with a fixed text and retrieve nothing. A generator that fails gives its error; latency is the whole milliseconds that it took.
     When the first action over the answers has ended, their events are sent with what it has counted.
     """
     judged = questions.withColumn("verdict", safety.verdict(F.col("query_text")))
@@ -44,16 +45,19 @@ def answers(questions: DataFrame, chunks: DataFrame, embedder: Embedder, generat
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out: list[tuple[str | None, str | None]] = []
+            out: list[tuple[str | None, str | None, int]] = []
             for p in pdf["prompt"]:
+                said = error = None
+                began = time.perf_counter()
                 try:
-                    out.append((generator.complete(context.SYSTEM_PROMPT, p), None))
+                    said = generator.complete(context.SYSTEM_PROMPT, p)
                 except Exception as e:  # noqa: BLE001
-                    out.append((None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame({"query_id": pdf["query_id"], "answer": [a for a, _ in out], "error": [e for _, e in out]})
+                    error = f"{type(e).__name__}: {e}"
+                out.append((said, error, int((time.perf_counter() - began) * 1000)))
+            yield pd.DataFrame({"query_id": pdf["query_id"], "answer": [a for a, _, _ in out], "error": [e for _, e, _ in out], "latency_ms": [t for _, _, t in out]})
 
     kind = questions.schema["query_id"].dataType.simpleString()
-    said = asked_full.mapInPandas(run, f"query_id {kind}, answer string, error string")
+    said = asked_full.mapInPandas(run, f"query_id {kind}, answer string, error string, latency_ms int")
     verdict = safety.verdict(F.coalesce("answer", F.lit("")), False)
     said = said.withColumn("v", verdict).select(
         "query_id",
@@ -61,6 +65,7 @@ def answers(questions: DataFrame, chunks: DataFrame, embedder: Embedder, generat
         (~F.col("v.is_safe") & F.lit(screened)).alias("blocked"),
         F.col("v.violations").alias("violations"),
         "error",
+        "latency_ms",
     )
     full = said.join(context.evidence(kept), "query_id", "left").join(context.analyses(safe, kept), "query_id", "left")
     if screened:

@@ -87,6 +87,25 @@ class WordCounter:
         return len(text.split())
 
 
+class BpeCounter:
+    """Tokens of a byte-pair vocabulary (a file of the tokenizers library), opened by each worker that counts; special tokens are plain text."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.tokenizer = None
+
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "tokenizer": None}
+
+    def count(self, text: str) -> int:
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.encode_special_tokens = True
+        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
 class PlainPages:
     """Form feeds between the pages of a text file."""
 

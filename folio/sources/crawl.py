@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 from urllib.parse import urljoin
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 #: An anchor's address (1 or 2) and what it encloses (3).
 ANCHOR = r"(?is)<a\s[^>]*?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)')[^>]*>(.*?)</a>"
 HREF = r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"
@@ -101,11 +104,12 @@ def registered(found: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def wanted_years(text: str, this_year: int) -> set[str]:
-    """Years of a list such as "2019, 2021-2022, 2024+"; open ends reach this year, reversed ranges are turned."""
+    """Years of a list such as "2019, 2021-2022, 2024+"; open ends reach this year, reversed ranges are turned. What is no year is skipped with a warning."""
     found: set[str] = set()
     for part in filter(None, (p.strip() for p in text.split(","))):
         first, dash, last = part.removesuffix("+").partition("-")
-        if not first.isdigit() or (part.endswith("+") and dash):
+        if not first.isdigit() or (part.endswith("+") and dash) or (last and not last.isdigit()):
+            log.warning("no year or range of years: %r", part)
             continue
         if dash or part.endswith("+"):
             low, high = sorted((int(first), int(last) if last.isdigit() else this_year)) if dash else (int(first), this_year)
