@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from folio.functions.tables import has_numbers, semantic_text, with_headers
 from folio.operators import chunker, pages
 from folio.plans.answer import embedded
 from folio.providers import Embedder
+from folio.sources.shared import kept
 
 
 def accepted_tables(found: DataFrame, accuracy: int = 70) -> DataFrame:
@@ -17,6 +20,26 @@ def accepted_tables(found: DataFrame, accuracy: int = 70) -> DataFrame:
     return shaped.where((F.col("accuracy") >= accuracy) & has_numbers(F.col("rows"))).withColumn("accuracy", F.col("accuracy").cast("int"))
 
 
+#: Ways to find tables in a page, the first preferred: by ruled lines, by white space.
+FLAVOURS = ("lattice", "stream")
+
+
+def scanned_tables(pages_: DataFrame, find: Callable[[DataFrame, str], DataFrame], flavours: tuple[str, ...] = FLAVOURS, accuracy: int = 70) -> DataFrame:
+    """The accepted tables of pages (document_id, page_number, ...), with their flavour.
+
+    find: gives the raw grids of pages for a flavour. A page on which one flavour yields an accepted table is not searched by the next, so
+    the dear ones see what is left. A page that can't be searched simply yields nothing.
+    """
+    rest, out = pages_, None
+    page = ["document_id", "page_number"]
+    for k, flavour in enumerate(flavours):
+        good = kept(accepted_tables(find(rest, flavour), accuracy).withColumn("flavour", F.lit(flavour)), "tables")
+        out = good if out is None else out.unionByName(good)
+        if k + 1 < len(flavours):
+            rest = rest.join(good.select(*page).distinct(), page, "left_anti")
+    return out
+
+
 def chunks_of(raw_pages: DataFrame, tables: DataFrame | None = None, shape: chunker.Shape = chunker.Shape()) -> DataFrame:
     """Text chunks of documents (document_id, page_number, raw_text), then their tables as chunks; numbers go on."""
     cleaned = pages.clean_pages(raw_pages)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import tables as t
 from folio.operators import context, status
+from folio.plans import ingest
 from folio.plans.registry import registry
 from folio.sources.schemas import table
 
@@ -118,3 +119,27 @@ def accuracy_bands(spark, sf_dir):
     """Bands of accuracy in one pass; unknown accuracy is in none."""
     li = table(spark, sf_dir, "lineitem").select("l_returnflag", F.when(F.col("l_discount") >= 0.01, F.round(F.col("l_discount") * 1000).cast("int")).alias("accuracy"), F.when(F.col("l_linestatus") == "O", "").otherwise(F.col("l_linestatus")).alias("caption"))
     return status.accuracy_bands(li, "l_returnflag")
+
+
+@query("""with t as (select l_orderkey as document_id, count(*) as n_rows from lineitem group by 1),
+found as (select document_id, n_rows, 'lattice' as flavour, 60 + document_id % 40 as accuracy from t where document_id % 3 <> 0
+union all select document_id, n_rows, 'stream', 65 + document_id % 35 from t),
+good as (select * from found where accuracy >= 70)
+select document_id, flavour, accuracy::int as accuracy, n_rows from good qualify row_number() over (partition by document_id order by flavour) = 1""")
+def table_flavours(spark, sf_dir):
+    """Orders as pages whose lines are a table that two finders see, with an accuracy of their own: the first that is good enough counts."""
+    lines = table(spark, sf_dir, "lineitem")
+    cells = F.array(F.concat(F.lit("line "), "l_linenumber"), F.col("l_quantity").cast("string"), F.col("l_extendedprice").cast("string"))
+    body = F.array_sort(F.collect_list(F.struct("l_linenumber", cells.alias("c"))))
+    grids = lines.groupBy(F.col("l_orderkey").alias("document_id")).agg(F.concat(F.array(F.array(F.lit("Part"), F.lit("Quantity"), F.lit("Price"))), F.transform(body, lambda x: x["c"])).alias("grid")).withColumn("page_number", F.lit(1))
+
+    def find(pages_, flavour):
+        seen = pages_.join(grids, ["document_id", "page_number"])
+        key = F.col("document_id")
+        if flavour == "lattice":
+            seen = seen.where(key % 3 != 0)
+        accuracy = (60 + key % 40 if flavour == "lattice" else 65 + key % 35).cast("double")
+        return seen.select("document_id", "page_number", "grid", accuracy.alias("accuracy"), F.lit(None).cast("string").alias("caption"), F.lit(None).cast("array<double>").alias("bbox"))
+
+    every = grids.select("document_id", "page_number")
+    return ingest.scanned_tables(every, find).select("document_id", "flavour", "accuracy", F.size("rows").cast("long").alias("n_rows"))
