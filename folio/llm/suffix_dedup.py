@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import only, tidy
+from folio.llm.common import tidy
 from folio.llm.exact_repeats import covered, repeated_runs, without
 
 LENGTH = 200
@@ -57,7 +57,10 @@ def removals(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataF
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
-    """The documents with all their columns and what is left of their texts."""
+    """The documents with all their columns and what is left of their texts.
+
+    A cut can fall within a character of several bytes: what is left of that character goes, too.
+    """
     from pyspark.sql import types as T
 
     names = [c for c in docs.columns if c != text]
