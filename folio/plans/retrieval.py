@@ -59,6 +59,7 @@ lex as (select query_id, chunk_id, count(*) as score from words join terms using
 merged as (select query_id, chunk_id, coalesce(sem.score, 0.0) as semantic, coalesce(lex.score, 0)::double as lexical
            from sem full join lex using (query_id, chunk_id)),
 maxed as (select *, max(semantic) over (partition by query_id) as semantic_max, max(lexical) over (partition by query_id) as lexical_max from merged)"""
+# The keywords and the year pattern of functions/query.py, spelled out here so that the SQL does not depend on them.
 FEATURES = f"""{HITS},
 low as (select query_id, query_text, lower(query_text) as l, list_max(list_transform(regexp_extract_all(query_text, '((?:19|20)\\d{{2}})', 1), lambda y: y::int)) as target_year,
         len(list_filter(string_split_regex(query_text, '\\s+'), lambda w: w <> '')) as n from t),
@@ -251,6 +252,7 @@ def question_texts(spark, sf_dir):
     return c.union(b).union(spark.createDataFrame(x, "id string, text string"))
 
 
+# The same keywords.
 DATA = "len(list_filter(['forecast','projection','outlook','trend','rate','percent','%','growth','decline','increase','decrease','target','data','numbers','quarterly','annual','year','month','when','how much','what is the'], lambda k: contains(lower(text), k))) > 0"
 
 
