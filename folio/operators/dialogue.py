@@ -46,7 +46,10 @@ def latest_answers(messages: DataFrame) -> DataFrame:
 
 
 def upserted(feedback: DataFrame, updates: DataFrame) -> DataFrame:
-    """Feedback after updates (message_id, score, comment, seq): the last score counts, an empty comment leaves the old one."""
+    """Feedback after updates (message_id, score, comment, seq): the last score counts, an empty comment leaves the old one.
+
+    seq, of any type that has an order, differs among the updates of a message: which of two equal ones counts is open.
+    """
 
     def given(c: Column) -> Column:
         return F.nullif(c, F.lit(""))
