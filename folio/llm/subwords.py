@@ -46,6 +46,55 @@ def features(word: str) -> list[int]:
     return found
 
 
+#: What a byte makes of CRC-32's register.
+TABLE = np.array([zlib.crc32(bytes([k])) for k in range(256)], np.uint32) ^ np.uint32(0xFF000000)
+TABLE ^= TABLE[0]
+
+
+def after(crc: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Registers of CRC-32 after a character more, given by its code point, in UTF-8."""
+
+    def fed(crc: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        return TABLE[(crc ^ byte) & 0xFF] ^ (crc >> 8)
+
+    if points.max(initial=0) < 0x80:
+        return fed(crc, points)
+    p = points
+    crc = fed(crc, np.where(p < 0x80, p, np.where(p < 0x800, 0xC0 | p >> 6, np.where(p < 0x10000, 0xE0 | p >> 12, 0xF0 | p >> 18))))
+    for shift, least in ((12, 0x10000), (6, 0x800), (0, 0x80)):
+        more = np.flatnonzero(p >= least)
+        crc[more] = fed(crc[more], 0x80 | (p[more] >> shift) & 0x3F)
+    return crc
+
+
+def features_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """What `features` gives for each of the words, in turn, and how many each has."""
+    marked = [f"<{w}>" for w in words]
+    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.where((points >= 0xD800) & (points < 0xE000), np.uint32(ord("?")), points)
+    n = np.fromiter(map(len, marked), np.int64, len(marked))
+    each = np.array([np.maximum(0, n - size + 1) for size in range(GRAMS[0], GRAMS[1] + 1)])
+    counts = 1 + each.sum(0)
+    base = np.cumsum(counts) - counts
+    flat = np.empty(int(counts.sum()), np.int64)
+    flat[base] = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in marked), np.int64, len(marked))
+    # the grams of one size of a word follow those of the size before
+    first = np.cumsum(n) - n
+    owner = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(points))
+    left = n[owner] + first[owner] - at
+    put = base + 1
+    crc = np.full(len(points), 0xFFFFFFFF, np.uint32)
+    for size in range(1, GRAMS[1] + 1):
+        fits = left[at] >= size
+        at, crc = at[fits], crc[fits]
+        crc = after(crc, points[at + size - 1])
+        if size >= GRAMS[0]:
+            flat[(put - first)[owner[at]] + at] = crc ^ np.uint32(0xFFFFFFFF)
+            put = put + each[size - GRAMS[0]]
+    return flat % BUCKETS, counts
+
+
 class WordRows:
     """Rows of numbers for words, computed once for each distinct word."""
 
@@ -166,9 +215,7 @@ def word_scores(folded: np.ndarray) -> Callable[[list[str]], np.ndarray]:
     """For words: the sums of their features' class scores, and in the last column how many features."""
 
     def summed(words: list[str]) -> np.ndarray:
-        found = [features(w) for w in words]
-        counts = np.array([len(x) for x in found], np.int64)
-        flat = np.fromiter((k for x in found for k in x), np.int64, int(counts.sum()))
+        flat, counts = features_of(words)
         return np.concatenate((np.add.reduceat(folded[flat], np.cumsum(counts) - counts, axis=0), counts[:, None]), axis=1)
 
     def long_word(word: str) -> np.ndarray:

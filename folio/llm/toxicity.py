@@ -52,8 +52,7 @@ def words_of(text: str | None) -> list[str]:
 
     Joined text is a word like any other, but its mean would drown what a part of it says: long words are followed by their overlapping pieces.
     """
-    words = [w.strip(EDGE) or w for w in (text or "").lower().split()]
-    words = list(dict.fromkeys(words))
+    words = list(dict.fromkeys([w.strip(EDGE) or w for w in dict.fromkeys((text or "").lower().split())]))
     if max(map(len, words), default=0) <= LONG:
         return words
     out = []
