@@ -6,6 +6,8 @@ order of columns that a map would lose.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,9 +52,9 @@ def header_place(grid: Column) -> Column:
         text = F.size(F.filter(full, lambda v: ~is_data_number(v)))
         n, rest = F.size(full), F.size(row) - 1
         first = F.get(trimmed, F.lit(0)) == ""
-        wide = (n >= F.size(row) * 0.3) & (text >= F.greatest(F.lit(1.0), n * 0.7))
-        stub = first & (n >= rest * 0.5) & (text >= F.greatest(F.lit(1.0), n * 0.7))
-        return wide | stub
+        counts = F.struct(n.alias("n"), text.alias("text"), first.alias("first"), rest.alias("rest"))
+        worded = lambda c: c["text"] >= F.greatest(F.lit(1.0), c["n"] * 0.7)
+        return once(counts, lambda c: ((c["n"] >= (c["rest"] + 1) * 0.3) | (c["first"] & (c["n"] >= c["rest"] * 0.5))) & worded(c))
 
     marks = F.transform(F.slice(grid, 1, 4), lambda row, i: F.when(header(row), i + 1).otherwise(F.lit(0)))
     return F.coalesce(F.array_max(marks), F.lit(0))
@@ -61,19 +63,30 @@ def header_place(grid: Column) -> Column:
 def column_names(row: Column) -> Column:
     """Names of columns from a header row: blanks are named by place, repeats numbered."""
     named = F.transform(row, lambda v, i: F.when(F.trim(v) != "", F.trim(v)).when(i == 0, F.lit("Item")).otherwise(F.concat(F.lit("Col_"), i.cast("string"))))
-    return F.transform(
-        named, lambda v, i: F.when(F.size(F.filter(F.slice(named, F.lit(1), i), lambda w: w == v)) == 0, v).otherwise(F.concat(v, F.lit("_"), F.size(F.filter(F.slice(named, F.lit(1), i), lambda w: w == v)).cast("string")))
-    )
+
+    def numbered(names: Column) -> Column:
+        before = lambda v, i: F.size(F.filter(F.slice(names, F.lit(1), i), lambda w: w == v))
+        return F.transform(names, lambda v, i: once(before(v, i), lambda n: F.when(n == 0, v).otherwise(F.concat(v, F.lit("_"), n.cast("string")))))
+
+    return once(named, numbered)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value, which passes through a list of one, so that it is made once however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def with_headers(grid: Column) -> Column:
     """struct(headers, rows) of a raw grid; without a header row columns are named by number."""
-    place = header_place(grid)
     numbers = F.transform(F.sequence(F.lit(0), F.size(F.get(grid, F.lit(0))) - 1), lambda i: i.cast("string"))
-    return F.struct(
-        F.when(place > 0, column_names(F.get(grid, place - 1))).otherwise(numbers).alias("headers"),
-        F.slice(grid, place + 1, F.greatest(F.size(grid), F.lit(1))).alias("rows"),
-    )
+
+    def parted(place: Column) -> Column:
+        return F.struct(
+            F.when(place > 0, column_names(F.get(grid, place - 1))).otherwise(numbers).alias("headers"),
+            F.slice(grid, place + 1, F.greatest(F.size(grid), F.lit(1))).alias("rows"),
+        )
+
+    return once(header_place(grid), parted)
 
 
 def cut(value: Column, width: int) -> Column:

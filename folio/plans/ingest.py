@@ -16,8 +16,10 @@ from folio.sources.shared import kept
 
 def accepted_tables(found: DataFrame, accuracy: int = 70) -> DataFrame:
     """Raw grids (document_id, page_number, grid, accuracy, caption, bbox) that are accurate and hold numbers, with headers and rows."""
-    shaped = found.withColumn("t", with_headers(F.col("grid"))).withColumn("headers", F.col("t.headers")).withColumn("rows", F.col("t.rows")).drop("t", "grid")
-    return shaped.where((F.col("accuracy") >= accuracy) & has_numbers(F.col("rows"))).withColumn("accuracy", F.col("accuracy").cast("int"))
+    good = found.where(F.col("accuracy") >= accuracy)
+    # a generator makes headers and rows once; as columns they would be made anew for the filter and for each that is read
+    shaped = good.select("*", F.inline(F.array(with_headers(F.col("grid"))))).drop("grid")
+    return shaped.where(has_numbers(F.col("rows"))).withColumn("accuracy", F.col("accuracy").cast("int"))
 
 
 #: Ways to find tables in a page, the first preferred: by ruled lines, by white space.

@@ -9,6 +9,7 @@ from folio.operators import context, status
 from folio.plans import ingest
 from folio.plans.registry import registry
 from folio.sources.schemas import table
+from folio.sources.shared import kept
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -129,9 +130,10 @@ select document_id, flavour, accuracy::int as accuracy, n_rows from good qualify
 def table_flavours(spark, sf_dir):
     """Orders as pages whose lines are a table that two finders see, with an accuracy of their own: the first that is good enough counts."""
     lines = table(spark, sf_dir, "lineitem")
-    cells = F.array(F.concat(F.lit("line "), "l_linenumber"), F.col("l_quantity").cast("string"), F.col("l_extendedprice").cast("string"))
-    body = F.array_sort(F.collect_list(F.struct("l_linenumber", cells.alias("c"))))
-    grids = lines.groupBy(F.col("l_orderkey").alias("document_id")).agg(F.concat(F.array(F.array(F.lit("Part"), F.lit("Quantity"), F.lit("Price"))), F.transform(body, lambda x: x["c"])).alias("grid")).withColumn("page_number", F.lit(1))
+    body = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_extendedprice")))
+    row = lambda x: F.array(F.concat(F.lit("line "), x["l_linenumber"]), x["l_quantity"].cast("string"), x["l_extendedprice"].cast("string"))
+    grids = lines.groupBy(F.col("l_orderkey").alias("document_id")).agg(F.concat(F.array(F.array(F.lit("Part"), F.lit("Quantity"), F.lit("Price"))), F.transform(body, row)).alias("grid")).withColumn("page_number", F.lit(1))
+    grids = kept(grids, "grids")  # what both finders look at
 
     def find(pages_, flavour):
         seen = pages_.join(grids, ["document_id", "page_number"])
