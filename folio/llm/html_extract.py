@@ -2,34 +2,43 @@
 
 A page becomes a token stream: the words of its blocks of text in page order, a token for each block's
 beginning that tells what structure says of it, and an end of its own. Scripts, styles, comments of the
-markup and tags are no text. The streams of a host's pages are concatenated in shards, and a suffix array
+markup and tags are no text. The streams of a host's pages are concatenated, and a suffix array
 sorted to the depth of `LENGTH` tokens finds the long substrings that recur on distinct pages. Pages that share
-nearly all of their text with an earlier one are copies of it and count with it, so copies do not erase each other.
+nearly all of their text with an earlier one (by a hash of the row) are copies of it and count with it, so copies do not erase each other.
 
-What recurs on enough distinct pages of a shard is boilerplate: its words go, the unique runs of a block
+A host with much html is cut into shards, each with a suffix array of its own, that stay where they are stored. Shards
+exchange the hashes of their distinct substrings: 40 bits of all, then the 64 bits of those that several shards seem to have. So it is
+known which page of the host is the first with each, which pages are copies, and on how many distinct pages each
+is: counts are those of the host, however it is cut.
+
+What recurs on enough distinct pages of a host is boilerplate: its words go, the unique runs of a block
 stay. Structure is evidence of how many pages are enough: two where element or class name stands for a menu, an
 advert or the like, a share where nothing is marked, a larger share inside an article or main part, as articles quote each
 other. Then structure decides what no search can see because a page has it alone: elements and
 class names that stand for such are left out, and a page that marks its main part has no other text.
 
-Null html is an empty page. Pages without a host share one. Repeated rows are copies. Ties do not arise: a
-page's text depends on counts alone. A page of any length is read whole, in one task. Extra columns are ignored;
+Null html is an empty page. Pages without a host share one. Repeated rows are copies. Ties do not arise: the
+order of pages is that of a hash of the whole row. A page of any length is read whole, in one task. Extra columns are ignored;
 an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import only, tidy
+from folio.llm.common import only, shared_dir, staged, tidy
 from folio.llm.suffix_array import ranks_to_depth
 
 #: Tokens of a substring that counts as long, a power of two.
@@ -56,7 +65,7 @@ HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 
 #: What a block is by structure: left out, in the marked part, or undecided.
 OUT, IN, OPEN = 0, 1, 2
-#: By what a block is: the share of a shard's distinct pages on which boilerplate recurs, and pages at least.
+#: By what a block is: the share of a host's distinct pages on which boilerplate recurs, and pages at least.
 ENOUGH = {OUT: (0.0, 2), IN: (0.8, 8), OPEN: (0.1, 2)}
 
 
@@ -165,19 +174,23 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def dealt(pages: DataFrame) -> DataFrame:
-    """page_id, url and html with host (hashed) and unit: a shard of a host with much html, or a group of whole hosts."""
-    named = pages.withColumn("host", F.xxhash64(host_of(F.col("url"))))
+def dealt(pages: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """page_id, url and html with host (hashed), at (the place in the order of pages) and unit: those of hosts with little html, in groups of whole hosts; and of those with much, in shards of a host (None if there are none)."""
+    named = pages.withColumn("host", F.xxhash64(host_of(F.col("url")))).withColumn("at", F.xxhash64("page_id", "url", "html"))
     held = named.groupBy("host").agg(F.sum(F.octet_length("html")).alias("held"))
     large = held.where(F.col("held") > SHARD).select("host", F.ceil(F.col("held") / F.lit(SHARD)).alias("shards"))
     total, hosts = held.agg(F.sum("held"), F.count(F.when(F.col("held") > SHARD, True))).first()
-    named = named.join(F.broadcast(large) if hosts <= HOSTS else large, "host", "left")
-    shard = F.xxhash64("host", F.pmod(F.xxhash64("page_id", "url"), "shards"))
     whole = F.pmod("host", F.lit(max(1, -(-int(total or 0) // SHARD))))
-    return named.select("page_id", "url", "html", "host", F.when(F.col("shards").isNull(), whole).otherwise(shard).alias("unit"))
+    columns = ["page_id", "url", "html", "host", "at"]
+    if not hosts:
+        return named.select(*columns, whole.alias("unit")), None
+    large = F.broadcast(large) if hosts <= HOSTS else large
+    # shards are ranges of the order, so that a page of a lower shard comes earlier
+    shard = F.least(F.floor((F.col("at").cast("double") / F.lit(2.0**64) + F.lit(0.5)) * F.col("shards")), F.col("shards") - 1)
+    return named.join(large, "host", "left_anti").select(*columns, whole.alias("unit")), named.join(large, "host").select(*columns, shard.alias("unit"))
 
 
-BLOCKS = "page_id long, url string, host long, unit long, kinds binary, texts array<string>"
+BLOCKS = "page_id long, url string, host long, at long, unit long, kinds binary, texts array<string>"
 
 
 def in_blocks(pages: DataFrame) -> DataFrame:
@@ -190,45 +203,94 @@ def in_blocks(pages: DataFrame) -> DataFrame:
                 found = blocks_of(page.as_py() or "")
                 kinds.append(bytes(k for k, _ in found))
                 texts.append([t for _, t in found])
-            columns = [batch.column(c) for c in ("page_id", "url", "host", "unit")]
+            names = ["page_id", "url", "host", "at", "unit"]
+            columns = [batch.column(c) for c in names]
             columns += [pa.array(kinds, pa.binary()), pa.array(texts, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "unit", "kinds", "texts"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "kinds", "texts"])
 
     return pages.mapInArrow(tidy(run), BLOCKS)
 
 
-def repeated_tokens(tokens: np.ndarray, page: np.ndarray, kind: np.ndarray, pages: int, length: int) -> np.ndarray:
-    """Whether each token of the concatenated streams lies in a substring of `length` tokens that recurs on enough pages.
+@dataclass
+class Streams:
+    """The token streams of some pages, one after the other: for each token its number, page, block's kind and whether it is a word; the distinct words; and the blocks that can be main text (page, begin, text)."""
+
+    tokens: np.ndarray
+    page: np.ndarray
+    kind: np.ndarray
+    word: np.ndarray
+    words: list[str]
+    blocks: list[tuple[int, int, str]]
 
-    tokens: numbers from 0, the last of each page its own alone; page: in order; kind: what the token's block is.
-    """
-    if not len(tokens):
-        return np.zeros(0, bool)
+
+def streams_of(pages: list[list[tuple[int, str]]]) -> Streams:
+    """A token before each block (its kind) and one after each page; words are numbered from 3."""
+    blocks = [(p, k, t.split(" ")) for p, found in enumerate(pages) for k, t in found]
+    sizes = np.array([len(w) for _, _, w in blocks], np.int64)
+    of = np.array([p for p, _, _ in blocks], np.int64)
+    kinds = np.array([k for _, k, _ in blocks], np.int64)
+    n = np.bincount(of, weights=sizes + 1, minlength=len(pages)).astype(np.int64) + 1
+    start = np.cumsum(n) - n
+    begin = np.cumsum(sizes + 1) - (sizes + 1) + of
+    total = int(n.sum())
+    tokens = np.empty(total, np.int64)
+    word = np.ones(total, bool)
+    word[begin] = False
+    word[start + n - 1] = False
+    numbers: dict[str, int] = {}
+    spoken = np.fromiter((numbers.setdefault(w, len(numbers)) for w in chain.from_iterable(w for _, _, w in blocks)), np.int64, int(sizes.sum()))
+    tokens[word] = spoken + 3
+    tokens[begin] = kinds
+    tokens[start + n - 1] = 3 + len(numbers) + np.arange(len(pages))
+    page = np.repeat(np.arange(len(pages)), n)
+    kind = np.full(total, OUT)
+    kind[np.repeat(begin, sizes + 1) + np.arange(int((sizes + 1).sum())) - np.repeat(np.cumsum(sizes + 1) - (sizes + 1), sizes + 1)] = np.repeat(kinds, sizes + 1)
+    main = np.zeros(len(pages), bool)
+    main[of[kinds == IN]] = True
+    said = chain.from_iterable([t for _, t in found] for found in pages)
+    return Streams(tokens, page, kind, word, list(numbers), [(p, b, t) for (p, k, _), b, t in zip(blocks, begin.tolist(), said, strict=True) if k == (IN if main[p] else OPEN)])
+
+
+def windows_of(tokens: np.ndarray, page: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where windows of `length` tokens of one page start, which of the distinct ones each is, and the first that is each."""
     rank = ranks_to_depth(tokens, length)
     # a window that reaches over the end of its page occurs once
     ends = np.searchsorted(page, page, "right")
     inside = np.flatnonzero(np.arange(len(tokens)) + length < ends)
-    rank, of = rank[inside], page[inside]
-    kinds, first, rank = np.unique(rank, return_index=True, return_inverse=True)
-    lead = of[first][rank]
-    # pages that are nearly another
-    own = np.flatnonzero(kind[inside] != OUT)
-    pair, n = np.unique(of[own] * pages + lead[own], return_counts=True)
-    order = np.lexsort((-n, pair // pages))
-    pair, n = pair[order], n[order]
-    begins = np.flatnonzero(np.append(True, pair[1:] // pages != pair[:-1] // pages)) if len(pair) else np.zeros(0, np.int64)
-    mine, like = pair[begins] // pages, pair[begins] % pages
-    total = np.bincount(of[own], minlength=pages)
-    copies = n[begins] >= COPY * total[mine]
-    stands = np.arange(pages)
-    for p, q in zip(mine[copies].tolist(), like[copies].tolist(), strict=True):
-        stands[p] = stands[q]
-    distinct = len(np.unique(stands))
-    seen = np.bincount(np.unique(rank * pages + stands[of]) // pages, minlength=len(kinds))
-    out = np.zeros(len(tokens), bool)
+    _, first, which = np.unique(rank[inside], return_index=True, return_inverse=True)
+    return inside, which, first
+
+
+def copies_of(of: np.ndarray, lead: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(page, number of an earlier page) of the pages that are nearly another. of, lead: for each window outside of menus and the like its page, and the number of the first with it."""
+    total = np.bincount(of, minlength=len(number))
+    other = lead != number[of]
+    of, lead = of[other], lead[other]
+    leads, at = np.unique(lead, return_inverse=True)
+    pair, n = np.unique(of * len(leads) + at, return_counts=True)
+    mine, like = pair // max(1, len(leads)), leads[pair % max(1, len(leads))]
+    order = np.lexsort((like, -n, mine))
+    mine, like, n = mine[order], like[order], n[order]
+    most = np.append(True, mine[1:] != mine[:-1])[: len(mine)]
+    copies = most & (n >= COPY * total[mine])
+    return zip(mine[copies].tolist(), like[copies].tolist(), strict=True)
+
+
+def pages_with(which: np.ndarray, stands: np.ndarray, distinct: int) -> np.ndarray:
+    """On how many distinct pages each of the distinct windows is. stands: the page that each window's page counts as."""
+    n = np.bincount(which, minlength=distinct)
+    many = n[which] > 1
+    which = which[many]
+    known, at = np.unique(stands[many], return_inverse=True)
+    return np.minimum(n, 1) + np.maximum(np.bincount(np.unique(which * max(1, len(known)) + at) // max(1, len(known)), minlength=distinct) - 1, 0)
+
+
+def covered(start: np.ndarray, seen: np.ndarray, kind: np.ndarray, distinct: int, length: int) -> np.ndarray:
+    """Whether each token lies in a window that is on enough of the `distinct` pages. seen: on how many each window is."""
+    out = np.zeros(len(kind), bool)
     for what, (share, least) in ENOUGH.items():
-        hit = inside[(seen >= max(least, share * distinct))[rank]]
-        step = np.zeros(len(tokens) + 1, np.int64)
+        hit = start[seen >= max(least, share * distinct)]
+        step = np.zeros(len(kind) + 1, np.int64)
         step[hit] += 1
         step[hit + length] -= 1
         out |= (np.cumsum(step[:-1]) > 0) & (kind == what)
@@ -246,62 +308,280 @@ def unique_runs(words: list[str], gone: np.ndarray, length: int) -> list[str]:
     return kept + words[at:]
 
 
+def left_of(blocks: list[tuple[int, int, str]], gone: np.ndarray, pages: int, length: int) -> list[str]:
+    """The text of each page: its blocks (page, begin, text) without what recurs."""
+    out: list[list[str]] = [[] for _ in range(pages)]
+    for p, b, text in blocks:
+        words = text.split(" ")
+        mine = gone[b + 1 : b + 1 + len(words)]
+        left = unique_runs(words, mine, length) if mine.any() else words
+        if left:
+            out[p].append(" ".join(left))
+    return [" ".join(t) for t in out]
+
+
 def texts_of(pages: list[list[tuple[int, str]]], length: int) -> list[tuple[str, int, int]]:
-    """For each page of one shard of a host: its main text, the words of its stream, and those of them that recur."""
-    blocks = [(p, k, t.split(" ")) for p, found in enumerate(pages) for k, t in found]
-    sizes = np.array([len(w) for _, _, w in blocks], np.int64)
-    of = np.array([p for p, _, _ in blocks], np.int64)
-    kinds = np.array([k for _, k, _ in blocks], np.int64)
-    # a token before each block and one after each page
-    n = np.bincount(of, weights=sizes + 1, minlength=len(pages)).astype(np.int64) + 1
-    start = np.cumsum(n) - n
-    begin = np.cumsum(sizes + 1) - (sizes + 1) + of
-    total = int(n.sum())
-    tokens = np.empty(total, np.int64)
-    word = np.ones(total, bool)
-    word[begin] = False
-    word[start + n - 1] = False
-    spoken = np.fromiter(map(hash, chain.from_iterable(w for _, _, w in blocks)), np.int64, int(sizes.sum()))
-    numbers = np.unique(spoken, return_inverse=True)[1]
-    tokens[word] = numbers + 3
-    tokens[begin] = kinds
-    tokens[start + n - 1] = 3 + len(numbers) + np.arange(len(pages))
-    page = np.repeat(np.arange(len(pages)), n)
-    kind = np.full(total, OUT)
-    kind[np.repeat(begin, sizes + 1) + np.arange(int((sizes + 1).sum())) - np.repeat(np.cumsum(sizes + 1) - (sizes + 1), sizes + 1)] = np.repeat(kinds, sizes + 1)
-    gone = repeated_tokens(tokens, page, kind, len(pages), length)
-    spread = np.bincount(page[gone & word], minlength=len(pages))
-    main = np.zeros(len(pages), bool)
-    main[of[kinds == IN]] = True
-    out: list[list[str]] = [[] for _ in pages]
-    for (p, k, words), b in zip(blocks, begin.tolist(), strict=True):
-        if k == (IN if main[p] else OPEN):
-            mine = gone[b + 1 : b + 1 + len(words)]
-            left = unique_runs(words, mine, length) if mine.any() else words
-            if left:
-                out[p].append(" ".join(left))
-    said = np.bincount(of, weights=sizes, minlength=len(pages)).astype(np.int64)
-    return [(" ".join(t), w, r) for t, w, r in zip(out, said.tolist(), spread.tolist(), strict=True)]
+    """For each page of a whole host, in order: its main text, the words of its stream, and those of them that recur."""
+    s = streams_of(pages)
+    start, which, first = windows_of(s.tokens, s.page, length)
+    of = s.page[start]
+    own = s.kind[start] != OUT
+    stands = np.arange(len(pages))
+    for p, q in copies_of(of[own], of[first][which[own]], stands):
+        stands[p] = stands[q]
+    seen = pages_with(which, stands[of], len(first))
+    gone = covered(start, seen[which], s.kind, len(np.unique(stands)), length)
+    said = np.bincount(s.page[s.word], minlength=len(pages))
+    spread = np.bincount(s.page[gone & s.word], minlength=len(pages))
+    return list(zip(left_of(s.blocks, gone, len(pages), length), said.tolist(), spread.tolist(), strict=True))
 
 
 TEXTS = "page_id long, url string, text string, n_words long, n_repeated long"
 
 
-def main_texts(pages: DataFrame, length: int = LENGTH) -> DataFrame:
-    """page_id, url, text and n_chars of every page; n_words of its stream, and how many of them recur on its host."""
+def texts_table(rows: pa.Table, found: list[tuple[str, int, int]]) -> pa.Table:
+    text, words, repeated = zip(*found, strict=True)
+    return pa.table({"page_id": rows["page_id"], "url": rows["url"], "text": pa.array(text, pa.string()), "n_words": pa.array(words, pa.int64()), "n_repeated": pa.array(repeated, pa.int64())})
+
+
+def blocks_in(rows: pa.Table) -> list[list[tuple[int, str]]]:
+    return [list(zip(k, t, strict=True)) for k, t in zip(rows["kinds"].to_pylist(), rows["texts"].to_pylist(), strict=True)]
+
+
+def texts_of_hosts(blocks: DataFrame, length: int) -> DataFrame:
+    """TEXTS of hosts that lie whole in a unit."""
 
     def search(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("host", "ascending"), ("at", "ascending")])
         hosts = table["host"].to_numpy()
-        order = np.argsort(hosts, kind="stable")
-        cuts = [0, *(np.flatnonzero(np.diff(hosts[order])) + 1).tolist(), len(order)]
+        cuts = [0, *(np.flatnonzero(np.diff(hosts)) + 1).tolist(), len(hosts)]
         found = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            mine = table.take(pa.array(order[a:b]))
-            found += texts_of([list(zip(k, t, strict=True)) for k, t in zip(mine["kinds"].to_pylist(), mine["texts"].to_pylist(), strict=True)], length)
-        rows = table.take(pa.array(order))
-        text, words, repeated = zip(*found, strict=True)
-        return pa.table({"page_id": rows["page_id"], "url": rows["url"], "text": pa.array(text, pa.string()), "n_words": pa.array(words, pa.int64()), "n_repeated": pa.array(repeated, pa.int64())})
+            found += texts_of(blocks_in(table.slice(a, b - a)), length)
+        return texts_table(table, found)
+
+    return blocks.groupBy("unit").applyInArrow(search, TEXTS)
+
+
+#: Bits of a page's number on its host below its shard's.
+PAGE_BITS = 32
+#: Parts that the hashes of a host's windows are dealt to.
+PARTS = 256
+#: The pages of a shard, in order: the kinds of blocks and of tokens, which tokens are words, the windows that start there (differences of their numbers); the first has the hashes of all windows.
+SHARDED = "host long, unit long, page long, page_id long, url string, kinds binary, words binary, windows binary, begins binary, texts array<string>, hashes binary"
+#: What shards are told: of windows, of pages, and of the host.
+TOLD = "host long, unit long, window int, hash long, page long, n long, shared boolean"
+UNIT = ["host", "unit"]
+
+
+def hashes_of(s: Streams, start: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each window that starts at `start`: the sum of its tokens' digests, each by the power of its place, mixed."""
+    said = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in chain((f"block {k}".encode() for k in range(3)), (b"word " + w.encode() for w in s.words)))
+    digests = np.frombuffer(said, "<u8")
+    out = np.zeros(len(start), np.uint64)
+    for k in range(length):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + digests[s.tokens[start + k]]
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(32))
+
+
+def sharded(blocks: DataFrame, length: int) -> DataFrame:
+    """SHARDED, stored in buckets by shard, so that what is told of a shard goes to where its pages are."""
+    spark = blocks.sparkSession
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        n, base = table.num_rows, table["unit"][0].as_py() << PAGE_BITS
+        s = streams_of(blocks_in(table))
+        start, which, first = windows_of(s.tokens, s.page, length)
+        # numbered as they come
+        order = np.argsort(first)
+        number = np.empty(len(first), np.int64)
+        number[order] = np.arange(len(first))
+        at = np.full(len(s.tokens), -1, np.int64)
+        at[start] = number[which]
+        at = np.diff(at, prepend=0).astype("<i4")
+        ends = np.searchsorted(s.page, np.arange(n + 1)).tolist()
+        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+        mine: list[list[tuple[int, str]]] = [[] for _ in range(n)]
+        for p, b, t in s.blocks:
+            mine[p].append((b - ends[p], t))
+        begins = [np.array([b for b, _ in x], "<i4").tobytes() for x in mine]
+        hashed = hashes_of(s, start[first[order]], length).tobytes()
+        columns = {"host": table["host"], "unit": table["unit"], "page": pa.array(np.arange(n) + base), "page_id": table["page_id"], "url": table["url"]}
+        columns |= {"kinds": cut(s.kind.astype(np.int8)), "words": cut(s.word.astype(np.int8)), "windows": cut(at), "begins": pa.array(begins, pa.binary())}
+        columns |= {"texts": pa.array([[t for _, t in x] for x in mine], pa.list_(pa.string())), "hashes": pa.array([hashed] + [None] * (n - 1), pa.binary())}
+        return pa.table(columns)
+
+    found = blocks.groupBy(*UNIT).applyInArrow(run, SHARDED)
+    name, buckets = f"shards_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = found.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
+    writer.bucketBy(buckets, *UNIT).saveAsTable(name)
+    return spark.table(name)
+
+
+def met(stored: DataFrame) -> DataFrame:
+    """(host, unit, part, some): the 32 bits of hashes in each part that other shards of the host have, too."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for host, shard, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                some = np.unique(np.frombuffer(hashes, "<u8") >> np.uint64(24))
+                ends = np.searchsorted(some, np.arange(PARTS + 1, dtype=np.uint64) << np.uint64(32))
+                packs = [some[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([host] * PARTS, pa.int64()), pa.array([shard] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array(packs, pa.binary())], names=["host", "unit", "part", "some"])
+
+    def meet(rows: pa.Table) -> pa.Table:
+        packs = [np.frombuffer(x, "<u4") for x in rows["some"].to_pylist()]
+        known, n = np.unique(np.concatenate(packs), return_counts=True)
+        several = known[n > 1]
+        return pa.table({"host": rows["host"], "unit": rows["unit"], "part": rows["part"], "some": pa.array([x[np.isin(x, several, assume_unique=True)].tobytes() for x in packs], pa.binary())})
+
+    schema = "host long, unit long, part int, some binary"
+    return stored.where("hashes is not null").select(*UNIT, "hashes").mapInArrow(tidy(deal), schema).groupBy("host", "part").applyInArrow(meet, schema)
+
+
+@dataclass
+class Shard:
+    """What a task holds of a shard: its pages in order, their first tokens, tokens' kinds, and where windows start, which each is and on which page."""
+
+    pages: pa.Table
+    number: np.ndarray
+    begin: np.ndarray
+    kind: np.ndarray
+    start: np.ndarray
+    which: np.ndarray
+    of: np.ndarray
+
+
+def shard_of(pages: pa.Table) -> Shard:
+    pages = pages.sort_by("page")
+    kinds, windows = (pages[c].to_pylist() for c in ("kinds", "windows"))
+    sizes = np.array([len(k) for k in kinds], np.int64)
+    at = np.cumsum(np.frombuffer(b"".join(windows), "<i4").astype(np.int64))
+    start = np.flatnonzero(at >= 0)
+    return Shard(pages, pages["page"].to_numpy(), np.cumsum(sizes) - sizes, np.frombuffer(b"".join(kinds), np.int8), start, at[start], np.repeat(np.arange(len(sizes)), sizes)[start])
+
+
+def first_pages(s: Shard) -> np.ndarray:
+    """The number of the first page of the shard with each window."""
+    return s.number[s.of[np.unique(s.which, return_index=True)[1]]]
+
+
+def column(told: pa.Table, name: str) -> np.ndarray:
+    return told[name].to_numpy().astype(np.int64)
+
+
+def in_shards(pages: DataFrame, told: DataFrame, run, schema: str) -> DataFrame:
+    """What `run` makes of each shard and what it is told."""
+
+    def meet(pages: pa.Table, told: pa.Table) -> pa.Table:
+        return run(shard_of(pages), told)
+
+    return pages.groupBy(*UNIT).cogroup(told.select(*[f.split(" ")[0] for f in TOLD.split(", ")]).groupBy(*UNIT)).applyInArrow(meet, schema)
+
+
+def told(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Rows of TOLD with these columns, and the host and unit of `rows`; the others are null."""
+    fields = dict(f.split(" ") for f in TOLD.split(", "))
+    return rows.select(*[columns.get(n, F.col(n) if n in UNIT else F.lit(None)).cast(k).alias(n) for n, k in fields.items()])
+
+
+def roots(pairs: DataFrame) -> DataFrame:
+    """(host, page, like) with the first page of each chain as like; twice as far along it in each round."""
+    while True:
+        further = pairs.select("host", F.col("page").alias("like"), F.col("like").alias("beyond"))
+        joined = staged(pairs.join(further, ["host", "like"], "left").select("host", "page", F.coalesce("beyond", "like").alias("like"), F.col("beyond").isNotNull().alias("moved")), "stands")
+        pairs = joined.select("host", "page", "like")
+        if joined.where("moved").isEmpty():
+            return pairs
+
+
+def texts_of_shards(blocks: DataFrame, length: int) -> DataFrame:
+    """TEXTS of hosts that lie in several shards, from the counts of each whole host."""
+    pages = sharded(blocks, length)
+    held = pages.select(*UNIT, "page", "kinds", "windows")
+    place = ["host", "hash"]
+
+    def suspects(pages: pa.Table, told: pa.Table) -> pa.Table:
+        s = shard_of(pages)
+        hashes = np.frombuffer(s.pages["hashes"][0].as_py(), "<u8")
+        some = np.concatenate([(np.uint64(k) << np.uint64(32)) + np.frombuffer(x, "<u4") for k, x in zip(told["part"].to_pylist(), told["some"].to_pylist(), strict=True)])
+        mine = np.flatnonzero(np.isin(hashes >> np.uint64(24), some))
+        lead = first_pages(s)[mine]
+        return pa.table({"host": [s.pages["host"][0].as_py()] * len(mine), "unit": [s.pages["unit"][0].as_py()] * len(mine), "hash": hashes[mine].view(np.int64), "window": mine.astype(np.int32), "page": lead}, pa.schema([("host", pa.int64()), ("unit", pa.int64()), ("hash", pa.int64()), ("window", pa.int32()), ("page", pa.int64())]))
+
+    # the first page of the host with each window, told to shards if several have it
+    found = pages.select(*UNIT, "page", "kinds", "windows", "hashes").groupBy(*UNIT).cogroup(met(pages).groupBy(*UNIT))
+    windows = found.applyInArrow(suspects, "host long, unit long, hash long, window int, page long").groupBy(*place).agg(F.min("page").alias("lead"), F.collect_list(F.struct("unit", "window")).alias("where"))
+    leads = staged(windows.where(F.size("where") > 1).select(*place, "lead", F.explode("where").alias("at")).select(*place, "lead", "at.unit", "at.window"), "leads")
+
+    def copies(s: Shard, told: pa.Table) -> pa.Table:
+        lead = first_pages(s)
+        lead[column(told, "window")] = column(told, "page")
+        own = s.kind[s.start] != OUT
+        pairs = [(s.number[p], q) for p, q in copies_of(s.of[own], lead[s.which[own]], s.number)]
+        mine, like = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else [np.zeros(0, np.int64)] * 2
+        return pa.table({"host": pa.array([s.pages["host"][0].as_py()] * len(mine), pa.int64()), "page": mine, "like": like})
+
+    stands = roots(staged(in_shards(held, told(leads, window=F.col("window"), page=F.col("lead")), copies, "host long, page long, like long"), "copies"))
+    of = lambda page: F.shiftright(page, PAGE_BITS)
+    # pages that stand for some of other shards are not counted in each shard, but listed
+    spread = stands.where(of("page") != of("like")).select("host", "like").distinct()
+    shared = stands.join(spread.withColumn("shared", F.lit(True)), ["host", "like"], "left").select("host", "page", "like", F.coalesce("shared", F.lit(False)).alias("shared"))
+    shared = shared.unionByName(spread.select("host", F.col("like").alias("page"), "like", F.lit(True).alias("shared")))
+    of_pages = told(staged(shared.withColumn("unit", of("page")), "shared"), page=F.col("page"), n=F.col("like"), shared=F.col("shared"))
+
+    def stood(s: Shard, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """What each page counts as, and whether that is shared."""
+        rows = told.filter(pa.compute.is_valid(told["shared"]))
+        stands, shared = s.number.copy(), np.zeros(len(s.number), bool)
+        at = np.searchsorted(s.number, column(rows, "page"))
+        stands[at] = column(rows, "n")
+        shared[at] = rows["shared"].to_numpy().astype(bool)
+        return stands, shared
+
+    def counts(s: Shard, told: pa.Table) -> pa.Table:
+        stands, shared = stood(s, told)
+        rows = told.filter(pa.compute.is_valid(told["window"]))
+        asked = column(rows, "window")
+        n = int(s.which.max(initial=-1)) + 1
+        mine = ~shared[s.of]
+        here = pages_with(s.which[mine], stands[s.of][mine], n)[asked]
+        pairs = np.unique(np.stack((s.which[~mine], stands[s.of][~mine]), 1), axis=0)
+        ends = np.searchsorted(pairs[:, 0], np.arange(n + 1))
+        lists = [pairs[a:b, 1] for a, b in zip(ends[asked].tolist(), ends[asked + 1].tolist(), strict=True)]
+        return pa.table({**{c: rows[c] for c in ("host", "hash", "unit", "window")}, "n": pa.array(here, pa.int64()), "shared": pa.array(lists, pa.list_(pa.int64()))})
+
+    of_windows = told(leads, window=F.col("window"), hash=F.col("hash"))
+    per = in_shards(held, of_windows.unionByName(of_pages), counts, "host long, hash long, unit long, window int, n long, shared array<long>")
+    seen = per.groupBy(*place).agg((F.sum("n") + F.size(F.array_distinct(F.flatten(F.collect_list("shared"))))).alias("seen"), F.collect_list(F.struct("unit", "window")).alias("where"))
+    seen = seen.select("host", "seen", F.explode("where").alias("at")).select("host", "at.unit", "at.window", "seen")
+    distinct = held.groupBy("host").count().join(stands.groupBy("host").agg(F.count(F.lit(1)).alias("copies")), "host", "left").select("host", (F.col("count") - F.coalesce("copies", F.lit(0))).alias("distinct"))
+    of_hosts = held.select(*UNIT).distinct().join(distinct, "host")
+
+    def cut(s: Shard, told: pa.Table) -> pa.Table:
+        stands, _ = stood(s, told)
+        n = int(s.which.max(initial=-1)) + 1
+        seen = pages_with(s.which, stands[s.of], n)
+        rows = told.filter(pa.compute.is_valid(told["window"]))
+        seen[column(rows, "window")] = column(rows, "n")
+        whole = told.filter(pa.compute.and_(pa.compute.is_null(told["window"]), pa.compute.is_null(told["page"])))
+        gone = covered(s.start, seen[s.which], s.kind, whole["n"][0].as_py(), length)
+        word = np.frombuffer(b"".join(s.pages["words"].to_pylist()), bool)
+        blocks = [(p, int(first + b), t) for p, (first, begins, texts) in enumerate(zip(s.begin, s.pages["begins"].to_pylist(), s.pages["texts"].to_pylist(), strict=True)) for b, t in zip(np.frombuffer(begins, "<i4"), texts, strict=True)]
+        said, spread = (np.add.reduceat(x.astype(np.int64), s.begin) for x in (word, word & gone))
+        return texts_table(s.pages, list(zip(left_of(blocks, gone, len(s.number), length), said.tolist(), spread.tolist(), strict=True)))
+
+    every = told(seen, window=F.col("window"), n=F.col("seen")).unionByName(of_pages).unionByName(told(of_hosts, n=F.col("distinct")))
+    return in_shards(pages.select(*UNIT, "page", "kinds", "windows", "words", "begins", "texts", "page_id", "url"), every, cut, TEXTS)
 
+
+def main_texts(pages: DataFrame, length: int = LENGTH) -> DataFrame:
+    """page_id, url, text and n_chars of every page; n_words of its stream, and how many of them recur on its host."""
     rows = only(pages, "page_id", "url", "html").withColumn("page_id", F.col("page_id").cast("long"))
-    found = in_blocks(dealt(rows)).groupBy("unit").applyInArrow(search, TEXTS)
+    small, large = dealt(rows)
+    found = texts_of_hosts(in_blocks(small), length)
+    if large is not None:
+        found = found.unionByName(texts_of_shards(in_blocks(large), length))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_words", "n_repeated")
