@@ -49,7 +49,12 @@ def plain(word: str) -> str:
     return word
 
 
-def packed(codes: np.ndarray, ords: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers start[0], start[0] + 1, ..., n[0] of them, then those from start[1], and so on."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def packed(codes: np.ndarray, ords: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
     """Occurrences (lexeme's code, document's number, position), sorted, as rows: codes, `held`, documents, and the most that one has.
 
     held: 32-bit numbers of the documents, how often each has the lexeme, and all positions.
@@ -59,9 +64,15 @@ def packed(codes: np.ndarray, ords: np.ndarray, places: np.ndarray) -> tuple[np.
     many = np.diff(np.append(entry, len(codes))).astype("<i4")
     ends = np.append(row, len(entry))
     cuts = np.append(entry, len(codes))[ends]
-    ords, places = ords[entry].astype("<i4"), places.astype("<i4")
-    held = [ords[a:b].tobytes() + many[a:b].tobytes() + places[c:d].tobytes() for a, b, c, d in zip(ends[:-1].tolist(), ends[1:].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    return codes[entry][row], held, np.diff(ends).astype(np.int32), (np.maximum.reduceat(many, row) if len(row) else many).astype(np.int32)
+    n, said = np.diff(ends), np.diff(cuts)
+    size = 2 * n + said
+    start = np.cumsum(size) - size
+    flat = np.empty(int(size.sum()), "<i4")
+    flat[spread(start, n)] = ords[entry]
+    flat[spread(start + n, n)] = many
+    flat[spread(start + 2 * n, said)] = places
+    held = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.append(0, np.cumsum(size)) * 4).astype(np.int32)), pa.py_buffer(flat)])
+    return codes[entry][row], held, n.astype(np.int32), (np.maximum.reduceat(many, row) if len(row) else many).astype(np.int32)
 
 
 def unpacked(held: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,10 +81,10 @@ def unpacked(held: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x[:n], x[n : 2 * n], x[2 * n :]
 
 
-def range_rows(keys: pa.Array, words: np.ndarray, number: int, lexemes: list[str], held: list[bytes], n: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+def range_rows(keys: pa.Array, words: np.ndarray, number: int, lexemes: list[str], held: pa.Array, n: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
     """The rows of a range: that of its documents, with their keys and numbers of words, and one for each lexeme."""
     lists = pa.ListArray.from_arrays(pa.array([0, len(keys)] + [len(keys)] * len(held), pa.int32()), keys, mask=pa.array([False] + [True] * len(held)))
-    arrays = [pa.array([None, *lexemes], pa.string()), pa.array(np.full(len(held) + 1, number, np.int64)), pa.array(np.append(np.int32(len(keys)), n)), pa.array(np.append(np.int32(0), best)), pa.array([words.astype("<i4").tobytes(), *held], pa.binary()), lists]
+    arrays = [pa.array([None, *lexemes], pa.string()), pa.array(np.full(len(held) + 1, number, np.int64)), pa.array(np.append(np.int32(len(keys)), n)), pa.array(np.append(np.int32(0), best)), pa.concat_arrays([pa.array([words.astype("<i4").tobytes()], pa.binary()), held]), lists]
     return pa.RecordBatch.from_arrays(arrays, names=["lexeme", "range", "n", "best", "held", "keys"])
 
 
@@ -99,32 +110,31 @@ def alive(rows: pa.Table, gone: pa.Table) -> tuple[pa.Array, np.ndarray, list[st
 
     rows: of all those ranges; gone: (range, ord) of their dead documents.
     """
-    ranges, ns = rows["range"].to_pylist(), rows["n"].to_pylist()
-    lexemes, helds = rows["lexeme"].to_pylist(), rows["held"].to_pylist()
-    dead: dict[int, list[int]] = defaultdict(list)
-    for r, o in zip(gone["range"].to_pylist(), gone["ord"].to_pylist(), strict=True):
-        dead[r].append(o)
-    number: dict[int, np.ndarray] = {}  # the new number of each document of a range, -1 for dead ones
-    keys, words, total = [], [], 0
-    for k in sorted((k for k, x in enumerate(lexemes) if x is None), key=lambda k: ranges[k]):
-        living = np.ones(ns[k], bool)
-        living[np.array(dead[ranges[k]], np.int64)] = False
-        number[ranges[k]] = np.where(living, total + np.cumsum(living) - 1, -1)
-        total += int(living.sum())
-        keys.append(rows["keys"][k].values.filter(pa.array(living)))
-        words.append(np.frombuffer(helds[k], "<i4")[living])
-    names: dict[str, int] = defaultdict(count().__next__)
-    parts = []
-    for r, n, lexeme, held in zip(ranges, ns, lexemes, helds, strict=True):
-        if lexeme is not None:
-            ords, many, places = unpacked(held, n)
-            parts.append((np.full(len(places), names[lexeme], np.int64), np.repeat(number[r][ords], many), places))
-    none = np.zeros(0, np.int64)
-    code, ords, places = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none, none, none)
-    kept_ = ords >= 0
-    code, ords, places = code[kept_], ords[kept_], places[kept_]
-    order = np.lexsort((places, ords, code))
-    return pa.concat_arrays(keys), np.concatenate(words), list(names), code[order], ords[order], places[order]
+    ranges, ns = rows["range"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
+    listed = rows["lexeme"].is_null().to_numpy(zero_copy_only=False)
+    held = rows["held"].combine_chunks()
+    starts = np.frombuffer(held.buffers()[1], "<i4")[held.offset : held.offset + len(held) + 1].astype(np.int64) // 4
+    packs = np.frombuffer(held.buffers()[2] or b"", "<i4", int(starts[-1]))
+    # the documents of all ranges in order, and the new number of each, -1 for dead ones
+    lists = np.flatnonzero(listed)
+    lists = lists[np.argsort(ranges[lists], kind="stable")]
+    known, base = ranges[lists], np.cumsum(ns[lists]) - ns[lists]
+    living = np.ones(int(ns[lists].sum()), bool)
+    living[base[np.searchsorted(known, gone["range"].to_numpy())] + gone["ord"].to_numpy()] = False
+    number = np.where(living, np.cumsum(living) - 1, -1)
+    keys = pa.concat_arrays([rows["keys"][k].values for k in lists.tolist()]).filter(pa.array(living))
+    words = packs[spread(starts[lists], ns[lists])][living]
+    some = np.flatnonzero(~listed)
+    names = rows["lexeme"].take(pa.array(some)).combine_chunks().dictionary_encode()
+    n, start = ns[some], starts[some]
+    many = packs[spread(start + n, n)]
+    ords = number[np.repeat(base[np.searchsorted(known, ranges[some])], n) + packs[spread(start, n)]]
+    places = packs[spread(start + 2 * n, starts[some + 1] - start - 2 * n)]
+    code, ords = np.repeat(np.repeat(names.indices.to_numpy(), n).astype(np.int64), many), np.repeat(ords, many)
+    left = ords >= 0
+    code, ords, places = code[left], ords[left], places[left]
+    order = np.argsort(code * max(1, len(keys)) + ords, kind="stable")  # places of a document ascend
+    return keys, words, names.dictionary.to_pylist(), code[order], ords[order], places[order]
 
 
 def analysed(rows: DataFrame, key: str, text: str, stemmed: bool, segment: int) -> DataFrame:
@@ -224,7 +234,7 @@ class TextIndex:
             doc = np.concatenate((ords[entry], bare)).astype(np.int64)
             offsets = np.append(np.append(entry, len(code)), [len(code)] * len(bare)).astype(np.int32)
             said = pa.ListArray.from_arrays(pa.array(offsets), pa.array(places.astype(np.int32)), mask=pa.array(np.arange(len(doc)) >= len(entry)))
-            named = pa.array([lexemes[k] for k in code[entry].tolist()] + [None] * len(bare), pa.string())
+            named = pa.concat_arrays([pa.array(lexemes, pa.string()).take(pa.array(code[entry])), pa.nulls(len(bare), pa.string())])
             return pa.table({"key": keys.take(pa.array(doc)), "words": pa.array(words[doc].astype(np.int32)), "lexeme": named, "positions": said})
 
         return self.by_ranges(F.col("range"), run, kind)

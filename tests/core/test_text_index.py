@@ -103,3 +103,22 @@ def test_hot_words_are_cut_and_searches_skip(spark, tmp_path, monkeypatch):
     assert found(index, [(1, "hot rare"), (2, "hot")], 3, spark) == ranked(rows, [(1, "hot rare"), (2, "hot")], 3)
     empty = texts.created(frame(spark, rows).limit(0), f"{tmp_path}/none")
     assert found(empty, QUESTIONS, 3, spark) == set()
+
+
+def test_ranges_are_unpacked_at_once(monkeypatch):
+    """What a range holds is read by whole columns, not lexeme by lexeme, and is what its texts say."""
+    import numpy as np
+    import pyarrow as pa
+
+    def said(k):
+        return [] if k == 7 else [f"w{(k * j) % 13}" for j in range(k % 9)]
+
+    monkeypatch.setattr(texts, "unpacked", lambda *a: pytest.fail("one lexeme at a time"))
+    batches = [texts.gathered(pa.array(range(a, a + 20)), [" ".join(said(k)) for k in range(a, a + 20)], n, texts.plain) for n, a in ((5, 0), (3, 100))]
+    gone = pa.table({"range": pa.array([5, 3, 5], pa.int64()), "ord": pa.array([2, 19, 8], pa.int32())})
+    keys, words, lexemes, code, ords, places = texts.alive(pa.Table.from_batches(batches), gone)
+    living = [k for k in [*range(100, 120), *range(20)] if k not in (2, 119, 8)]
+    assert keys.to_pylist() == living and words.tolist() == [len(said(k)) for k in living]
+    got = sorted((o, p, lexemes[c]) for c, o, p in zip(code.tolist(), ords.tolist(), places.tolist(), strict=True))
+    assert got == [(i, p + 1, w) for i, k in enumerate(living) for p, w in enumerate(said(k))]
+    assert np.array_equal(np.lexsort((places, ords, code)), np.arange(len(code)))
