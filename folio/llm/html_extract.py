@@ -7,9 +7,9 @@ sorted to the depth of `LENGTH` tokens finds the long substrings that recur on d
 nearly all of their text with an earlier one (by a hash of the row) are copies of it and count with it, so copies do not erase each other.
 
 A host with much html is cut into shards, each with a suffix array of its own, that stay where they are stored. Shards
-exchange the hashes of their distinct substrings: 40 bits of all, then the 64 bits of those that several shards seem to have. So it is
+exchange the hashes of their distinct substrings: the first bits of all, as many as tell most apart, then the 64 bits of those that several shards seem to have. So it is
 known which page of the host is the first with each, which pages are copies, and on how many distinct pages each
-is: counts are those of the host, however it is cut.
+is: counts are those of the host, however it is cut. What shards tell each other is packed by parts of the hashes; hashes are made anew from the stored tokens, not stored.
 
 What recurs on enough distinct pages of a host is boilerplate: its words go, the unique runs of a block
 stay. Structure is evidence of how many pages are enough: two where element or class name stands for a menu, an
@@ -24,21 +24,24 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 import uuid
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import only, shared_dir, staged, tidy
+from folio.llm.common import only, shared_dir, staged, tidy, unstage
 from folio.llm.suffix_array import ranks_to_depth
 
 #: Tokens of a substring that counts as long, a power of two.
@@ -174,20 +177,20 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def dealt(pages: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """page_id, url and html with host (hashed), at (the place in the order of pages) and unit: those of hosts with little html, in groups of whole hosts; and of those with much, in shards of a host (None if there are none)."""
+def dealt(pages: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+    """page_id, url and html with host (hashed), at (the place in the order of pages) and unit: those of hosts with little html, in groups of whole hosts; and of those with much, in shards of a host (None if there are none), and the most shards that a host has."""
     named = pages.withColumn("host", F.xxhash64(host_of(F.col("url")))).withColumn("at", F.xxhash64("page_id", "url", "html"))
     held = named.groupBy("host").agg(F.sum(F.octet_length("html")).alias("held"))
     large = held.where(F.col("held") > SHARD).select("host", F.ceil(F.col("held") / F.lit(SHARD)).alias("shards"))
-    total, hosts = held.agg(F.sum("held"), F.count(F.when(F.col("held") > SHARD, True))).first()
+    total, hosts, most = held.agg(F.sum("held"), F.count(F.when(F.col("held") > SHARD, True)), F.max("held")).first()
     whole = F.pmod("host", F.lit(max(1, -(-int(total or 0) // SHARD))))
     columns = ["page_id", "url", "html", "host", "at"]
     if not hosts:
-        return named.select(*columns, whole.alias("unit")), None
+        return named.select(*columns, whole.alias("unit")), None, 0
     large = F.broadcast(large) if hosts <= HOSTS else large
     # shards are ranges of the order, so that a page of a lower shard comes earlier
     shard = F.least(F.floor((F.col("at").cast("double") / F.lit(2.0**64) + F.lit(0.5)) * F.col("shards")), F.col("shards") - 1)
-    return named.join(large, "host", "left_anti").select(*columns, whole.alias("unit")), named.join(large, "host").select(*columns, shard.alias("unit"))
+    return named.join(large, "host", "left_anti").select(*columns, whole.alias("unit")), named.join(large, "host").select(*columns, shard.alias("unit")), -(-int(most) // SHARD)
 
 
 BLOCKS = "page_id long, url string, host long, at long, unit long, kinds binary, texts array<string>"
@@ -237,8 +240,9 @@ def streams_of(pages: list[list[tuple[int, str]]]) -> Streams:
     word = np.ones(total, bool)
     word[begin] = False
     word[start + n - 1] = False
-    numbers: dict[str, int] = {}
-    spoken = np.fromiter((numbers.setdefault(w, len(numbers)) for w in chain.from_iterable(w for _, _, w in blocks)), np.int64, int(sizes.sum()))
+    numbers: defaultdict[str, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    spoken = np.fromiter(map(numbers.__getitem__, chain.from_iterable(w for _, _, w in blocks)), np.int64, int(sizes.sum()))
     tokens[word] = spoken + 3
     tokens[begin] = kinds
     tokens[start + n - 1] = 3 + len(numbers) + np.arange(len(pages))
@@ -261,6 +265,12 @@ def windows_of(tokens: np.ndarray, page: np.ndarray, length: int) -> tuple[np.nd
     return inside, which, first
 
 
+def distinct_of(numbers: np.ndarray) -> np.ndarray:
+    """The distinct numbers in order, by a sort, which for many numbers takes less time than np.unique."""
+    numbers = np.sort(numbers)
+    return numbers[np.append(True, numbers[1:] != numbers[:-1])[: len(numbers)]]
+
+
 def copies_of(of: np.ndarray, lead: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, int]]:
     """(page, number of an earlier page) of the pages that are nearly another. of, lead: for each window outside of menus and the like its page, and the number of the first with it."""
     total = np.bincount(of, minlength=len(number))
@@ -282,7 +292,7 @@ def pages_with(which: np.ndarray, stands: np.ndarray, distinct: int) -> np.ndarr
     many = n[which] > 1
     which = which[many]
     known, at = np.unique(stands[many], return_inverse=True)
-    return np.minimum(n, 1) + np.maximum(np.bincount(np.unique(which * max(1, len(known)) + at) // max(1, len(known)), minlength=distinct) - 1, 0)
+    return np.minimum(n, 1) + np.maximum(np.bincount(distinct_of(which * max(1, len(known)) + at) // max(1, len(known)), minlength=distinct) - 1, 0)
 
 
 def covered(start: np.ndarray, seen: np.ndarray, kind: np.ndarray, distinct: int, length: int) -> np.ndarray:
@@ -365,22 +375,63 @@ def texts_of_hosts(blocks: DataFrame, length: int) -> DataFrame:
 
 #: Bits of a page's number on its host below its shard's.
 PAGE_BITS = 32
-#: Parts that the hashes of a host's windows are dealt to.
-PARTS = 256
-#: The pages of a shard, in order: the kinds of blocks and of tokens, which tokens are words, the windows that start there (differences of their numbers); the first has the hashes of all windows.
-SHARDED = "host long, unit long, page long, page_id long, url string, kinds binary, words binary, windows binary, begins binary, texts array<string>, hashes binary"
-#: What shards are told: of windows, of pages, and of the host.
-TOLD = "host long, unit long, window int, hash long, page long, n long, shared boolean"
+#: Parts that the hashes of a host's windows are dealt to, by their first bits.
+PARTS, PART_BITS = 256, 8
+#: First bits of hashes that shards exchange, besides those of the number of a host's shards: few windows agree in them by chance.
+SEEN_BITS = 28
+#: The pages of a shard, in order: the kinds of tokens, their numbers (the first bytes of all, then the second, and so on), the windows that start there (differences of their numbers); the first has the distinct words of all.
+SHARDED = "host long, unit long, page long, page_id long, url string, kinds binary, tokens binary, windows binary, words string"
+#: What shards are told: of the windows of a part (their numbers, and a number for each), of pages, and of the host.
+TOLD = "host long, unit long, part int, windows binary, numbers binary, page long, n long, shared boolean"
 UNIT = ["host", "unit"]
+PART = ["host", "part"]
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Has Spark delete the shuffle files of what is run inside, as soon as that has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def put_by(df: DataFrame, tag: str) -> DataFrame:
+    """`df`, staged, without the shuffle files that it took."""
+    with shuffles_dropped(df.sparkSession):
+        return staged(df, tag)
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers as the compressed bytes of their differences, the first byte of all, the second of all, and so on."""
+    step = np.diff(numbers.astype(np.int64), prepend=0)
+    return zlib.compress(((step << 1) ^ (step >> 63)).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked(pack: bytes) -> np.ndarray:
+    step = np.frombuffer(zlib.decompress(pack), np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
+    return np.cumsum((step >> np.uint64(1)).astype(np.int64) ^ -(step & np.uint64(1)).astype(np.int64))
+
+
+def all_of(packs: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *packs])
+
+
+def cut_at(values: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    """`values` in pieces of these sizes."""
+    return np.split(values, np.cumsum(sizes)[:-1])
 
 
-def hashes_of(s: Streams, start: np.ndarray, length: int) -> np.ndarray:
-    """A hash of each window that starts at `start`: the sum of its tokens' digests, each by the power of its place, mixed."""
-    said = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in chain((f"block {k}".encode() for k in range(3)), (b"word " + w.encode() for w in s.words)))
-    digests = np.frombuffer(said, "<u8")
+def hashes_of(tokens: np.ndarray, words: list[str], start: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each window that starts at `start`: the sum of its tokens' digests, each by the power of its place, mixed. tokens: 0 to 2 for the kinds of blocks, then words."""
+    digests = pd.util.hash_array(np.array([f"block {k}" for k in range(3)] + words, object), categorize=False)
+    said = digests[np.minimum(tokens, len(digests) - 1)]
     out = np.zeros(len(start), np.uint64)
     for k in range(length):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + digests[s.tokens[start + k]]
+        out = out * np.uint64(0x9E3779B97F4A7C15) + said[start + k]
     out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return out ^ (out >> np.uint64(32))
 
@@ -403,44 +454,21 @@ def sharded(blocks: DataFrame, length: int) -> DataFrame:
         at = np.diff(at, prepend=0).astype("<i4")
         ends = np.searchsorted(s.page, np.arange(n + 1)).tolist()
         cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-        mine: list[list[tuple[int, str]]] = [[] for _ in range(n)]
-        for p, b, t in s.blocks:
-            mine[p].append((b - ends[p], t))
-        begins = [np.array([b for b, _ in x], "<i4").tobytes() for x in mine]
-        hashed = hashes_of(s, start[first[order]], length).tobytes()
-        columns = {"host": table["host"], "unit": table["unit"], "page": pa.array(np.arange(n) + base), "page_id": table["page_id"], "url": table["url"]}
-        columns |= {"kinds": cut(s.kind.astype(np.int8)), "words": cut(s.word.astype(np.int8)), "windows": cut(at), "begins": pa.array(begins, pa.binary())}
-        columns |= {"texts": pa.array([[t for _, t in x] for x in mine], pa.list_(pa.string())), "hashes": pa.array([hashed] + [None] * (n - 1), pa.binary())}
-        return pa.table(columns)
+        # an end of a page is in no window
+        numbers = np.where(s.tokens < 3 + len(s.words), s.tokens, 0).astype("<i4").view(np.uint8).reshape(-1, 4)
+        said = [numbers[a:b].T.tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        columns = {c: table[c] for c in ("host", "unit", "page_id", "url")} | {"page": pa.array(np.arange(n) + base)}
+        columns |= {"kinds": cut(s.kind.astype(np.int8)), "tokens": pa.array(said, pa.binary()), "windows": cut(at), "words": pa.array([" ".join(s.words)] + [None] * (n - 1), pa.string())}
+        return pa.table({f.split(" ")[0]: columns[f.split(" ")[0]] for f in SHARDED.split(", ")})
 
     found = blocks.groupBy(*UNIT).applyInArrow(run, SHARDED)
     name, buckets = f"shards_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = found.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
-    writer.bucketBy(buckets, *UNIT).saveAsTable(name)
+    with shuffles_dropped(spark):
+        writer.bucketBy(buckets, *UNIT).saveAsTable(name)
     return spark.table(name)
 
 
-def met(stored: DataFrame) -> DataFrame:
-    """(host, unit, part, some): the 32 bits of hashes in each part that other shards of the host have, too."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for host, shard, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                some = np.unique(np.frombuffer(hashes, "<u8") >> np.uint64(24))
-                ends = np.searchsorted(some, np.arange(PARTS + 1, dtype=np.uint64) << np.uint64(32))
-                packs = [some[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([host] * PARTS, pa.int64()), pa.array([shard] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array(packs, pa.binary())], names=["host", "unit", "part", "some"])
-
-    def meet(rows: pa.Table) -> pa.Table:
-        packs = [np.frombuffer(x, "<u4") for x in rows["some"].to_pylist()]
-        known, n = np.unique(np.concatenate(packs), return_counts=True)
-        several = known[n > 1]
-        return pa.table({"host": rows["host"], "unit": rows["unit"], "part": rows["part"], "some": pa.array([x[np.isin(x, several, assume_unique=True)].tobytes() for x in packs], pa.binary())})
-
-    schema = "host long, unit long, part int, some binary"
-    return stored.where("hashes is not null").select(*UNIT, "hashes").mapInArrow(tidy(deal), schema).groupBy("host", "part").applyInArrow(meet, schema)
-
-
 @dataclass
 class Shard:
     """What a task holds of a shard: its pages in order, their first tokens, tokens' kinds, and where windows start, which each is and on which page."""
@@ -463,15 +491,100 @@ def shard_of(pages: pa.Table) -> Shard:
     return Shard(pages, pages["page"].to_numpy(), np.cumsum(sizes) - sizes, np.frombuffer(b"".join(kinds), np.int8), start, at[start], np.repeat(np.arange(len(sizes)), sizes)[start])
 
 
+def first_of(s: Shard) -> np.ndarray:
+    """Where among the windows of the shard each distinct one is first."""
+    return np.unique(s.which, return_index=True)[1]
+
+
 def first_pages(s: Shard) -> np.ndarray:
     """The number of the first page of the shard with each window."""
-    return s.number[s.of[np.unique(s.which, return_index=True)[1]]]
+    return s.number[s.of[first_of(s)]]
+
+
+def said_in(s: Shard) -> tuple[np.ndarray, list[str]]:
+    """The tokens of a shard and its distinct words, as `streams_of` gives them but for the ends of pages, which are 0."""
+    tokens = [np.frombuffer(x, np.uint8).reshape(4, -1).T for x in s.pages["tokens"].to_pylist()]
+    return np.concatenate(tokens).copy().view("<i4").ravel(), [w for w in s.pages["words"][0].as_py().split(" ") if w]
+
+
+def hashes_in(s: Shard, length: int) -> np.ndarray:
+    """The hash of each distinct window of the shard."""
+    return hashes_of(*said_in(s), s.start[first_of(s)], length)
+
+
+def rows_of(rows: pa.Table, *names: str) -> dict[str, pa.ChunkedArray]:
+    return {c: rows[c] for c in names}
+
+
+def met(stored: DataFrame, length: int, bits: int) -> DataFrame:
+    """(host, unit, part, some): those of the first `bits` bits of hashes, below the part's, that other shards of the host have, too."""
+    low = bits - PART_BITS
+    schema = "host long, unit long, part int, some binary"
+
+    def deal(pages: pa.Table) -> pa.Table:
+        s = shard_of(pages)
+        some = distinct_of((hashes_in(s, length) >> np.uint64(64 - bits)).astype(np.int64))
+        ends = np.searchsorted(some, np.arange(PARTS + 1) << low)
+        packs = [packed(some[a:b] & ((1 << low) - 1)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        host, shard = (s.pages[c][0].as_py() for c in UNIT)
+        return pa.table({"host": pa.array([host] * PARTS, pa.int64()), "unit": pa.array([shard] * PARTS, pa.int64()), "part": pa.array(range(PARTS), pa.int32()), "some": pa.array(packs, pa.binary())})
+
+    def meet(rows: pa.Table) -> pa.Table:
+        packs = [unpacked(x) for x in rows["some"].to_pylist()]
+        known = np.sort(np.concatenate(packs))
+        several = distinct_of(known[1:][known[1:] == known[:-1]])
+        several = cut_at(np.isin(np.concatenate(packs), several), [len(x) for x in packs])
+        return pa.table(rows_of(rows, *UNIT, "part") | {"some": pa.array([packed(x[y]) for x, y in zip(packs, several, strict=True)], pa.binary())})
+
+    dealt = stored.select(*UNIT, "page", "kinds", "tokens", "windows", "words").groupBy(*UNIT).applyInArrow(deal, schema)
+    return dealt.groupBy(*PART).applyInArrow(meet, schema)
+
+
+def leads_of(pages: DataFrame, length: int, bits: int) -> DataFrame:
+    """(host, unit, part, windows, ids, leads): the windows of a shard that others have, too; a number of each in the host's part, and of the host's first page with it."""
+    low = bits - PART_BITS
+
+    def suspects(pages: pa.Table, told: pa.Table) -> pa.Table:
+        s = shard_of(pages)
+        hashes = hashes_in(s, length)
+        some = all_of([(k << low) + unpacked(x) for k, x in zip(told["part"].to_pylist(), told["some"].to_pylist(), strict=True)])
+        mine = np.flatnonzero(np.isin((hashes >> np.uint64(64 - bits)).astype(np.int64), some))
+        part = (hashes[mine] >> np.uint64(64 - PART_BITS)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        mine, parts, sizes = mine[order], *np.unique(part, return_counts=True)
+        lead = s.of[first_of(s)][mine]
+        host, shard = (s.pages[c][0].as_py() for c in UNIT)
+        columns = {"host": pa.array([host] * len(parts), pa.int64()), "unit": pa.array([shard] * len(parts), pa.int64()), "part": pa.array(parts, pa.int32())}
+        columns |= {k: pa.array([packed(x) for x in cut_at(v, sizes)][: len(parts)], pa.binary()) for k, v in (("windows", mine), ("pages", lead))}
+        return pa.table(columns | {"hashes": pa.array([x.tobytes() for x in cut_at(hashes[mine], sizes)][: len(parts)], pa.binary())})
+
+    def meet(rows: pa.Table) -> pa.Table:
+        windows, of = ([unpacked(x) for x in rows[c].to_pylist()] for c in ("windows", "pages"))
+        number = np.concatenate([(u << PAGE_BITS) + x for u, x in zip(rows["unit"].to_pylist(), of, strict=True)])
+        _, which, n = np.unique(np.frombuffer(b"".join(rows["hashes"].to_pylist()), "<u8"), return_inverse=True, return_counts=True)
+        lead = np.full(len(n), np.iinfo(np.int64).max)
+        np.minimum.at(lead, which, number)
+        ids = np.cumsum(n > 1) - 1
+        sizes = [len(x) for x in windows]
+        several, ids, lead = (cut_at(x, sizes) for x in ((n > 1)[which], ids[which], lead[which]))
+        found = {k: pa.array([packed(x[y]) for x, y in zip(v, several, strict=True)], pa.binary()) for k, v in (("windows", windows), ("ids", ids), ("leads", lead))}
+        return pa.table(rows_of(rows, *UNIT, "part") | found)
+
+    found = pages.select(*UNIT, "page", "kinds", "tokens", "windows", "words").groupBy(*UNIT).cogroup(met(pages, length, bits).groupBy(*UNIT))
+    some = found.applyInArrow(suspects, "host long, unit long, part int, windows binary, pages binary, hashes binary")
+    return some.groupBy(*PART).applyInArrow(meet, "host long, unit long, part int, windows binary, ids binary, leads binary")
 
 
 def column(told: pa.Table, name: str) -> np.ndarray:
     return told[name].to_numpy().astype(np.int64)
 
 
+def of_windows(told: pa.Table) -> tuple[pa.Table, list[np.ndarray], np.ndarray]:
+    """What is told of windows: its rows, the windows of each, and the numbers of all."""
+    rows = told.filter(pa.compute.is_valid(told["windows"]))
+    return rows, [unpacked(x) for x in rows["windows"].to_pylist()], all_of([unpacked(x) for x in rows["numbers"].to_pylist()])
+
+
 def in_shards(pages: DataFrame, told: DataFrame, run, schema: str) -> DataFrame:
     """What `run` makes of each shard and what it is told."""
 
@@ -491,46 +604,50 @@ def roots(pairs: DataFrame) -> DataFrame:
     """(host, page, like) with the first page of each chain as like; twice as far along it in each round."""
     while True:
         further = pairs.select("host", F.col("page").alias("like"), F.col("like").alias("beyond"))
-        joined = staged(pairs.join(further, ["host", "like"], "left").select("host", "page", F.coalesce("beyond", "like").alias("like"), F.col("beyond").isNotNull().alias("moved")), "stands")
+        joined = put_by(pairs.join(further, ["host", "like"], "left").select("host", "page", F.coalesce("beyond", "like").alias("like"), F.col("beyond").isNotNull().alias("moved")), "stands")
         pairs = joined.select("host", "page", "like")
         if joined.where("moved").isEmpty():
             return pairs
 
 
-def texts_of_shards(blocks: DataFrame, length: int) -> DataFrame:
-    """TEXTS of hosts that lie in several shards, from the counts of each whole host."""
-    pages = sharded(blocks, length)
-    held = pages.select(*UNIT, "page", "kinds", "windows")
-    place = ["host", "hash"]
+def seen_of(per: DataFrame) -> DataFrame:
+    """(host, unit, part, windows, seen): on how many distinct pages of the host each window is. per: what each shard counts alone, and the pages that others have, too."""
 
-    def suspects(pages: pa.Table, told: pa.Table) -> pa.Table:
-        s = shard_of(pages)
-        hashes = np.frombuffer(s.pages["hashes"][0].as_py(), "<u8")
-        some = np.concatenate([(np.uint64(k) << np.uint64(32)) + np.frombuffer(x, "<u4") for k, x in zip(told["part"].to_pylist(), told["some"].to_pylist(), strict=True)])
-        mine = np.flatnonzero(np.isin(hashes >> np.uint64(24), some))
-        lead = first_pages(s)[mine]
-        return pa.table({"host": [s.pages["host"][0].as_py()] * len(mine), "unit": [s.pages["unit"][0].as_py()] * len(mine), "hash": hashes[mine].view(np.int64), "window": mine.astype(np.int32), "page": lead}, pa.schema([("host", pa.int64()), ("unit", pa.int64()), ("hash", pa.int64()), ("window", pa.int32()), ("page", pa.int64())]))
+    def meet(rows: pa.Table) -> pa.Table:
+        ids, here, sizes, shared = ([unpacked(x) for x in rows[c].to_pylist()] for c in ("ids", "here", "sizes", "shared"))
+        which, known = np.concatenate(ids), np.unique(np.concatenate(shared))
+        seen = np.bincount(which, weights=np.concatenate(here)).astype(np.int64)
+        pairs = distinct_of(np.repeat(which, np.concatenate(sizes)) * max(1, len(known)) + np.searchsorted(known, np.concatenate(shared)))
+        seen += np.bincount(pairs // max(1, len(known)), minlength=len(seen))
+        return pa.table(rows_of(rows, *UNIT, "part", "windows") | {"seen": pa.array([packed(seen[x]) for x in ids], pa.binary())})
+
+    return per.groupBy(*PART).applyInArrow(meet, "host long, unit long, part int, windows binary, seen binary")
 
+
+def texts_of_shards(blocks: DataFrame, length: int, shards: int) -> DataFrame:
+    """TEXTS of hosts that lie in several shards (`shards` at most), from the counts of each whole host."""
+    pages = sharded(blocks, length)
+    held = pages.select(*UNIT, "page", "kinds", "windows")
     # the first page of the host with each window, told to shards if several have it
-    found = pages.select(*UNIT, "page", "kinds", "windows", "hashes").groupBy(*UNIT).cogroup(met(pages).groupBy(*UNIT))
-    windows = found.applyInArrow(suspects, "host long, unit long, hash long, window int, page long").groupBy(*place).agg(F.min("page").alias("lead"), F.collect_list(F.struct("unit", "window")).alias("where"))
-    leads = staged(windows.where(F.size("where") > 1).select(*place, "lead", F.explode("where").alias("at")).select(*place, "lead", "at.unit", "at.window"), "leads")
+    leads = put_by(leads_of(pages, length, min(56, SEEN_BITS + shards.bit_length())), "leads")
 
     def copies(s: Shard, told: pa.Table) -> pa.Table:
         lead = first_pages(s)
-        lead[column(told, "window")] = column(told, "page")
+        _, windows, numbers = of_windows(told)
+        lead[all_of(windows)] = numbers
         own = s.kind[s.start] != OUT
         pairs = [(s.number[p], q) for p, q in copies_of(s.of[own], lead[s.which[own]], s.number)]
         mine, like = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else [np.zeros(0, np.int64)] * 2
         return pa.table({"host": pa.array([s.pages["host"][0].as_py()] * len(mine), pa.int64()), "page": mine, "like": like})
 
-    stands = roots(staged(in_shards(held, told(leads, window=F.col("window"), page=F.col("lead")), copies, "host long, page long, like long"), "copies"))
+    known = told(leads, part=F.col("part"), windows=F.col("windows"), numbers=F.col("leads"))
+    stands = roots(put_by(in_shards(held, known, copies, "host long, page long, like long"), "copies"))
     of = lambda page: F.shiftright(page, PAGE_BITS)
     # pages that stand for some of other shards are not counted in each shard, but listed
     spread = stands.where(of("page") != of("like")).select("host", "like").distinct()
     shared = stands.join(spread.withColumn("shared", F.lit(True)), ["host", "like"], "left").select("host", "page", "like", F.coalesce("shared", F.lit(False)).alias("shared"))
     shared = shared.unionByName(spread.select("host", F.col("like").alias("page"), "like", F.lit(True).alias("shared")))
-    of_pages = told(staged(shared.withColumn("unit", of("page")), "shared"), page=F.col("page"), n=F.col("like"), shared=F.col("shared"))
+    of_pages = told(put_by(shared.withColumn("unit", of("page")), "shared"), page=F.col("page"), n=F.col("like"), shared=F.col("shared"))
 
     def stood(s: Shard, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """What each page counts as, and whether that is shared."""
@@ -543,20 +660,26 @@ def texts_of_shards(blocks: DataFrame, length: int) -> DataFrame:
 
     def counts(s: Shard, told: pa.Table) -> pa.Table:
         stands, shared = stood(s, told)
-        rows = told.filter(pa.compute.is_valid(told["window"]))
-        asked = column(rows, "window")
+        rows, windows, _ = of_windows(told)
+        asked = all_of(windows)
         n = int(s.which.max(initial=-1)) + 1
         mine = ~shared[s.of]
         here = pages_with(s.which[mine], stands[s.of][mine], n)[asked]
-        pairs = np.unique(np.stack((s.which[~mine], stands[s.of][~mine]), 1), axis=0)
-        ends = np.searchsorted(pairs[:, 0], np.arange(n + 1))
-        lists = [pairs[a:b, 1] for a, b in zip(ends[asked].tolist(), ends[asked + 1].tolist(), strict=True)]
-        return pa.table({**{c: rows[c] for c in ("host", "hash", "unit", "window")}, "n": pa.array(here, pa.int64()), "shared": pa.array(lists, pa.list_(pa.int64()))})
-
-    of_windows = told(leads, window=F.col("window"), hash=F.col("hash"))
-    per = in_shards(held, of_windows.unionByName(of_pages), counts, "host long, hash long, unit long, window int, n long, shared array<long>")
-    seen = per.groupBy(*place).agg((F.sum("n") + F.size(F.array_distinct(F.flatten(F.collect_list("shared"))))).alias("seen"), F.collect_list(F.struct("unit", "window")).alias("where"))
-    seen = seen.select("host", "seen", F.explode("where").alias("at")).select("host", "at.unit", "at.window", "seen")
+        known, at = np.unique(stands[s.of][~mine], return_inverse=True)
+        pairs = distinct_of(s.which[~mine] * max(1, len(known)) + at)
+        window, listed = pairs // max(1, len(known)), known[pairs % max(1, len(known))]
+        ends = np.searchsorted(window, np.arange(n + 1))
+        sizes = ends[asked + 1] - ends[asked]
+        listed = listed[np.repeat(ends[asked] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+        packs = [len(x) for x in windows]
+        of_packs = [int(x.sum()) for x in cut_at(sizes, packs)][: len(packs)]
+        found = {k: pa.array([packed(x) for x in cut_at(v, p)][: len(packs)], pa.binary()) for k, v, p in (("here", here, packs), ("sizes", sizes, packs), ("shared", listed, of_packs))}
+        return pa.table(rows_of(rows, *UNIT, "part", "windows") | {"ids": rows["numbers"]} | found)
+
+    asked = told(leads, part=F.col("part"), windows=F.col("windows"), numbers=F.col("ids"))
+    per = in_shards(held, asked.unionByName(of_pages), counts, "host long, unit long, part int, windows binary, ids binary, here binary, sizes binary, shared binary")
+    seen = put_by(seen_of(per), "seen")
+    unstage(leads)
     distinct = held.groupBy("host").count().join(stands.groupBy("host").agg(F.count(F.lit(1)).alias("copies")), "host", "left").select("host", (F.col("count") - F.coalesce("copies", F.lit(0))).alias("distinct"))
     of_hosts = held.select(*UNIT).distinct().join(distinct, "host")
 
@@ -564,24 +687,33 @@ def texts_of_shards(blocks: DataFrame, length: int) -> DataFrame:
         stands, _ = stood(s, told)
         n = int(s.which.max(initial=-1)) + 1
         seen = pages_with(s.which, stands[s.of], n)
-        rows = told.filter(pa.compute.is_valid(told["window"]))
-        seen[column(rows, "window")] = column(rows, "n")
-        whole = told.filter(pa.compute.and_(pa.compute.is_null(told["window"]), pa.compute.is_null(told["page"])))
+        _, windows, numbers = of_windows(told)
+        seen[all_of(windows)] = numbers
+        whole = told.filter(pa.compute.and_(pa.compute.is_null(told["windows"]), pa.compute.is_null(told["page"])))
         gone = covered(s.start, seen[s.which], s.kind, whole["n"][0].as_py(), length)
-        word = np.frombuffer(b"".join(s.pages["words"].to_pylist()), bool)
-        blocks = [(p, int(first + b), t) for p, (first, begins, texts) in enumerate(zip(s.begin, s.pages["begins"].to_pylist(), s.pages["texts"].to_pylist(), strict=True)) for b, t in zip(np.frombuffer(begins, "<i4"), texts, strict=True)]
+        tokens, words = said_in(s)
+        word = tokens >= 3
+        # where blocks begin and pages end, each with the next; pages with a marked part have no other text
+        edge = np.flatnonzero(~word)
+        page, kind = np.searchsorted(s.begin, edge, "right") - 1, s.kind[edge]
+        main = np.zeros(len(s.number), bool)
+        size = np.diff(edge, append=len(tokens)) - 1
+        main[page[(kind == IN) & (size > 0)]] = True
+        mine = np.flatnonzero((size > 0) & (kind == np.where(main[page], IN, OPEN)))
+        names = np.array(words, object)
+        blocks = [(p, b, " ".join(names[tokens[b + 1 : b + 1 + n] - 3])) for p, b, n in zip(page[mine].tolist(), edge[mine].tolist(), size[mine].tolist(), strict=True)]
         said, spread = (np.add.reduceat(x.astype(np.int64), s.begin) for x in (word, word & gone))
         return texts_table(s.pages, list(zip(left_of(blocks, gone, len(s.number), length), said.tolist(), spread.tolist(), strict=True)))
 
-    every = told(seen, window=F.col("window"), n=F.col("seen")).unionByName(of_pages).unionByName(told(of_hosts, n=F.col("distinct")))
-    return in_shards(pages.select(*UNIT, "page", "kinds", "windows", "words", "begins", "texts", "page_id", "url"), every, cut, TEXTS)
+    every = told(seen, part=F.col("part"), windows=F.col("windows"), numbers=F.col("seen")).unionByName(of_pages).unionByName(told(of_hosts, n=F.col("distinct")))
+    return in_shards(pages.select(*UNIT, "page", "kinds", "tokens", "windows", "words", "page_id", "url"), every, cut, TEXTS)
 
 
 def main_texts(pages: DataFrame, length: int = LENGTH) -> DataFrame:
     """page_id, url, text and n_chars of every page; n_words of its stream, and how many of them recur on its host."""
     rows = only(pages, "page_id", "url", "html").withColumn("page_id", F.col("page_id").cast("long"))
-    small, large = dealt(rows)
+    small, large, shards = dealt(rows)
     found = texts_of_hosts(in_blocks(small), length)
     if large is not None:
-        found = found.unionByName(texts_of_shards(in_blocks(large), length))
+        found = found.unionByName(texts_of_shards(in_blocks(large), length, shards))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_words", "n_repeated")
