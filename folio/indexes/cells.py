@@ -6,11 +6,12 @@ The table is partitioned by cell, and a cell of any size is cut into blocks of a
 hash of the key, so copies of one vector, however many, are spread over tasks.
 
 Searching: each query is dealt to its `probes` nearest cells, and the scan reads those cells' folders
-only. A block meets the queries of its cell in groups of at most `ASKED`; the distances are computed from the stored vectors in double
+only. Small cells are put together on shelves of about `BLOCK` rows, so a query goes to a shelf once, with the cells that it asks there.
+A block meets the queries of its shelf in groups of at most `ASKED`, cell by cell; the distances are computed from the stored vectors in double
 precision, and a task passes on the k best of each query. The exact way goes on
 from there: by the triangle inequality for angles no row of a cell is nearer to a query than
 angle(query, centre) - radius, so only cells that could still hold one of the k nearest are read in
-a second step. It gives the rows of a full scan.
+a second step, which passes on only what is as near as the k-th so far. It gives the rows of a full scan.
 
 Null vectors, those of another size than most of the sample, and those that are zero or not finite are not in the index, as they have no distance. Queries
 of that kind find nothing. Ties fall to the lesser key. Keys may repeat.
@@ -23,8 +24,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ from folio.sources.shared import kept
 SAMPLE, ROUNDS, CELLS = 20_000, 12, 4096
 #: Rows of a block, and queries that meet it at once.
 BLOCK, ASKED = 20_000, 2_000
+#: Distances that a task holds at once; a limit above all distances.
+PAIRS, FAR = 2_000_000, 3.0
 #: Digits of a distance; what rounding and arithmetic can move.
 PLACES, SLACK = 6, 2e-6
 
@@ -50,6 +53,17 @@ class Cells:
     sizes: np.ndarray
     schema: str
 
+    @property
+    def shelf(self) -> np.ndarray:
+        """The shelf of each cell: cells in a row with at most `BLOCK` rows in all, or a larger one alone."""
+        shelf, held, out = 0, 0, []
+        for n in self.sizes.tolist():
+            if held and held + n > BLOCK:
+                shelf, held = shelf + 1, 0
+            held += n
+            out.append(shelf)
+        return np.array(out, np.int64)
+
     @property
     def rows(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/rows")
@@ -158,40 +172,98 @@ def nearest_cells(index: Cells, queries: DataFrame, probes: int) -> DataFrame:
     return usable.mapInArrow(run, f"query_id {kind}, query_vector {queries.schema['query_vector'].dataType.simpleString()}, cell int, step int")
 
 
+def on_shelves(index: Cells, queries: DataFrame, probes: int) -> DataFrame:
+    """(query_id, query_vector, limit, shelf, cells): the cells that each query asks, by shelf.
+
+    Of queries (query_id, query_vector) these are their `probes` nearest. Of those that also have a limit and the cells that they have
+    seen (limit, seen), they are all others that can hold a row within the limit.
+    """
+    sent = index.spark.sparkContext.broadcast((index.centres, index.sizes, index.radius, index.shelf))
+    further = "seen" in queries.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, sizes, radius, shelf = sent.value
+        full = np.flatnonzero(sizes > 0)
+        take = min(probes, len(full))
+        for batch in batches:
+            n = batch.num_rows
+            like = unit(np.asarray(batch.column(1).flatten(), np.float64).reshape(n, -1)) @ centres[full].T
+            limit = np.asarray(batch.column(2)) if further else np.full(n, FAR)
+            asks = np.zeros((n, len(centres)), bool)
+            if further:
+                # the nearest that a row of the cell can be
+                least = 1 - np.cos(np.maximum(0.0, np.arccos(np.clip(like, -1, 1)) - radius[full] - 1e-9))
+                asks[:, full] = least <= limit[:, None] + SLACK
+                seen = batch.column(3)
+                asks[np.repeat(np.arange(n), np.asarray(pa.compute.list_value_length(seen))), np.asarray(seen.flatten())] = False
+            else:
+                np.put_along_axis(asks, full[np.argsort(-like, axis=1, kind="stable")[:, :take]], True, axis=1)
+            query, cell = np.nonzero(asks)
+            # cells of a shelf are numbered in a row
+            begins = np.flatnonzero(np.append(True, (np.diff(query) != 0) | (np.diff(shelf[cell]) != 0))[: len(query)])
+            of = pa.array(query[begins])
+            cells = pa.ListArray.from_arrays(pa.array(np.append(begins, len(query)).astype(np.int32)), pa.array(cell.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(limit[query[begins]]), pa.array(shelf[cell[begins]].astype(np.int32)), cells], names=["query_id", "query_vector", "limit", "shelf", "cells"])
+
+    usable = queries.where(finite(F.col("query_vector"), index.centres.shape[1]))
+    kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
+    return usable.mapInArrow(run, f"query_id {kinds['query_id']}, query_vector {kinds['query_vector']}, limit double, shelf int, cells array<int>")
+
+
+def nearest_rows(query: np.ndarray, row: np.ndarray, distance: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """Which of these pairs are among the k nearest of their query; of equal ones those whose row is first in order."""
+    by = np.lexsort((order[row], distance, query))
+    sorted_ = query[by]
+    return by[np.arange(len(by)) - np.searchsorted(sorted_, sorted_) < k]
+
+
 def found_in_cells(index: Cells, dealt: DataFrame, k: int) -> DataFrame:
-    """(query_id, key, distance, cell): the k nearest of each query (query_id, query_vector, cell) in each block of its cells.
+    """(query_id, key, distance, cell): the k nearest of each query, within its limit, in each block of the cells that it asks (`on_shelves`).
 
-    The cells that are asked are read, no others. A block and a group of queries of its cell meet in one task; both are bounded.
+    The cells that are asked are read, no others. A block and a group of queries of its shelf meet in one task; both are bounded.
     """
-    cells = [r.cell for r in dealt.select("cell").distinct().collect()]  # at most as many as the index has
-    counts = dealt.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(ASKED)).cast("int").alias("groups"))
+    cells = [r.cell for r in dealt.select(F.explode("cells").alias("cell")).distinct().collect()]  # at most as many as the index has
+    shelf = index.shelf
+    counts = dealt.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / F.lit(ASKED)).cast("int").alias("groups"))
     counts = F.broadcast(counts)
-    blocks = F.broadcast(index.spark.createDataFrame([(k_, -(-int(n) // BLOCK)) for k_, n in enumerate(index.sizes) if n], "cell int, blocks int"))
-    asked = dealt.join(counts, "cell").join(blocks, "cell")
+    shelves = F.broadcast(index.spark.createDataFrame([(c, int(h)) for c, h in enumerate(shelf)], "cell int, shelf int"))
+    blocks = F.broadcast(index.spark.createDataFrame([(int(h), max(1, -(-int(index.sizes[shelf == h].max()) // BLOCK))) for h in np.unique(shelf)], "shelf int, blocks int"))
+    asked = dealt.join(counts, "shelf").join(blocks, "shelf")
     asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = index.rows.where(F.col("cell").isin(cells)).join(counts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    rows = index.rows.where(F.col("cell").isin(cells)).join(shelves, "cell").join(counts, "shelf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     kind, key_kind = dealt.schema["query_id"].dataType.simpleString(), rows.schema["key"].dataType.simpleString()
 
-    def meet(unit_key, held: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(held) or not len(queries):
-            return pd.DataFrame({"query_id": [], "key": [], "distance": [], "cell": []})
-        q, v = (unit(np.array(x.tolist(), np.float64)) for x in (queries["query_vector"], held["vector"]))
-        keys = held["key"].to_numpy()
-        order = np.argsort(keys, kind="stable")
-        keys, v = keys[order], v[order]
-        distance = np.round(1 - q @ v.T, PLACES) + 0.0
-        take = min(k, len(keys))
-        best = np.argpartition(distance, take - 1, axis=1)[:, take - 1]
-        limit = distance[np.arange(len(q)), best]
-        out = []
-        for i, name in enumerate(queries["query_id"]):
-            near = np.flatnonzero(distance[i] <= limit[i])
-            near = near[np.argsort(distance[i][near], kind="stable")][:k]
-            out.append(pd.DataFrame({"query_id": [name] * len(near), "key": keys[near], "distance": distance[i][near], "cell": [unit_key[0]] * len(near)}))
-        return pd.concat(out)
-
-    units = ["cell", "block", "part"]
-    return rows.select(*units, "key", "vector").groupBy(*units).cogroup(asked.select(*units, "query_id", "query_vector").groupBy(*units)).applyInPandas(meet, f"query_id {kind}, key {key_kind}, distance double, cell int")
+    def meet(held: pa.Table, queries: pa.Table) -> pa.Table:
+        held = held.sort_by("cell")
+        q, v = (unit(np.asarray(x.combine_chunks().flatten(), np.float64).reshape(len(x), -1)) if len(x) else np.zeros((0, 1)) for x in (queries["query_vector"], held["vector"]))
+        order = np.empty(len(v), np.int64)
+        order[np.asarray(pa.compute.sort_indices(held["key"]))] = np.arange(len(v))
+        limit, cell = queries["limit"].to_numpy(), held["cell"].to_numpy()
+        asks = queries["cells"].combine_chunks()
+        who, what = np.repeat(np.arange(len(q)), np.asarray(pa.compute.list_value_length(asks))), np.asarray(asks.flatten())
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for c in np.intersect1d(cell, what).tolist():
+            a, b = np.searchsorted(cell, [c, c + 1]).tolist()
+            mine = who[what == c]
+            step = max(1, PAIRS // (b - a))
+            for at in range(0, len(mine), step):
+                some = mine[at : at + step]
+                distance = np.round(1 - q[some] @ v[a:b].T, PLACES) + 0.0
+                most = limit[some]
+                if b - a > k and (most >= FAR).any():
+                    most = np.minimum(most, np.partition(distance, k - 1, axis=1)[:, k - 1])
+                i, j = np.nonzero(distance <= most[:, None])
+                pairs = some[i], j + a, distance[i, j]
+                best = nearest_rows(*pairs, order, k)
+                found.append(tuple(x[best] for x in pairs))
+        query, row, distance = (np.concatenate(x) for x in zip(*found, strict=True))
+        best = nearest_rows(query, row, distance, order, k)
+        query, row = pa.array(query[best]), pa.array(row[best])
+        return pa.table({"query_id": queries["query_id"].take(query), "key": held["key"].take(row), "distance": pa.array(distance[best]), "cell": held["cell"].take(row)})
+
+    units = ["shelf", "block", "part"]
+    held = rows.select(*units, "cell", "key", "vector").groupBy(*units)
+    return held.cogroup(asked.select(*units, "query_id", "query_vector", "limit", "cells").groupBy(*units)).applyInArrow(meet, f"query_id {kind}, key {key_kind}, distance double, cell int")
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -199,26 +271,14 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
 
-def open_cells(index: Cells, queries: DataFrame, seen: DataFrame, limits: DataFrame) -> DataFrame:
-    """(query_id, query_vector, cell) of cells not yet read that can hold a row within a query's limit (query_id, limit)."""
-    every = nearest_cells(index, queries, len(index.centres)).join(seen.select("query_id", "cell"), ["query_id", "cell"], "left_anti")
-    facts = F.broadcast(index.spark.createDataFrame([(k, c.tolist(), float(r)) for k, (c, r) in enumerate(zip(index.centres, index.radius, strict=True))], "cell int, centre array<double>, radius double"))
-    with_limit = every.join(limits, "query_id").join(facts, "cell")
-    dot = F.aggregate(F.zip_with("centre", "query_vector", lambda x, y: x * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = F.sqrt(F.aggregate("query_vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / norm)))
-    # the nearest that a row of the cell can be
-    least = 1 - F.cos(F.greatest(F.lit(0.0), angle - F.col("radius") - F.lit(1e-9)))
-    return with_limit.where(least <= F.col("limit") + F.lit(SLACK)).select("query_id", "query_vector", "cell")
-
-
 def nearest_of_all(index: Cells, queries: DataFrame, k: int, probes: int) -> DataFrame:
     """(query_id, key, distance, cell, rank): the k nearest of all rows, begun in each query's `probes` nearest cells."""
-    dealt = kept(nearest_cells(index, queries, probes), "probes")
+    dealt = kept(on_shelves(index, queries.select("query_id", "query_vector"), probes), "probes")
     first = kept(ranked(found_in_cells(index, dealt, k), k), "nearest")
     # with fewer than k rows so far, whatever is left may be among them
-    limits = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(3.0)).alias("limit"))
-    rest = kept(open_cells(index, queries, dealt, limits), "probes")
+    limits = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(FAR)).alias("limit"))
+    seen = dealt.groupBy("query_id").agg(F.first("query_vector").alias("query_vector"), F.flatten(F.collect_list("cells")).alias("seen"))
+    rest = kept(on_shelves(index, seen.join(limits, "query_id").select("query_id", "query_vector", "limit", "seen"), probes), "probes")
     return ranked(first.drop("rank").union(found_in_cells(index, rest, k)), k)
 
 
@@ -231,7 +291,7 @@ def search(index: Cells, queries: DataFrame, k: int, probes: int = 4, exact: boo
     if exact:
         found = nearest_of_all(index, queries, k, probes)
     else:
-        found = ranked(found_in_cells(index, kept(nearest_cells(index, queries, probes), "probes"), k), k)
+        found = ranked(found_in_cells(index, kept(on_shelves(index, queries, probes), "probes"), k), k)
     return found.drop("cell").withColumnRenamed("key", index.key)
 
 

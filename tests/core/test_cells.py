@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folio.indexes import cells
 from folio.operators import vectors
+from folio.sources import shared
 
 
 def planted(n, size, groups, seed):
@@ -69,3 +70,28 @@ def test_more_than_there_is_and_nothing(spark, rows, tmp_path):
     assert len(got) == 25 and {r.rank for r in got} == {1, 2, 3, 4, 5}
     none = cells.build(rows.where("chunk_id > 90001"), f"{tmp_path}/none")
     assert cells.search(none, asked(few, 1), 3, exact=True).collect() == []
+
+
+def test_a_query_goes_once_to_each_shelf_of_cells(spark, tmp_path, monkeypatch):
+    """However many cells there are, the search deals as many rows as there are queries and shelves, and finds the rows of a full scan."""
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=16)]) for i in range(600)] + [(900 + i, [1.0] * 16) for i in range(60)], "chunk_id long, embedding array<double>")
+    index = cells.build(rows, f"{tmp_path}/index", cells=40)
+    want = as_set(vectors.top_k_of_many(rows, asked(rows), 10))
+    n, dealt = asked(rows).count(), []
+
+    def kept(df, name):
+        out = shared.kept(df, name)
+        dealt.append(out.count() if name == "probes" else 0)
+        return out
+
+    monkeypatch.setattr(cells, "kept", kept)
+    assert as_set(cells.search(index, asked(rows), 10, probes=4, exact=True)) == want
+    assert 0 < sum(dealt) <= 2 * n
+    # a large cell in blocks, shelves of a few cells, few queries and few distances at once
+    monkeypatch.setattr(cells, "BLOCK", 30)
+    index = cells.build(rows, f"{tmp_path}/blocks", cells=40)
+    monkeypatch.setattr(cells, "ASKED", 7)
+    monkeypatch.setattr(cells, "PAIRS", 50, raising=False)
+    assert as_set(cells.search(index, asked(rows), 10, probes=4, exact=True)) == want
+    assert as_set(cells.search(index, asked(rows), 10, probes=40)) == want
