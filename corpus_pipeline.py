@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the next documents; the last
 returns the packed pieces. `run` writes every stage as Parquet to the shared
-folder and reads it again as the input of the next.
+folder and reads it again as the input of the next; what a stage read or stored on the
+way is deleted when its result is written.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import decontaminate, language, near_copies, packing, suffix_dedup
-from folio.llm.common import staged
+from folio.llm.common import passing, shuffles_dropped, staged, unstage
 from folio.ship import ship
 
 
@@ -78,8 +79,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, over the documents of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = staged(docs, f"stage-{name}")
-    return docs
+    *stages, (_, last) = STAGES
+    for k, (name, stage) in enumerate(stages):
+        before, left = docs, []
+        with passing(left), shuffles_dropped(spark):
+            docs = staged(stage(spark, before, sf_dir), f"stage-{name}")
+            left.append(docs)
+        if k:
+            unstage(before)
+    return last(spark, docs, sf_dir)

@@ -7,6 +7,7 @@ import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: What this Python worker has learned for the operator named, for its later tasks.
 LEARNED: dict[str, dict] = {}
+#: The tables stored inside each `passing` that is open.
+PASSING: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,9 +46,40 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored.staged_at = path
+    for tables in PASSING:
+        tables.append(stored)
     return stored
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Has Spark delete the shuffle files of what is run inside, as soon as that has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def put_by(df: DataFrame, tag: str) -> DataFrame:
+    """`df`, staged, without the shuffle files that it took."""
+    with shuffles_dropped(df.sparkSession):
+        return staged(df, tag)
+
+
+@contextmanager
+def passing(keep: list[DataFrame]) -> Iterator[None]:
+    """Deletes the tables of `staged` that are stored inside, but for those that are in `keep` at the end."""
+    PASSING.append([])
+    try:
+        yield
+    finally:
+        held = {df.staged_at for df in keep}
+        unstage(*[df for df in PASSING.pop() if df.staged_at not in held])
+
+
 def unstage(*tables: DataFrame) -> None:
     """Deletes tables of `staged` of which everything that read them has been written itself."""
     for df in tables:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import fold, only, staged, tidy
+from folio.llm.common import fold, only, shuffles_dropped, staged, tidy, unstage
 from folio.llm.suffix_array import common_prefixes, suffix_array, words
 
 #: Bytes of a k-gram, at most a quarter of a window.
@@ -203,12 +203,16 @@ def search_shards(texts: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_runs(rows: DataFrame, length: int) -> DataFrame:
-    """(d1, d2, runs) of the rows (d1, d2, scope, body) with bytes that a repeated window covers.
+    """(d1, d2, runs) of the rows (d1, d2, scope, body) with bytes that a repeated window covers, stored.
 
     A window counts as repeated if it starts anywhere else within its scope.
     (d1, d2) names a row's content: rows that share it must have equal bodies.
     """
-    rows = only(rows, "d1", "d2", "scope", "body")
+    with shuffles_dropped(rows.sparkSession):
+        return runs_of(only(rows, "d1", "d2", "scope", "body"), length)
+
+
+def runs_of(rows: DataFrame, length: int) -> DataFrame:
     pieces = all_pieces(rows, length)
     often = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("t")).where("n > 1 or t").select("key")
     pieces = staged(pieces.drop("twice").join(often, "key"), "pieces")
@@ -224,8 +228,12 @@ def repeated_runs(rows: DataFrame, length: int) -> DataFrame:
     mixed = staged(several.where("open = 1 and (k > 1 or w > 1)").select("key"), "mixed")
     unclear = kinds.join(mixed, "key").select("key", "fp", "copies", "d1", "d2", "start", "windows")
     texts = staged(piece_texts(rows, unclear, length), "texts")
-    runs = whole.union(search_shards(texts, length)).distinct()
-    return runs.groupBy("d1", "d2").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    inside = search_shards(texts, length)
+    unstage(texts)
+    runs = whole.union(inside).distinct()
+    runs = staged(runs.groupBy("d1", "d2").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
+    unstage(pieces, kinds, mixed)
+    return runs
 
 
 def covered(runs: list[tuple[int, int]] | None) -> list[tuple[int, int]]:

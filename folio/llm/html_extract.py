@@ -30,7 +30,6 @@ import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import chain
 
@@ -38,10 +37,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import only, shared_dir, staged, tidy, unstage
+from folio.llm.common import only, put_by, shared_dir, shuffles_dropped, tidy, unstage
 from folio.llm.suffix_array import ranks_to_depth
 
 #: Tokens of a substring that counts as long, a power of two.
@@ -387,24 +386,6 @@ UNIT = ["host", "unit"]
 PART = ["host", "part"]
 
 
-@contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Has Spark delete the shuffle files of what is run inside, as soon as that has ended."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
-def put_by(df: DataFrame, tag: str) -> DataFrame:
-    """`df`, staged, without the shuffle files that it took."""
-    with shuffles_dropped(df.sparkSession):
-        return staged(df, tag)
-
-
 def packed(numbers: np.ndarray) -> bytes:
     """Whole numbers as the compressed bytes of their differences, the first byte of all, the second of all, and so on."""
     step = np.diff(numbers.astype(np.int64), prepend=0)

@@ -10,7 +10,8 @@ Sizes and places bound what a pair can still share, and so do bitmaps that hold
 number of shingles falls on it: bits that differ are shingles that differ. What is left is verified by
 whole sets. Each shingle's texts are first compared with one of them; then those
 that are not yet linked are compared with each other: shingles that have the same texts count as one, the texts of a
-rare one are paired, and those of a frequent one meet in blocks that give a forest of their links. So every link
+rare one are paired, and those of a frequent one meet in blocks, by bitmaps first. Whole sets go only to blocks where
+pairs are left, each pair to one of its blocks, which give a forest of their links. So every link
 counts, but groups of copies are not expanded into pairs.
 
 Equal texts are one. Null texts and those without words are one group. A null
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folio.llm import simhash
-from folio.llm.common import in_block_pairs, only, raw_bytes, staged, tidy, unstage
+from folio.llm.common import in_block_pairs, only, raw_bytes, shuffles_dropped, staged, tidy, unstage
 from folio.llm.components import components, forest
 
 #: Words of a shingle, and the similarity from which texts link.
@@ -46,8 +48,12 @@ REMEMBERED = 100_000
 ROWS = 500
 #: Texts of pairs to verify whose ids are sent to all tasks.
 SENT = 1_000_000
+#: Shares of the shingles whose places are exchanged one after the other, so that only one share's lie on disk.
+SHARES = 4
 #: Texts up to which those of a shingle are paired; members of a block beyond that, and shingles that are counted together there.
-FEW, BLOCK, COLUMNS = 32, 512, 4_096
+FEW, BLOCK, COLUMNS = 32, 1_024, 4_096
+#: Pairs of bitmaps that are compared at once.
+AT_ONCE = 50_000
 #: Room for rounding: it lets candidates through and never holds one back.
 EPSILON = 1e-9
 
@@ -240,32 +246,102 @@ def similar(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, least: float)
     return shared >= (size[x][:, None] + size[y][None, :] - shared) * least - EPSILON
 
 
-def linked_in_blocks(rest: DataFrame, docs: DataFrame, width: int, least: float, text: str) -> DataFrame:
-    """A forest (a, b) of the links between the texts (token, id, root) of each shingle that are not linked yet, stored."""
-    sets = whole_sets(rest.select("id"), docs, width, text)
-    units = in_block_pairs(rest.join(sets, "id").select("token", "id", "root", "h"), ["token"], "id", BLOCK)
-
-    def verify(key, table):
-        _, a, b = (k.as_py() for k in key)
-        ids, root, block = (table[c].to_numpy() for c in ("id", "root", "block"))
+def folded(bits: bytes, size: int) -> bytes:
+    """A bitmap as one of `size` bytes."""
+    while len(bits) > size:
+        half = len(bits) // 2
+        bits = (int.from_bytes(bits[:half]) ^ int.from_bytes(bits[half:])).to_bytes(half)
+    return bits
+
+
+def could_agree_each(bits: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """`could_agree` of the texts at each i and j."""
+    size = np.array([len(b) for b in bits])
+    both = np.minimum(size[i], size[j])
+    ok = np.zeros(len(i), bool)
+    for s in np.unique(both).tolist():
+        maps = np.zeros((len(bits), s // 8), np.uint64)
+        for k in np.flatnonzero(size >= s).tolist():
+            maps[k] = np.frombuffer(folded(bits[k], s), np.uint64)
+        at = np.flatnonzero(both == s)
+        for lo in range(0, len(at), AT_ONCE):
+            part = at[lo : lo + AT_ONCE]
+            differing = np.bitwise_count(maps[i[part]] ^ maps[j[part]]).sum(1, dtype=np.int64)
+            ok[part] = differing <= (n[i[part]] + n[j[part]]) * (1 - least) / (1 + least) + EPSILON
+    return ok
+
+
+def linked_in_blocks(rest: DataFrame, kinds: DataFrame, docs: DataFrame, width: int, least: float, text: str) -> DataFrame:
+    """A forest (a, b) of the links between the texts (token, texts, id, n, pos, root) of each shingle that are not linked yet, stored."""
+    unit = ["token", "unit_a", "unit_b"]
+    units = in_block_pairs(rest.join(kinds.select("id", "bits"), "id").select("token", "texts", "id", "n", "pos", "root", "bits"), ["token"], "id", BLOCK)
+
+    def may(key, table):
+        token, a, b = (k.as_py() for k in key)
+        ids, n, pos, root, block = (table[c].to_numpy() for c in ("id", "n", "pos", "root", "block"))
         x, y = np.flatnonzero(block == a), np.flatnonzero(block == b)
-        sets = [np.frombuffer(h, np.uint64) for h in table["h"].to_pylist()]
-        i, j = np.nonzero(similar(sets, x, y, least) & (root[x][:, None] != root[y][None, :]))
-        child, top = forest(ids[x[i]], ids[y[j]])
+        one, two = ([c[z] for c in (ids, n, pos, root)] for z in (x[:, None], y[None, :]))
+        fits = np.minimum(one[1], two[1]) >= np.maximum(one[1], two[1]) * least - EPSILON
+        fits &= np.minimum(one[1] - one[2], two[1] - two[2]) >= (one[1] + two[1]) * (least / (1 + least)) - EPSILON
+        fits &= one[3] != two[3]
+        if a == b:
+            fits &= one[0] < two[0]
+        i, j = np.nonzero(fits)
+        i, j = x[i], y[j]
+        ok = could_agree_each(table["bits"].to_pylist(), n, i, j, least)
+        i, j = ids[i[ok]], ids[j[ok]]
+        many = len(i)
+        texts = table["texts"][0].as_py()
+        return pa.table([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), *[pa.array(np.full(many, v, k)) for v, k in ((texts, np.int64), (token, np.int64), (a, np.int32), (b, np.int32))]], names=["a", "b", "texts", *unit])
+
+    found = units.groupBy(*unit).applyInArrow(may, "a long, b long, texts long, token long, unit_a int, unit_b int")
+    # of the blocks where a pair meets, one of the shingle that most texts have, so that few blocks need a text's set
+    near = staged(found.groupBy("a", "b").agg(F.max(F.struct("texts", *unit)).alias("at")).select("a", "b", *[f"at.{c}" for c in unit]), "near")
+    members = staged(near.select(*unit, F.explode(F.array("a", "b")).alias("id")).distinct(), "in_blocks")
+    sets = whole_sets(members.select("id"), docs, width, text)
+
+    def verify(key, pairs, table):
+        ids, a, b = table["id"].to_numpy(), pairs["a"].to_numpy(), pairs["b"].to_numpy()
+        order = np.argsort(ids)
+        i, j = (order[np.searchsorted(ids, z, sorter=order)] for z in (a, b))
+        x, y = np.unique(i), np.unique(j)
+        ok = similar([np.frombuffer(h, np.uint64) for h in table["h"].to_pylist()], x, y, least)[np.searchsorted(x, i), np.searchsorted(y, j)]
+        child, top = forest(a[ok], b[ok])
         return pa.table({"a": child, "b": top})
 
-    links = staged(units.groupBy("token", "unit_a", "unit_b").applyInArrow(verify, "a long, b long"), "links")
-    unstage(sets)
+    whole = members.join(sets, "id").select(*unit, "id", "h")
+    links = staged(near.groupBy(*unit).cogroup(whole.groupBy(*unit)).applyInArrow(verify, "a long, b long"), "links")
+    unstage(near, members, sets)
     return links
 
 
+def shared_places(prints: DataFrame) -> list[DataFrame]:
+    """token, id, n, pos and lead (a text of the token) of the prefixes' shingles that several texts have, stored by shares of the shingles."""
+    places = prints.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    shares = []
+    for k in range(SHARES):
+        mine = places.where(F.pmod("token", F.lit(SHARES)) == k)
+        often = mine.groupBy("token").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("token", "lead")
+        shares.append(staged(mine.join(often, "token").dropDuplicates(["token", "id"]), "held"))
+    return shares
+
+
 def near_copies(docs: DataFrame, width: int = WIDTH, least: float = LEAST, reach: int = REACH, text: str = "text") -> DataFrame:
     """doc_id and component_id (the least doc_id that links reach) of every document."""
+    with shuffles_dropped(docs.sparkSession):
+        owners, member = members_of_groups(docs, width, least, reach, text)
+    named = member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("id", "component_id")
+    return owners.join(named, "id").select("doc_id", "component_id")
+
+
+def members_of_groups(docs: DataFrame, width: int, least: float, reach: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id and id of every document; id, least doc_id that has it, and root of every distinct text; both stored."""
     prints = staged(with_prefixes(docs, width, least, text), "prefixes")
+    owners = staged(prints.select("doc_id", "id"), "owners")
     kinds = staged(prints.select("id", "n", "fp", "bits").dropDuplicates(["id"]), "kinds")
-    places = prints.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    often = places.groupBy("token").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("token", "lead")
-    held = staged(places.join(often, "token").dropDuplicates(["token", "id"]), "held")
+    shares = shared_places(prints)
+    unstage(prints)
+    held = reduce(DataFrame.union, shares)
     pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
     first = held.alias("x").join(held.where("id = lead").alias("y"), "token").where("x.id <> y.id").where(could_link("x", "y", least)).select(*pair)
     first = staged(first.union(proposed(kinds, reach)).distinct(), "first")
@@ -278,19 +354,19 @@ def near_copies(docs: DataFrame, width: int = WIDTH, least: float = LEAST, reach
     # of shingles that the same texts have, the first in order: its places leave most room
     apart = apart.where("r < s").groupBy("texts", "sign", "sign2").agg(F.min_by("token", F.struct("place", "token")).alias("token"))
     rest = staged(rooted.join(apart.select("token", "texts"), "token"), "rest")
+    unstage(*shares)
     few = rest.where(F.col("texts") <= FEW)
     more = few.alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & could_link("x", "y", least))
     more = staged(more.select(*pair).distinct().join(first, ["a", "b"], "left_anti"), "more")
-    late = verified(more, kinds, docs, width, least, text).union(linked_in_blocks(rest.where(F.col("texts") > FEW), docs, width, least, text))
+    late = verified(more, kinds, docs, width, least, text).union(linked_in_blocks(rest.where(F.col("texts") > FEW), kinds, docs, width, least, text))
     if not late.isEmpty():
         roots = staged(components(links.union(late)), "roots")
-    member = kinds_members(prints, roots)
-    unstage(first, held, rest, more, kinds)
-    named = member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("id", "component_id")
-    return prints.select("doc_id", "id").join(named, "id").select("doc_id", "component_id")
+    member = kinds_members(owners, roots)
+    unstage(first, rest, more, kinds)
+    return owners, member
 
 
-def kinds_members(prints: DataFrame, roots: DataFrame) -> DataFrame:
+def kinds_members(owners: DataFrame, roots: DataFrame) -> DataFrame:
     """id, least doc_id that has it, and root of every distinct text, stored."""
-    least = prints.groupBy("id").agg(F.min("doc_id").alias("least"))
+    least = owners.groupBy("id").agg(F.min("doc_id").alias("least"))
     return staged(least.join(roots, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root")), "members")

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -72,3 +73,48 @@ def test_bitmaps_never_part_similar_sets():
             assert may or not like
             parted += not may
     assert parted > 80
+
+
+def test_bitmaps_at_once_are_as_one_by_one():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, np.uint64)) for n in (1, 63, 64, 65, 120, 128, 129, 200, 500)]
+    sets += [np.unique(np.concatenate((h[: -(len(h) // 9) or None], rng.integers(0, 1 << 63, len(h) // 9, np.uint64)))) for h in sets]
+    bits, n = [near_copies.bitmap(h) for h in sets], np.array([len(h) for h in sets], np.int32)
+    i, j = np.triu_indices(len(sets), 1)
+    want = [near_copies.could_agree(bits[a], bits[b], len(sets[a]), len(sets[b]), 0.8) for a, b in zip(i, j, strict=True)]
+    assert near_copies.could_agree_each(bits, n, i, j, 0.8).tolist() == want and any(want) and not all(want)
+
+
+def family(texts, words):
+    """Texts that begin with the same words, and else have their own."""
+    rng = random.Random(5)
+    same = [f"s{k}" for k in range(words)]
+    return [(i, " ".join([*same, *[f"w{rng.randrange(10**6)}" for _ in range(100 - words)]])) for i in range(texts)]
+
+
+def test_whole_sets_go_only_where_bitmaps_leave_a_pair(spark, monkeypatch):
+    """Texts that share a passage, but too little to link, are not copied to the blocks of each of its shingles."""
+    rows = family(60, 60) + [(100, "a b c d e f g h"), (101, "a b c d e f g h")]
+    rows += [(200 + i, " ".join([*[f"v{k}" for k in range(90)], *[f"x{i}_{k}" for k in range(10)]])) for i in range(8)]
+    asked = []
+    whole = near_copies.whole_sets
+    monkeypatch.setattr(near_copies, "whole_sets", lambda ids, *rest: asked.append([r[0] for r in ids.collect()]) or whole(ids, *rest))
+    monkeypatch.setattr(near_copies, "SAMPLE", 0)  # no shingle is known as common, as if the table were far larger than the sample
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    ids = sorted(sets)
+    want = roots_of(len(ids), [(x, y) for x in range(len(ids)) for y in range(x) if similar(sets[ids[x]], sets[ids[y]])])
+    assert got == {i: ids[r] for i, r in zip(ids, want, strict=True)}
+    assert len(set(asked[-1])) <= 8
+
+
+def test_little_is_left_on_disk(spark, monkeypatch):
+    """Shuffle files go with each step, and the prefixes and places of the shingles before the groups are returned."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, stored = spark.conf.get(name, None), []
+    staged = near_copies.staged
+    monkeypatch.setattr(near_copies, "staged", lambda df, tag: stored.append((tag, spark.conf.get(name, None), staged(df, tag))) or stored[-1][2])
+    assert near_copies.near_copies(spark.createDataFrame(family(30, 90), "doc_id long, text string")).count() == 30
+    assert {x[1] for x in stored} == {"true"} and spark.conf.get(name, None) == before
+    left = {tag for tag, _, df in stored if os.path.exists(df.staged_at.removeprefix("file://"))}
+    assert not left & {"prefixes", "kinds", "held", "first", "near", "sets", "rest", "more"} and "members" in left

@@ -1,5 +1,6 @@
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import corpus_pipeline
 from folio.llm import decontaminate
@@ -111,3 +112,16 @@ def test_a_very_long_text(spark, tmp_path):
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = [r for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r.doc_id == 900]
     assert sum(r.length for r in out) > 1_000_000
+
+
+def test_what_stages_left_is_deleted(spark, tmp_path):
+    """Only the input of the last stage, and what that stores itself, is there when the run ends."""
+    rows, bench = documents()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.iterdir()) if shared.exists() else set()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = sorted(p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before)
+    assert out.count() > 100
+    assert [x for x in left if not x.startswith("packed") and x != "moves"] == ["stage-benchmark"]
