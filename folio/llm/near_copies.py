@@ -11,7 +11,7 @@ number of shingles falls on it: bits that differ are shingles that differ. What
 whole sets. Each shingle's texts are first compared with one of them; then those
 that are not yet linked are compared with each other: shingles that have the same texts count as one, the texts of a
 rare one are paired, and those of a frequent one meet in blocks, by bitmaps first. Whole sets go only to blocks where
-pairs are left, each pair to one of its blocks, which give a forest of their links. So every link
+pairs are left, each pair where its least shingle is, and these give a forest of their links. So every link
 counts, but groups of copies are not expanded into pairs.
 
 Equal texts are one. Null texts and those without words are one group. A null
@@ -272,46 +272,49 @@ def could_agree_each(bits: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndar
 
 
 def linked_in_blocks(rest: DataFrame, kinds: DataFrame, docs: DataFrame, width: int, least: float, text: str) -> DataFrame:
-    """A forest (a, b) of the links between the texts (token, texts, id, n, pos, root) of each shingle that are not linked yet, stored."""
+    """A forest (a, b) of the links between the texts (token, id, n, root) of each shingle that are not linked yet, stored."""
     unit = ["token", "unit_a", "unit_b"]
-    units = in_block_pairs(rest.join(kinds.select("id", "bits"), "id").select("token", "texts", "id", "n", "pos", "root", "bits"), ["token"], "id", BLOCK)
+    every = rest.groupBy("id").agg(F.collect_list("token").alias("tokens"))
+    units = in_block_pairs(rest.select("token", "id", "n", "root").join(every, "id").join(kinds.select("id", "bits"), "id"), ["token"], "id", BLOCK)
 
     def may(key, table):
+        """The texts of pairs that could link and have no lesser shingle in common, where they meet as well."""
         token, a, b = (k.as_py() for k in key)
-        ids, n, pos, root, block = (table[c].to_numpy() for c in ("id", "n", "pos", "root", "block"))
+        ids, n, root, block = (table[c].to_numpy() for c in ("id", "n", "root", "block"))
         x, y = np.flatnonzero(block == a), np.flatnonzero(block == b)
-        one, two = ([c[z] for c in (ids, n, pos, root)] for z in (x[:, None], y[None, :]))
-        fits = np.minimum(one[1], two[1]) >= np.maximum(one[1], two[1]) * least - EPSILON
-        fits &= np.minimum(one[1] - one[2], two[1] - two[2]) >= (one[1] + two[1]) * (least / (1 + least)) - EPSILON
-        fits &= one[3] != two[3]
+        one, two = ([c[z] for c in (ids, n, root)] for z in (x[:, None], y[None, :]))
+        fits = (np.minimum(one[1], two[1]) >= np.maximum(one[1], two[1]) * least - EPSILON) & (one[2] != two[2])
         if a == b:
             fits &= one[0] < two[0]
         i, j = np.nonzero(fits)
         i, j = x[i], y[j]
         ok = could_agree_each(table["bits"].to_pylist(), n, i, j, least)
-        i, j = ids[i[ok]], ids[j[ok]]
-        many = len(i)
-        texts = table["texts"][0].as_py()
-        return pa.table([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), *[pa.array(np.full(many, v, k)) for v, k in ((texts, np.int64), (token, np.int64), (a, np.int32), (b, np.int32))]], names=["a", "b", "texts", *unit])
-
-    found = units.groupBy(*unit).applyInArrow(may, "a long, b long, texts long, token long, unit_a int, unit_b int")
-    # of the blocks where a pair meets, one of the shingle that most texts have, so that few blocks need a text's set
-    near = staged(found.groupBy("a", "b").agg(F.max(F.struct("texts", *unit)).alias("at")).select("a", "b", *[f"at.{c}" for c in unit]), "near")
-    members = staged(near.select(*unit, F.explode(F.array("a", "b")).alias("id")).distinct(), "in_blocks")
+        i, j = i[ok], j[ok]
+        lesser = [np.array([t for t in held if t < token], np.int64) for held in table["tokens"].to_pylist()]
+        known = np.unique(np.concatenate(lesser))
+        has = np.zeros((len(ids), len(known)), bool)
+        for k, held in enumerate(lesser):
+            has[k, np.searchsorted(known, held)] = True
+        has = np.packbits(has, axis=1)
+        wanted = np.zeros(len(ids), bool)
+        for lo in range(0, len(i), AT_ONCE):
+            p, q = i[lo : lo + AT_ONCE], j[lo : lo + AT_ONCE]
+            here = ~(has[p] & has[q]).any(1)
+            wanted[p[here]] = wanted[q[here]] = True
+        out = ids[wanted]
+        return pa.table([*[pa.array(np.full(len(out), v, k)) for v, k in ((token, np.int64), (a, np.int32), (b, np.int32))], pa.array(out)], names=[*unit, "id"])
+
+    members = staged(units.groupBy(*unit).applyInArrow(may, "token long, unit_a int, unit_b int, id long"), "in_blocks")
     sets = whole_sets(members.select("id"), docs, width, text)
 
-    def verify(key, pairs, table):
-        ids, a, b = table["id"].to_numpy(), pairs["a"].to_numpy(), pairs["b"].to_numpy()
-        order = np.argsort(ids)
-        i, j = (order[np.searchsorted(ids, z, sorter=order)] for z in (a, b))
-        x, y = np.unique(i), np.unique(j)
-        ok = similar([np.frombuffer(h, np.uint64) for h in table["h"].to_pylist()], x, y, least)[np.searchsorted(x, i), np.searchsorted(y, j)]
-        child, top = forest(a[ok], b[ok])
+    def verify(table):
+        ids, every = table["id"].to_numpy(), np.arange(len(table))
+        i, j = np.nonzero(np.triu(similar([np.frombuffer(h, np.uint64) for h in table["h"].to_pylist()], every, every, least), 1))
+        child, top = forest(ids[i], ids[j])
         return pa.table({"a": child, "b": top})
 
-    whole = members.join(sets, "id").select(*unit, "id", "h")
-    links = staged(near.groupBy(*unit).cogroup(whole.groupBy(*unit)).applyInArrow(verify, "a long, b long"), "links")
-    unstage(near, members, sets)
+    links = staged(members.join(sets, "id").select(*unit, "id", "h").groupBy(*unit).applyInArrow(verify, "a long, b long"), "links")
+    unstage(members, sets)
     return links
 
 
